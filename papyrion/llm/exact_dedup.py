@@ -46,7 +46,7 @@ def heavy_digests(rows: DataFrame, heavy: int, tracked: int, shards: int = 64) -
     """At most ``heavy`` candidate digests, by a Misra-Gries summary that is merged by shard and then as a whole."""
     named = rows.select(F.hex("digest").alias("d"), F.pmod(F.spark_partition_id(), F.lit(shards)).alias("shard"))
     by_shard = named.groupBy("shard").agg(F.expr(f"approx_top_k_accumulate(d, {tracked})").alias("s"))
-    top = by_shard.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {heavy})").alias("top"))
+    top = by_shard.groupBy(F.col("shard") < 0).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {heavy})").alias("top"))
     return top.select(F.explode("top").alias("x")).where("x.count > 1").select(F.unhex("x.item").alias("digest"))
 
 
