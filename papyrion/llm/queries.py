@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from papyrion.llm.exact_dedup import exact_dedup
+from papyrion.llm.simhash import simhash_dedup
 from papyrion.sources.tables import table
 
 
@@ -14,7 +15,12 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"))
 
 
+def op2_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_dedup(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash_dedup": op2_simhash_dedup,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
