@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from papyrion.llm.bpe import bpe_round_trip
 from papyrion.llm.exact_dedup import drop_copies
+from papyrion.llm.mixing import mixed_corpus
+from papyrion.llm.queries import BYTE_BPE, MAX_REPEATS
+from papyrion.llm.simhash import drop_near_copies
 from papyrion.sources.tables import table
 from papyrion.workspace import materialize
 
@@ -15,8 +19,23 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return drop_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_copies(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_corpus(docs, BYTE_BPE, max_repeats=MAX_REPEATS)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(docs, BYTE_BPE)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("exact_dedup", exact_copies),
+    ("simhash_dedup", near_copies),
+    ("source_mixing", source_mixing),
+    ("bpe", bpe),
 ]
 
 #: Tokenised stages have no SQL form.

@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from papyrion.llm.bpe import bpe_round_trip
 from papyrion.llm.exact_dedup import exact_dedup
+from papyrion.llm.mixing import mix_sources
 from papyrion.llm.simhash import simhash_dedup
+from papyrion.llm.token_counts import token_counts
+from papyrion.llm.token_output import token_output
 from papyrion.sources.tables import table
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+#: No source is repeated more often than this.
+MAX_REPEATS = 4.0
+
 
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"))
@@ -19,9 +29,29 @@ def op2_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup(table(spark, folder, "documents"))
 
 
+def op4_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    return token_output(spark, table(spark, folder, "documents"), WORD_BPE)
+
+
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"), BYTE_BPE)
+
+
+def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(table(spark, folder, "documents"), BYTE_BPE, max_repeats=MAX_REPEATS)
+
+
+def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_round_trip(table(spark, folder, "documents"), BYTE_BPE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op4_token_output": op4_token_output,
+    "op5_token_counts": op5_token_counts,
+    "op6_source_mixing": op6_source_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
 ORACLES: dict[str, str] = {
