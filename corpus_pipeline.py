@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from papyrion.llm.bpe import bpe_round_trip
 from papyrion.llm.exact_dedup import drop_copies
+from papyrion.llm.language_id import accepted_documents
 from papyrion.llm.mixing import mixed_corpus
 from papyrion.llm.queries import BYTE_BPE, MAX_REPEATS
 from papyrion.llm.simhash import drop_near_copies
@@ -15,6 +16,10 @@ from papyrion.sources.tables import table
 from papyrion.workspace import materialize
 
 
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return accepted_documents(docs)
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_copies(docs)
 
@@ -32,6 +37,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", languages),
     ("exact_dedup", exact_copies),
     ("simhash_dedup", near_copies),
     ("source_mixing", source_mixing),

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from papyrion.llm.bpe import bpe_round_trip
+from papyrion.llm.embedding_dedup import embedding_dedup
 from papyrion.llm.exact_dedup import exact_dedup
+from papyrion.llm.language_id import identify_pages, language_id
 from papyrion.llm.mixing import mix_sources
 from papyrion.llm.simhash import simhash_dedup
 from papyrion.llm.token_counts import token_counts
@@ -45,12 +48,29 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_round_trip(table(spark, folder, "documents"), BYTE_BPE)
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id(table(spark, folder, "documents"))
+
+
+def language_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The same operator on web pages, with markup, suffix and domain evidence."""
+    found = identify_pages(table(spark, folder, "pages"), keep=["page_id", "url"])
+    return found.select("page_id", "url", F.col("__lang").alias("lang"), F.col("__probability").alias("probability"), F.col("__accepted").alias("accepted"))
+
+
+def op9_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_language_id": op3_language_id,
+    "language_pages": language_pages,
     "op4_token_output": op4_token_output,
     "op5_token_counts": op5_token_counts,
     "op6_source_mixing": op6_source_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
