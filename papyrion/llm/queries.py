@@ -13,6 +13,7 @@ from papyrion.llm.embedding_dedup import embedding_dedup
 from papyrion.llm.exact_dedup import exact_dedup
 from papyrion.llm.language_id import identify_pages, language_id
 from papyrion.llm.mixing import mix_sources
+from papyrion.llm.pii import find_pii
 from papyrion.llm.simhash import simhash_dedup
 from papyrion.llm.token_counts import token_counts
 from papyrion.llm.token_output import token_output
@@ -62,7 +63,12 @@ def op9_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup(table(spark, folder, "embeddings"))
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return find_pii(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_language_id": op3_language_id,
     "language_pages": language_pages,
