@@ -12,6 +12,7 @@ from papyrion.llm.bpe import bpe_round_trip
 from papyrion.llm.embedding_dedup import embedding_dedup
 from papyrion.llm.exact_dedup import exact_dedup
 from papyrion.llm.language_id import identify_pages, language_id
+from papyrion.llm.license_scan import scan_licenses
 from papyrion.llm.mixing import mix_sources
 from papyrion.llm.pii import find_pii
 from papyrion.llm.simhash import simhash_dedup
@@ -67,6 +68,10 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return find_pii(table(spark, folder, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -75,12 +80,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_output": op4_token_output,
     "op5_token_counts": op5_token_counts,
     "op6_source_mixing": op6_source_mixing,
+    "op7_license_scan": op7_license_scan,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_license_scan": op7_license_scan,
     "op8_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
