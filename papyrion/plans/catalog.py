@@ -409,13 +409,13 @@ def candidate_pairs_overlap(spark, folder):
 
 
 @query("""
-    WITH t AS (SELECT DISTINCT p_brand AS paper, p_partkey AS artifact, unnest([p_name, p_type]) AS term FROM part),
+    WITH t AS (SELECT DISTINCT p_brand AS paper, p_partkey AS artifact, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || ' ' || p_type END AS term FROM part),
     w AS (SELECT DISTINCT term, list_distinct(regexp_extract_all(term, '[a-zA-Z0-9_]+|\\?[a-zA-Z@]+')) AS words FROM t),
     s AS (SELECT x.term AS narrow, y.term AS wide FROM w x JOIN w y ON x.term <> y.term AND len(x.words) > 0 AND list_has_all(y.words, x.words))
     SELECT DISTINCT a.paper, least(a.artifact, b.artifact) AS a, greatest(a.artifact, b.artifact) AS b
     FROM t a JOIN s ON a.term = narrow JOIN t b ON b.term = wide AND b.paper = a.paper AND a.artifact <> b.artifact""".replace("\\\\", "\\"))
 def candidate_pairs_subword(spark, folder):
-    p = table(spark, folder, "part").select(F.col("p_brand").alias("paper"), F.col("p_partkey").alias("artifact"), F.explode(F.array("p_name", "p_type")).alias("term"))
+    p = table(spark, folder, "part").select(F.col("p_brand").alias("paper"), F.col("p_partkey").alias("artifact"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat_ws(" ", "p_name", "p_type")).alias("term"))
     return dependencies.subword_pairs(p)
 
 
@@ -428,13 +428,13 @@ def all_pairs(spark, folder):
 
 
 @query("""
-    WITH t AS (SELECT DISTINCT p_type AS paper, p_partkey AS artifact, unnest(string_split(p_name, ' ')) AS term FROM part),
+    WITH t AS (SELECT DISTINCT p_brand || p_type AS paper, p_partkey AS artifact, unnest(string_split(p_name, ' ')) AS term FROM part),
     p AS (SELECT DISTINCT x.paper, x.artifact AS a, y.artifact AS b FROM t x JOIN t y ON x.paper = y.paper AND x.term = y.term AND x.artifact < y.artifact),
     c AS (SELECT *, count(*) OVER (PARTITION BY paper) AS n FROM p)
     SELECT c.paper, CASE WHEN pa.p_size >= pb.p_size THEN a ELSE b END AS source, CASE WHEN pa.p_size >= pb.p_size THEN b ELSE a END AS target
     FROM c JOIN part pa ON pa.p_partkey = a JOIN part pb ON pb.p_partkey = b WHERE n <= 100""")
 def pair_cap(spark, folder):
-    p = table(spark, folder, "part").select(F.col("p_type").alias("paper"), F.col("p_partkey").alias("id"), F.col("p_size").alias("line"), "p_name")
+    p = table(spark, folder, "part").select(F.concat("p_brand", "p_type").alias("paper"), F.col("p_partkey").alias("id"), F.col("p_size").alias("line"), "p_name")
     pairs = dependencies.overlap_pairs(p.select("paper", F.col("id").alias("artifact"), F.explode(F.split("p_name", " ")).alias("term")))
     return dependencies.directed(dependencies.under_cap(pairs, 100), p)
 
