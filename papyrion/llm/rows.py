@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyrion.workspace import materialize
+
 #: Stands for a null id in keys.
 NO_ID = -(2**63)
 
@@ -28,8 +30,9 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> D
 
     Of repeated rows that differ in other columns any one stays.  Both tables may be empty.
     """
-    kept = kept.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("n").alias("__n"))
+    kept = materialize(kept.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("n").alias("__n")), "kept")
+    many = materialize(kept.where("__n > 1"), "many")  # usually empty: a broadcast, and the texts aren't read again
     keyed = docs.withColumns({"__k1": id_key(F.col(id_col)), "__k2": text_key(F.col(text_col))})
     single = keyed.join(kept.where("__n = 1").hint("shuffle_hash"), ["__k1", "__k2"], "left_semi")
-    repeated = keyed.join(kept.where("__n > 1"), ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
+    repeated = keyed.join(many, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
     return single.unionByName(repeated).select(*docs.columns)
