@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrion.functions import ids, text
-from papyrion.operators import definitions, dependencies, graph, latex, matching, mentions, provider, queue, retrieval
+from papyrion.operators import definitions, dependencies, graph, indexing, latex, matching, mentions, provider, queue, retrieval
 from papyrion.sources import sinks
 from papyrion.sources.tables import table
 from papyrion.streaming import events as streams
@@ -635,3 +635,63 @@ def stream_event_upsert(spark, folder):
     source = streams.file_stream(spark, folder, schema, "events.parquet").select("user_id", "event_id", "event_type", "value")
     query_ = streams.upsert_stream(source, "user_id", "event_id", f"{at}/state", f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/state/{query_.lastProgress['batchId'] if query_.lastProgress else 0}")
+
+
+# Index, rebuild and repair
+
+
+@query("""
+    WITH r AS (SELECT p_partkey AS k, lower(split_part(p_type, ' ', 1)) AS kind, p_name AS content, CASE WHEN p_size % 2 = 0 THEN p_brand END AS proof FROM part),
+    a AS (SELECT CAST(k AS VARCHAR) AS artifact_id, k, kind AS type, content AS text FROM r UNION ALL SELECT k || '#proof', k, 'proof', proof FROM r WHERE proof IS NOT NULL)
+    SELECT artifact_id, type, CASE type WHEN 'proof' THEN '[PROOF]' ELSE '[' || upper(type) || ']' END || ' tag small: thing ' || text AS index_text FROM a""")
+def index_documents(spark, folder):
+    nodes = table(spark, folder, "part").select(
+        F.col("p_partkey").cast("string").alias("id"), F.lower(F.split("p_type", " ")[0]).alias("type"), F.col("p_name").alias("content"),
+        F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("proof"), F.lit("tag").alias("semantic_tag"), F.create_map(F.lit("small"), F.lit("thing")).alias("prerequisites"),
+    )
+    return indexing.index_documents(nodes, "content+all").select("artifact_id", "type", "index_text")
+
+
+@query("""
+    WITH e AS (SELECT l_orderkey AS paper, l_linenumber AS s, l_linenumber - 1 AS t FROM lineitem), a AS (SELECT DISTINCT l_orderkey AS paper, l_linenumber AS id FROM lineitem),
+    x AS (SELECT DISTINCT paper, id FROM (SELECT paper, s AS id FROM e UNION ALL SELECT paper, t FROM e) ANTI JOIN a USING (paper, id))
+    SELECT paper, CAST(id AS INTEGER) AS id, false AS is_external FROM a UNION ALL SELECT paper, CAST(id AS INTEGER), true FROM x""")
+def graph_rebuild(spark, folder):
+    li = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("id"))
+    artifacts = li.distinct().withColumns({"kind": F.lit("theorem"), "content": F.lit("x")})
+    edges = li.select("paper", F.lit("reference").alias("edge_kind"), F.col("id").alias("source"), (F.col("id") - 1).alias("target"), F.lit("internal").alias("kind"))
+    none = artifacts.select("paper", F.col("id").alias("artifact"), F.create_map(F.lit("t"), F.lit("d")).alias("prerequisites")).where("false")
+    return indexing.rebuild_graph(artifacts, edges, none)[0].select("paper", "id", "is_external")
+
+
+@query("""
+    SELECT o_orderkey AS id, o_orderdate AS ts, c_custkey IS NOT NULL AS known, o_orderkey NOT IN (SELECT l_partkey FROM lineitem) AS requeued
+    FROM orders LEFT JOIN customer ON c_custkey = o_orderkey WHERE o_orderdate > TIMESTAMP '1998-01-01 00:00:00'""")
+def rollback_selection(spark, folder):
+    done = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("ts"))
+    papers = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"))
+    waiting = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("id"))
+    out = indexing.rollback(done, papers, waiting, F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"))
+    return out.select("id", "ts", F.col("metadata").contains("title").alias("known"), "requeued")
+
+
+@query("""
+    WITH n AS (SELECT o_custkey AS paper, o_orderkey AS o FROM orders), u AS (SELECT paper, 0 AS ph, 0 AS o, 'status' AS type FROM n GROUP BY 1 UNION ALL SELECT paper, 1, o, 'node' FROM n
+      UNION ALL SELECT paper, 2, o, 'link' FROM n WHERE o % 2 = 0 UNION ALL SELECT paper, 3, o, 'node' FROM n WHERE o % 3 = 0 UNION ALL SELECT paper, 4, o, 'link' FROM n WHERE o % 5 = 0 UNION ALL SELECT paper, 5, 0, 'done' FROM n GROUP BY 1)
+    SELECT paper, CAST(row_number() OVER (PARTITION BY paper ORDER BY ph, o) AS INTEGER) AS seq, type, CASE WHEN type IN ('node', 'link') THEN CAST(o AS VARCHAR) END AS data FROM u""")
+def graph_event_rows(spark, folder):
+    n = table(spark, folder, "orders").select(F.col("o_custkey").alias("paper"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").cast("string").alias("data"))
+    return indexing.event_rows(n, n.where("ord % 2 = 0"), n.where("ord % 3 = 0"), n.where("ord % 5 = 0"))
+
+
+@query("""
+    SELECT s_name AS path, CAST(floor((row_number() OVER (ORDER BY s_name) - 1) / 20) AS BIGINT) AS batch FROM supplier WHERE s_name NOT IN (SELECT s_name FROM supplier WHERE s_nationkey = 3)""")
+def upload_batches(spark, folder):
+    s = table(spark, folder, "supplier").select(F.col("s_name").alias("path"), "s_nationkey")
+    return indexing.upload_batches(s.select("path"), s.where("s_nationkey = 3").select("path"), size=20)
+
+
+@query("SELECT user_id AS paper, arg_max(event_type, (ts, event_id)) AS mode FROM events WHERE value > 20 GROUP BY 1")
+def newest_modes(spark, folder):
+    e = table(spark, folder, "events").select(F.col("user_id").alias("paper"), F.col("event_type").alias("mode"), F.when(F.col("value") > 20, "complete").otherwise("failed").alias("stage"), F.struct("ts", "event_id").alias("ts"))
+    return indexing.newest_modes(e)
