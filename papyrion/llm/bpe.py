@@ -19,6 +19,7 @@ import codecs
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -173,6 +174,12 @@ class Transducer:
         yield machine.decode(b"", True)
 
 
+@lru_cache(maxsize=2)
+def transducer(path: str) -> Transducer:
+    """This process's transducer: a Python worker keeps it, and its cache of words, from task to task."""
+    return Transducer(path)
+
+
 def digest(transducer: Transducer, text: str) -> tuple[int, str, str]:
     """(number of ids, SHA-256 of the ids, SHA-256 of the decoded text)."""
     ids, back = hashlib.sha256(), hashlib.sha256()
@@ -192,9 +199,9 @@ def digest(transducer: Transducer, text: str) -> tuple[int, str, str]:
 
 def _round_trip(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer = Transducer(path)
+        own = transducer(path)
         for batch in batches:
-            found = [digest(transducer, x.as_py() or "") for x in batch.column(1)]
+            found = [digest(own, x.as_py() or "") for x in batch.column(1)]
             columns = list(zip(*found, strict=True)) or [[], [], []]
             kinds = (pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -215,9 +222,9 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 def _ids(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer = Transducer(path)
+        own = transducer(path)
         for batch in batches:
-            ids = [np.frombuffer(b"".join(transducer.encode(x.as_py() or "")), "<u4").astype(np.int32) for x in batch.column(1)]
+            ids = [np.frombuffer(b"".join(own.encode(x.as_py() or "")), "<u4").astype(np.int32) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return run
@@ -231,9 +238,9 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 def _texts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer = Transducer(path)
+        own = transducer(path)
         for batch in batches:
-            texts = [None if x is None else "".join(transducer.decode([np.array(x, "<u4").tobytes()])) for x in batch.column(1).to_pylist()]
+            texts = [None if x is None else "".join(own.decode([np.array(x, "<u4").tobytes()])) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return run

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrion.llm.prefix import running_sums
-from papyrion.llm.vocabulary import TokenCounter, small_groups
+from papyrion.llm.vocabulary import small_groups, token_counter
 from papyrion.workspace import materialize
 
 
@@ -25,7 +25,7 @@ def counter(path: str):
     """mapInArrow function that replaces the last column, a text, by its number of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = TokenCounter(path)
+        tokens = token_counter(path)
         for batch in batches:
             counts = [n for group in small_groups(batch.column(batch.num_columns - 1).to_pylist()) for n in tokens.count(group)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens"])

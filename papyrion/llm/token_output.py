@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyrion.llm import elias_fano
-from papyrion.llm.vocabulary import WordEncoder, small_groups
+from papyrion.llm.vocabulary import small_groups, word_encoder
 from papyrion.workspace import materialize, shared_folder
 
 FOOTER = "<QQQqQI8s"
@@ -45,7 +45,7 @@ def _locate(path: str) -> tuple[fs.FileSystem, str]:
 
 def _writer(folder: str, tokenizer_path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = word_encoder(tokenizer_path)
         width = np.dtype(encoder.kind).itemsize
         end = np.array([end_id], encoder.kind).tobytes()
         shard = TaskContext.get().partitionId()

@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -26,7 +29,7 @@ LONGEST = 64
 class Cache(dict):
     """piece -> value; a missing piece is looked up in the older generation, then made."""
 
-    def __init__(self, make: Callable, limit: int = 300_000):
+    def __init__(self, make: Callable, limit: int = 500_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
@@ -70,28 +73,56 @@ def spaced_pieces(text: str) -> tuple[str, list[str]]:
 class WordEncoder:
     """Ids of texts under a tokenizer that drops white space (``word_bpe_49k``): words apart by ASCII white space."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         self.tokenizer = load(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4"
         self.cache = Cache(self._one, limit)
 
+    def pack(self, ids: list[int]) -> bytes:
+        if sys.byteorder == "little":  # far quicker than numpy for a few ids
+            return array("H" if self.kind == "<u2" else "I", ids).tobytes()
+        return packed(ids, self.kind)
+
     def _one(self, word: bytes) -> bytes:
-        return packed(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind)
+        return self.pack(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
         cut = [t.encode("utf-8", "replace").split() for t in texts]
-        cache, old = self.cache, self.cache.old
-        new = [w for w in set().union(*cut) if w not in cache and w not in old and len(w) <= LONGEST]
-        for word, found in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            cache.put(word, packed(found.ids, self.kind))
-        return [b"".join(map(cache.__getitem__, words)) for words in cut]
+        cache, old, get = self.cache, self.cache.old, self.cache.get
+        codes = [list(map(get, words)) for words in cut]
+        gaps = [(k, i) for k, known in enumerate(codes) if None in known for i, code in enumerate(known) if code is None]
+        parts = {w: self._parts(w) for w in {cut[k][i] for k, i in gaps} if w not in old and len(w) <= LONGEST}
+        asked = {p for ps in parts.values() for p in ps if p not in cache and p not in old}
+        made = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in asked], add_special_tokens=False)
+        pack = self.pack
+        ids = {p: pack(found.ids) for p, found in zip(asked, made, strict=True)}
+        fresh = {w: b"".join([ids[p] if p in ids else cache[p] for p in ps]) for w, ps in parts.items()}
+        for k, i in gaps:
+            word = cut[k][i]
+            codes[k][i] = fresh[word] if word in fresh else cache[word]
+        for word, code in (ids | fresh).items():
+            cache.put(word, code)
+        return list(map(b"".join, codes))
+
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, ...]:
+        """Letters and the punctuation after them apart, as the tokenizer cuts them; ASCII in lower case, as it is folded."""
+        if word.isalpha() and word.islower():
+            return (word,)
+        text = word.decode("utf-8", "replace")
+        stem = text.rstrip(".,;:!?")
+        if not stem.isalpha():
+            return (word,)
+        core = stem.encode()
+        core = core.lower() if core.isascii() else core
+        return (core, text[len(stem) :].encode()) if len(stem) < len(text) else (core,)
 
 
 class TokenCounter:
     """Number of ids of whole texts under a byte-level BPE tokenizer that starts words at spaces."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         self.tokenizer = load(path)
         self.inner = Cache(lambda piece: self._count(" " + piece), limit)
         self.other = Cache(self._count, 10_000)
@@ -114,6 +145,18 @@ class TokenCounter:
         return out
 
 
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """This process's encoder: a Python worker keeps it, and its cache, from task to task."""
+    return WordEncoder(path)
+
+
+@lru_cache(maxsize=2)
+def token_counter(path: str) -> TokenCounter:
+    """This process's counter, kept from task to task."""
+    return TokenCounter(path)
+
+
 def small_groups(texts: list[str | None], most: int = 1 << 20):
     """The texts (null as empty) in lists of about ``most`` characters at most, longer texts alone."""
     held: list[str] = []
