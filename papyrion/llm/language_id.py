@@ -21,9 +21,12 @@ rows are separate documents; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrion.llm.vocabulary import Cache
 from papyrion.workspace import materialize
 
 UNKNOWN = "und"
@@ -88,9 +90,18 @@ class TextModel:
         self.logs = np.concatenate([table, flat], axis=1)
         self.names.append(UNKNOWN)
 
-    def word(self, word: str) -> np.ndarray:
-        unseen = len(self.grams)
-        return self.logs[[self.grams.get(g, unseen) for g in trigrams(word)]].sum(axis=0)
+        self._letters = sorted({c for g in grams for c in g if c != " "})
+
+    def tables(self) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+        """(class of each code point, classes, sorted trigram codes, row of each code): 0 is no letter, 1 an unknown one."""
+        classes = np.fromiter((c.isalnum() and not c.isdecimal() for c in map(chr, range(0x110000))), np.uint16, 0x110000)
+        for k, letter in enumerate(self._letters):
+            classes[ord(letter)] = k + 2
+        size = len(self._letters) + 2
+        place = {" ": 0} | {c: k + 2 for k, c in enumerate(self._letters)}
+        codes = np.array([(place[g[0]] * size + place[g[1]]) * size + place[g[2]] for g in self.grams], np.int64)
+        order = np.argsort(codes)
+        return classes, size, codes[order], np.array(list(self.grams.values()), np.int64)[order]
 
 
 def fit_text_model(rows: DataFrame, text_col: str, label_col: str, sample: int = 2000) -> TextModel:
@@ -107,34 +118,49 @@ def fit_text_model(rows: DataFrame, text_col: str, label_col: str, sample: int =
 
 
 class Scorer:
-    """Tempered text log-likelihoods of documents, with a bounded cache of words."""
+    """Tempered text log-likelihoods: each letter adds the log-probability of it and its neighbours.
+
+    Texts are taken in blocks, so besides the text itself the memory is constant.
+    """
+
+    def __init__(self, model: TextModel, temper: float, block: int = 1 << 16):
+        self.temper, self.block = temper, block
+        self.classes, self.size, self.codes, self.rows = model.tables()
+        self.logs = model.logs
+        self.unseen = len(model.grams)
+        self.dense = None
+        if self.size <= 128:
+            self.dense = np.full(self.size**3, self.unseen, np.int32)
+            self.dense[self.codes] = self.rows
+
+    def _rows(self, codes: np.ndarray) -> np.ndarray:
+        if self.dense is not None:
+            return self.dense[codes]
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.rows[at], self.unseen)
 
-    def __init__(self, model: TextModel, temper: float, limit: int = 200_000):
-        self.model, self.temper, self.limit = model, temper, limit
-        self._clear()
+    def score(self, text: str) -> tuple[np.ndarray, int]:
+        """(log-likelihood by language, number of letters)."""
+        points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+        total, letters = np.zeros(self.logs.shape[1]), 0
+        for at in range(0, len(points), self.block):
+            part = self.classes[points[max(0, at - 1) : at + self.block + 1]].astype(np.int64)
+            part = np.concatenate([[0] * (at == 0), part, [0] * (at + self.block >= len(points))]).astype(np.int64)
+            centre = np.flatnonzero(part[1:-1]) + 1
+            codes = (part[centre - 1] * self.size + part[centre]) * self.size + part[centre + 1]
+            total += np.bincount(self._rows(codes), minlength=len(self.logs)) @ self.logs
+            letters += len(centre)
+        return self.temper * total, letters
 
-    def _clear(self) -> None:
-        self.rows = np.zeros((1024, len(self.model.names)))
-        self.used = 0
-        self.places = Cache(self._place, self.limit + 1)
 
-    def _place(self, word: str) -> int:
-        if self.used == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.used] = self.model.word(word)
-        self.used += 1
-        return self.used - 1
+@lru_cache(maxsize=2)
+def _scorer(key: str, data: bytes, temper: float) -> Scorer:
+    return Scorer(pickle.loads(data), temper)
 
-    def score(self, text: str) -> tuple[np.ndarray, int]:
-        """(log-likelihood by language, number of words)."""
-        if self.used > self.limit:
-            self._clear()
-        words = LETTERS.findall(text.lower())
-        total = np.zeros(len(self.model.names))
-        for at in range(0, len(words), 1 << 14):
-            places = np.fromiter(map(self.places.__getitem__, words[at : at + (1 << 14)]), np.int64)
-            total += self.rows[places].sum(axis=0)
-        return self.temper * total, len(words)
+
+def shared_scorer(model: bytes, temper: float) -> Scorer:
+    """This process's scorer of a pickled model, kept from task to task."""
+    return _scorer(hashlib.sha256(model).hexdigest(), model, temper)
 
 
 def normalised(logs: np.ndarray) -> np.ndarray:
@@ -150,9 +176,11 @@ def declared_logs(names: list[str], said: str | None, trust: float) -> np.ndarra
     return np.log(np.where(np.array(names) == code, trust, (1 - trust) / max(1, len(names) - 1)))
 
 
-def _text_posteriors(model: TextModel, temper: float):
+def _text_posteriors(fitted: TextModel, temper: float):
+    model = pickle.dumps(fitted)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model, temper)
+        scorer = shared_scorer(model, temper)
         sums: dict[tuple, np.ndarray] = {}
 
         def flush() -> pa.RecordBatch:
@@ -194,10 +222,10 @@ def host_priors(rows: DataFrame, model: TextModel, temper: float, strength: floa
 
 
 def _fuse(model: TextModel, temper: float, trust: float, suffix_trust: float, strength: float, least: float, passed: int):
-    names = model.names
+    names, data = model.names, pickle.dumps(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model, temper)
+        scorer = shared_scorer(data, temper)
         for batch in batches:
             out: list[tuple] = []
             for text, said, suffix, mass, base in zip(*batch.columns[passed:], strict=True):
