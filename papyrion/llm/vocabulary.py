@@ -76,6 +76,7 @@ class WordEncoder:
     def __init__(self, path: str, limit: int = 500_000):
         self.tokenizer = load(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4"
+        self.folds = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("\u00c9A") == "\u00e9a"
         self.cache = Cache(self._one, limit)
 
     def pack(self, ids: list[int]) -> bytes:
@@ -88,35 +89,27 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
-        cut = [t.encode("utf-8", "replace").split() for t in texts]
-        cache, old, get = self.cache, self.cache.old, self.cache.get
+        cut = [self.folded(t).encode("utf-8", "replace").split() for t in texts]
+        old, get = self.cache.old, self.cache.get
         codes = [list(map(get, words)) for words in cut]
         gaps = [(k, i) for k, known in enumerate(codes) if None in known for i, code in enumerate(known) if code is None]
-        parts = {w: self._parts(w) for w in {cut[k][i] for k, i in gaps} if w not in old and len(w) <= LONGEST}
-        asked = {p for ps in parts.values() for p in ps if p not in cache and p not in old}
-        made = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in asked], add_special_tokens=False)
-        pack = self.pack
-        ids = {p: pack(found.ids) for p, found in zip(asked, made, strict=True)}
-        fresh = {w: b"".join([ids[p] if p in ids else cache[p] for p in ps]) for w, ps in parts.items()}
+        new = [w for w in {cut[k][i] for k, i in gaps} if w not in old and len(w) <= LONGEST]
+        made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        fresh = {w: self.pack(found.ids) for w, found in zip(new, made, strict=True)}
         for k, i in gaps:
             word = cut[k][i]
-            codes[k][i] = fresh[word] if word in fresh else cache[word]
-        for word, code in (ids | fresh).items():
-            cache.put(word, code)
+            codes[k][i] = fresh[word] if word in fresh else self.cache[word]
+        for word, code in fresh.items():
+            self.cache.put(word, code)
         return list(map(b"".join, codes))
 
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, ...]:
-        """Letters and the punctuation after them apart, as the tokenizer cuts them; ASCII in lower case, as it is folded."""
-        if word.isalpha() and word.islower():
-            return (word,)
-        text = word.decode("utf-8", "replace")
-        stem = text.rstrip(".,;:!?")
-        if not stem.isalpha():
-            return (word,)
-        core = stem.encode()
-        core = core.lower() if core.isascii() else core
-        return (core, text[len(stem) :].encode()) if len(stem) < len(text) else (core,)
+    def folded(self, text: str) -> str:
+        """The text in lower case if the tokenizer folds case, so that fewer words differ.
+
+        Two letters whose folding depends on more than themselves are left to the tokenizer,
+        and so are texts with one of its special tokens.
+        """
+        return text.lower() if self.folds and "\u03a3" not in text and "\u0130" not in text and "<|" not in text else text
 
 
 class TokenCounter:
