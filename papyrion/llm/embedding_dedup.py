@@ -1,7 +1,7 @@
 """Near duplicates among embeddings by iterative quantisation and multi-index Hamming tables.
 
-A rotation of the leading principal directions is learned on a bounded sample (``sample``
-vectors of smallest hashed id) so that the signs of the rotated coordinates are balanced and
+A rotation of the leading principal directions is learned on a bounded sample (about
+``sample`` vectors, chosen by a hash of their ids) so that the signs of the rotated coordinates are balanced and
 lose little (ITQ, Gong and Lazebnik 2011).  The 64-bit codes are cut into ``tables`` substrings;
 codes that agree in one are compared bit-sliced, and pairs within ``radius`` bits are reranked
 with the original vectors in double precision.  All pairs of codes less than ``tables`` bits
@@ -136,7 +136,8 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, tables: int = 8
     rows = rows.withColumns({"h1": F.xxhash64("label", "v"), "h2": F.hash("v", "label")})
     classes = rows.where("ok").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.any_value("label").alias("label"), F.any_value("v").alias("v"))
     classes = materialize(classes, "classes")
-    learned = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toArrow().column(0)
+    share = min(1.0, sample / max(1, classes.count()))
+    learned = classes.where(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 31)) < int(share * (1 << 31))).select("v").toArrow().column(0)
     size = int(np.median([len(x) for x in learned])) if len(learned) else 1
     mean, directions = learn_rotation(unit_rows(learned, size))
     fields = classes.select("rep", "n", "label", "v")

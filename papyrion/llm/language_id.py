@@ -10,8 +10,8 @@ The posterior of a document's language multiplies four kinds of evidence:
   aggregation of the text posteriors, smoothed towards the parent domain's and those towards
   the corpus's.  A document's own share is taken out of its prior.
 
-The trigram models are fitted on at most ``sample`` labelled rows (those of smallest hashed
-id), besides a few function words of each known language.
+The trigram models are fitted on about ``sample`` labelled rows (chosen by a hash of the
+row), besides a few function words of each known language.
 
 A document is accepted if its best language isn't ``und`` and has a posterior of at least
 ``least``.  Texts without letters (null and empty ones too) get ``und`` and aren't accepted.
@@ -105,9 +105,16 @@ class TextModel:
 
 
 def fit_text_model(rows: DataFrame, text_col: str, label_col: str, sample: int = 2000) -> TextModel:
-    """Fit on at most ``sample`` labelled rows and the function words; the counts come from a grouped aggregation."""
-    labelled = rows.select(F.lower(F.trim(F.col(label_col))).alias("lang"), F.col(text_col).alias("t")).where(F.col("lang").rlike("^[a-z]{2,3}$") & (F.col("lang") != UNKNOWN))
-    chosen = labelled.orderBy(F.xxhash64("lang", "t"), "lang").limit(sample)
+    """Fit on about ``sample`` labelled rows and the function words; the counts come from a grouped aggregation.
+
+    The rows whose hash (of all columns) is below sample / labelled rows are taken where they
+    lie, so no text moves; fewer labelled rows are all taken.
+    """
+    lang = F.lower(F.trim(F.col(label_col)))
+    labelled = rows.where(lang.rlike("^[a-z]{2,3}$") & (lang != UNKNOWN))
+    share = sample / max(1, labelled.count())
+    chosen = labelled.where(F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]), F.lit(1 << 31)) < int(min(1.0, share) * (1 << 31)))
+    chosen = chosen.select(lang.alias("lang"), F.col(text_col).alias("t"))
     counts = chosen.mapInArrow(_counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
     found: Counter = Counter({(r.lang, r.gram): r.n for r in counts})
     for lang, words in FUNCTION_WORDS.items():
