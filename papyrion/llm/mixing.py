@@ -6,6 +6,9 @@ bisection so that the weights meet a target entropy or so that no source is repe
 fit its quota and then a part of a pass.  Its documents lie in blocks (by a hash), each pass is
 a permutation of the blocks, and the partial pass takes blocks in that order while they fit,
 so a decision about a source is one threshold on the permutation's key and no document moves.
+A block has about ``block_tokens`` tokens and at most about ``1 / parts`` of the partial pass
+(or is a single document), and the source falls short by less than the first block that no
+longer fits.
 
 Without a budget the source with the lowest rate is used exactly once and the others are
 repeated, so no document is lost.  A source that is null is a source of its own; null and
@@ -71,6 +74,12 @@ def solve_exponent(tokens: list[int], target_entropy: float | None = None, max_r
     return high
 
 
+def block_count(tokens: int, quota: float, block_tokens: int, parts: int) -> int:
+    """Blocks of a source whose partial pass has ``quota`` tokens; more blocks than tokens are of no use."""
+    fine = math.ceil(parts * tokens / quota) if quota >= 1 else 1
+    return max(1, math.ceil(tokens / block_tokens), min(tokens, fine))
+
+
 def _block(seed: int, id_col: str, text_col: str, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(id_key(F.col(id_col)), text_key(F.col(text_col)), F.lit(seed)), blocks)
 
@@ -80,7 +89,7 @@ def _order(seed: int, source: Column, block: Column, turn: Column) -> Column:
     return F.xxhash64(source, block, turn, F.lit(seed))
 
 
-def mixing_plan(docs: DataFrame, path: str, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None, block_tokens: int = 1 << 20, seed: int = 0, max_sources: int = 100_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixing_plan(docs: DataFrame, path: str, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None, block_tokens: int = 1 << 20, parts: int = 256, seed: int = 0, max_sources: int = 100_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A written row per source: source, tokens, weight, quota, passes, blocks, threshold (null: no block of the last pass)."""
     spark = docs.sparkSession
     spot = F.xxhash64(id_key(F.col(id_col)), text_key(F.col(text_col)), F.lit(seed)).alias("spot")
@@ -98,7 +107,8 @@ def mixing_plan(docs: DataFrame, path: str, target_entropy: float | None = None,
         w, r = [0.0] * len(tokens), [1.0] * len(tokens)
     for row, weight, rate in zip(found, w, r, strict=True):
         whole = math.floor(rate + 1e-9)
-        plan.append((row.source, row.tokens, weight, max(0.0, rate - whole) * row.tokens, whole, max(1, math.ceil(row.tokens / block_tokens))))
+        quota = max(0.0, rate - whole) * row.tokens
+        plan.append((row.source, row.tokens, weight, quota, whole, block_count(row.tokens, quota, block_tokens, parts)))
     plan = materialize(spark.createDataFrame(plan, PLAN), "plan")
     blocks = rows.alias("d").join(F.broadcast(plan.alias("p")), F.col("d.source").eqNullSafe(F.col("p.source")))
     key = _order(seed, F.col("p.source"), F.pmod("spot", "blocks"), F.col("passes"))

@@ -182,3 +182,20 @@ def test_mixing(spark):
     half = mix_sources(df, BYTE, target_entropy=0.5, budget=500.0, block_tokens=50).collect()
     assert 300 < sum(x.copies * size[x.doc_id, text[x.doc_id]] for x in half) <= 500
     assert mix_sources(df.limit(0), BYTE, **options).count() == 0
+
+
+def test_mixing_realises_the_weights_of_small_sources(spark):
+    """With the default parameters, where a source has far fewer tokens than a block may have."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(["word"] * rng.randrange(5, 40)), s) for k, s in enumerate(["a"] * 4000 + ["b"] * 1500 + ["c"] * 700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    encoder = Tokenizer.from_file(BYTE)
+    size = {k: len(encoder.encode(t).ids) for k, t, _ in rows}
+    tokens = [sum(size[k] for k, _, x in rows if x == s) for s in "abc"]
+    for options in ({"max_repeats": 1.99}, {"max_repeats": 3.9}, {"max_repeats": 1.5, "budget": 0.6 * sum(tokens)}):
+        got = mix_sources(df, BYTE, **options).collect()
+        target, r = rates(tokens, solve_exponent(tokens, **options), options.get("budget"))
+        used = [sum(x.copies * size[x.doc_id] for x in got if x.source == s) for s in "abc"]
+        for s, t, rate, n in zip("abc", tokens, r, used, strict=True):
+            assert 0.98 * rate * t <= n <= rate * t + 1e-6, (s, options)
+        assert [n / sum(used) for n in used] == pytest.approx(target, abs=0.01)
