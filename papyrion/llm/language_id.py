@@ -104,17 +104,23 @@ class TextModel:
         return classes, size, codes[order], np.array(list(self.grams.values()), np.int64)[order]
 
 
-def fit_text_model(rows: DataFrame, text_col: str, label_col: str, sample: int = 2000) -> TextModel:
+def fit_text_model(rows: DataFrame, text_col: str, label_col: str, sample: int = 2000, per_language: int = 200) -> TextModel:
     """Fit on about ``sample`` labelled rows and the function words; the counts come from a grouped aggregation.
 
-    The rows whose hash (of all columns) is below sample / labelled rows are taken where they
-    lie, so no text moves; fewer labelled rows are all taken.
+    Labels are counted over all rows, and each language gives its part of the sample, but about
+    ``per_language`` rows at least (all, if it has fewer), so no declared language is without a
+    model.  The rows whose hash (of all columns) is below their language's limit are taken where
+    they lie, so no text moves; the limit is above the language's smallest hash, as repeated rows
+    share theirs.  The pattern bounds the number of labels.
     """
-    lang = F.lower(F.trim(F.col(label_col)))
-    labelled = rows.where(lang.rlike("^[a-z]{2,3}$") & (lang != UNKNOWN))
-    share = sample / max(1, labelled.count())
-    chosen = labelled.where(F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]), F.lit(1 << 31)) < int(min(1.0, share) * (1 << 31)))
-    chosen = chosen.select(lang.alias("lang"), F.col(text_col).alias("t"))
+    lang = F.regexp_extract(F.lower(F.trim(F.col(label_col))), r"^([a-z]{2,3})(?:[-_]|$)", 1)
+    spot = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]), F.lit(1 << 31))
+    labelled = rows.select(lang.alias("lang"), F.col(text_col).alias("t"), spot.alias("spot")).where((F.col("lang") != "") & (F.col("lang") != UNKNOWN))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("spot").alias("first")).collect()
+    total = sum(r.n for r in sizes)
+    limits = [(r.lang, max(int(min(1.0, max(sample / total, per_language / r.n)) * (1 << 31)), r.first + 1)) for r in sizes]
+    limits = rows.sparkSession.createDataFrame(limits, "lang string, bound long")
+    chosen = labelled.join(F.broadcast(limits), "lang").where("spot < bound").select("lang", "t")
     counts = chosen.mapInArrow(_counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
     found: Counter = Counter({(r.lang, r.gram): r.n for r in counts})
     for lang, words in FUNCTION_WORDS.items():

@@ -52,3 +52,11 @@ def test_pages_use_markup_suffix_and_host(spark):
     assert got[3].__getitem__("__lang") == "fr" and got[100].__getitem__("__lang") == "fr"
     assert got[100].__getitem__("__probability") > got[101].__getitem__("__probability") or got[101].__getitem__("__lang") != "fr"
     assert np.isclose(got[102].__getitem__("__probability"), 0)
+
+
+def test_every_declared_language_is_modelled(spark):
+    common = spark.range(6000).selectExpr("id doc_id", "concat('the of and to in that it was for ', id) text", "'en' lang")
+    rare = spark.createDataFrame([(9001, "zażółć gęślą jaźń", "pl"), (9002, "ação não coração", "pt-BR")], common.schema)
+    same = spark.range(5000).selectExpr("1L doc_id", "'yksi kaksi kolme' text", "'fi' lang")
+    names = fit_text_model(common.unionByName(rare).unionByName(same), "text", "lang", 50, per_language=5).names
+    assert {"en", "fi", "pl", "pt"} <= set(names)
