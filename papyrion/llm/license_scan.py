@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 
 from papyrion.llm.boosting import calibrate
 
-TOPIC = r"(?i)licen[cs]|copyright|\bcopyleft|redistribut|warrant|public domain|rights reserved|permission"
+# Words of licences, and the families' names and abbreviations (MIT in capitals: "mit" is a German word).
+WORDS = r"licen[cs]|copyright|\bcopyleft|redistribut|warrant|public domain|rights reserved|permission"
+NAMES = r"creative[\s-]+commons|\bcc[\s_-]*(?:by|0|zero)(?![a-z])|\b[al]?gpl|\bgnu\b|general public|\bbsd\b|\bisc\b|\bmpl|\bmozilla\b|\bapache\b|\bspdx\b|\bunder\s+(?:the\s+)?mit\b|(?-i:\bMIT\b)|unencumbered|proprietary|confidential"
+TOPIC = rf"(?i){WORDS}|{NAMES}"
 UNKNOWN = "unknown"
 
 # Short template paragraphs by licence family.

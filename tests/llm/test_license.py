@@ -42,3 +42,12 @@ def test_scan(spark, model):
     assert [r.family for r in by[100]] == ["unknown"] and not by[100][0].confirmed
     assert len(by[104]) == 2 and by[104][0].paragraph == 1 and not {101, 102, 103} & set(by)
     assert scan_licenses(df.limit(0), model=model).count() == 0
+
+
+def test_notices_without_the_word_licence(spark, model):
+    notices = ["Released under CC BY-SA 4.0", "Released under GPL v3", "Available under MIT", "Code: Apache-2.0", "Creative Commons Attribution 4.0 International", "SPDX: BSD-3-Clause", "CC0 1.0 Universal", "LGPLv2.1 or later", "AGPL-3.0", "MPL 2.0", "ISC", "Dual MIT/Apache", "Made available under CC-BY-NC 4.0"]
+    rows = [(k, f"Some words here.\n\n{t}\n\nMore words.") for k, t in enumerate(notices)] + [(100, "Er kommt mit dem Bus, sie limit the account")]
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), model=model).collect()
+    assert sorted((r.doc_id, r.paragraph) for r in got) == [(k, 1) for k in range(len(notices))]
+    family = {notices[r.doc_id]: r.family for r in got}
+    assert family["Released under CC BY-SA 4.0"] == "CC-BY-SA" and family["Made available under CC-BY-NC 4.0"] == "CC-BY-NC"
