@@ -1,13 +1,16 @@
 """Byte-level BPE as a streaming transducer, and its inverse.
 
-Encoding reads a text piece by piece.  Words are cut as the byte-level pattern cuts them.  A
-word that fits the lookahead is merged directly, and every token of it is stable as its end is
-known.  A longer word goes through the transducer: for each prefix it finds the one token that
-ends the prefix's encoding (the only vocabulary entry that is compatible with the last token
-of the shorter prefix), so a prefix's encoding is a path of back links.  Any encoding of a
-continuation passes through a prefix end within the last ``lookahead`` bytes (the longest
-token of the merge list), so what the paths from all those ends share is stable: it is
-emitted and forgotten.  Memory stays constant for a given merge list.
+Words are cut as the byte-level pattern cuts them, and every word, long or short, runs through
+the transducer as a stream of parts.  For each prefix the transducer finds the one token that
+ends the prefix's encoding: the only vocabulary entry that may follow the last token of the
+shorter prefix.  Two tokens may stand side by side if no merge of the list would have crossed
+their border while they were built, which their derivations decide.  So a prefix's encoding is
+a path of back links.
+
+The sufficient lookahead of a merge list is its longest token: any encoding of a continuation
+passes through a prefix end within the last ``lookahead`` bytes, so what the paths from all
+those ends share is stable, is emitted and forgotten.  Memory stays constant for a given merge
+list however long a word is.  Short pieces are kept in a bounded cache of the transducer's output.
 
 Decoding feeds the tokens' bytes to an incremental UTF-8 machine that keeps at most three
 bytes between steps and replaces malformed sequences by U+FFFD.
@@ -18,8 +21,12 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import math
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +34,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.llm.vocabulary import CUT, ODD, Cache
+from papyrion.llm.vocabulary import CUT, LONGEST, ODD, Cache
 
 # How byte-level BPE cuts words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
 
+SHORT = (1, 2)
+#: Bytes at the start of a word for which the transducer's state is remembered.
+PREFIX = 16
+
+
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in a byte-level vocabulary, inverted."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -61,6 +73,7 @@ class Transducer:
             a, b = (merge.split(" ") if isinstance(merge, str) else merge)
             a, b = raw(a), raw(b)
             self.pairs[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
+        self._derive()
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         if any(a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"] for a in spec["added_tokens"]):
             raise ValueError("only plain added tokens are supported")
@@ -68,64 +81,97 @@ class Transducer:
         self.kind = "<u4"
         #: Bytes of the longest token: a continuation can move no boundary without passing one of the last so many prefix ends.
         self.lookahead = max(map(len, self.ids))
-        self.sizes = sorted({len(t) for t in self.ids}, reverse=True)
         self.step = step
+        sizes: dict[bytes, set[int]] = {}
+        for t in self.ids:
+            if len(t) > 2:
+                sizes.setdefault(t[-3:], {1, 2}).add(len(t))
+        #: Sizes of the tokens that end in three given bytes, ascending; other ends have tokens of one or two bytes only.
+        self.sizes = {t: tuple(sorted(n)) for t, n in sizes.items()}
         self.words = regex.compile(WORDS)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[tuple[int | None, int], bool] = {}
+        self.known: dict[bytes, int] = {}
         self.inner = Cache(lambda piece: self._packed(" " + piece), limit)
         self.other = Cache(self._packed, 10_000)
 
-    def merge(self, data: bytes) -> list[int]:
-        """Ids of a short byte string, by merging the pair of lowest rank, leftmost first."""
-        parts = [self.single[b] for b in data]
-        pairs = self.pairs
-        while len(parts) > 1:
-            best, at, made = None, 0, 0
-            for k in range(len(parts) - 1):
-                found = pairs.get((parts[k], parts[k + 1]))
-                if found is not None and (best is None or found[0] < best):
-                    best, made, at = found[0], found[1], k
-            if best is None:
-                break
-            parts[at : at + 2] = [made]
-        return parts
-
-    def _fits(self, before: int | None, token: int) -> bool:
-        """Whether ``token`` follows ``before`` in the encoding of their bytes."""
-        key = (-1 if before is None else before, token)
-        known = self.compatible.get(key)
-        if known is None:
-            if len(self.compatible) > 500_000:
-                self.compatible.clear()
-            alone = self.merge(self.bytes_of[token]) == [token]
-            known = alone and (before is None or self.merge(self.bytes_of[before] + self.bytes_of[token]) == [before, token])
-            self.compatible[key] = known
-        return known
+    def _derive(self) -> None:
+        """For each token the chains of pieces at its left and right edge, with the rank at which each is merged away."""
+        made = {token: (a, b, rank) for (a, b), (rank, token) in reversed(self.pairs.items())}
+        if any(made[part][2] >= rank for (a, b), (rank, _) in self.pairs.items() for part in (a, b) if part in made):
+            raise ValueError("a merge comes before its parts")
+        self.left: dict[int, list[tuple[int, float]]] = {b: [(b, math.inf)] for b in self.single}
+        self.right = dict(self.left)
+        for token, (a, b, rank) in sorted(made.items(), key=lambda item: item[1][2]):
+            if a in self.left and b in self.right and self._fits(a, b, rank):
+                self.left[token] = [*self.left[a][:-1], (a, rank), (token, math.inf)]
+                self.right[token] = [*self.right[b][:-1], (b, rank), (token, math.inf)]
+
+    def _fits(self, before: int, token: int, until: float = math.inf) -> bool:
+        """Whether no merge of a rank below ``until`` crosses the border of two tokens.
+
+        Both are built in order of rank, leftmost first on a tie; the pieces at the border are
+        compared while they last.
+        """
+        x, y = self.right.get(before), self.left.get(token)
+        if x is None or y is None:
+            return False
+        i = j = 0
+        while True:
+            (a, a_ends), (b, b_ends) = x[i], y[j]
+            met = self.pairs.get((a, b))
+            if met is not None and met[0] < a_ends and met[0] <= b_ends and met[0] < until:
+                return False
+            if a_ends <= b_ends:
+                if a_ends == math.inf:
+                    return True
+                i += 1
+            else:
+                j += 1
 
     def stream(self, parts: Iterable[bytes]) -> Iterator[int]:
         """Ids of one word that comes in parts, emitted once stable."""
-        held = b""  # bytes since the last stable end
+        held, start = b"", True  # bytes since the last stable end, and whether they begin the word
         last: list[int | None] = [None]  # token that ends the encoding of each prefix of held
+        ids, sizes, fits, known = self.ids, self.sizes, self.compatible, self.known
         for part in parts:
             for at in range(0, len(part), self.step):
                 begin = len(held) + 1
                 held += part[at : at + self.step]
                 for end in range(begin, len(held) + 1):
-                    for size in self.sizes:
-                        if size <= end:
-                            token = self.ids.get(held[end - size : end])
-                            if token is not None and self._fits(last[end - size], token):
+                    if start and end <= PREFIX:
+                        token = known.get(held[:end])
+                        if token is not None:
+                            last.append(token)
+                            continue
+                    for size in sizes.get(held[end - 3 : end], SHORT) if end > 2 else SHORT:
+                        begin = end - size
+                        if begin < 0:
+                            break
+                        token = ids.get(held[begin:end])
+                        if token is not None:
+                            before = last[begin]
+                            good = fits.get((before, token))
+                            if good is None:
+                                if len(fits) >= 500_000:
+                                    fits.clear()
+                                good = fits[before, token] = token in self.left if before is None else self._fits(before, token)
+                            if good:
                                 last.append(token)
                                 break
-                ends = set(range(max(0, len(held) - self.lookahead + 1), len(held) + 1))
-                while len(ends) > 1:
-                    end = max(ends)
-                    ends.remove(end)
-                    ends.add(end - len(self.bytes_of[last[end]]))
-                cut = ends.pop()
-                yield from self._path(last, cut)
-                held, last = held[cut:], last[cut:]  # the token before still decides what may follow
+                    if start and end <= PREFIX:
+                        if len(known) >= 300_000:
+                            known.clear()
+                        known[held[:end]] = last[end]
+                if len(held) >= 2 * self.lookahead:
+                    ends = set(range(len(held) - self.lookahead + 1, len(held) + 1))
+                    while len(ends) > 1:
+                        end = max(ends)
+                        ends.remove(end)
+                        ends.add(end - len(self.bytes_of[last[end]]))
+                    cut = ends.pop()
+                    yield from self._path(last, cut)
+                    held, last, start = held[cut:], last[cut:], start and not cut  # the token before still decides what may follow
         yield from self._path(last, len(held))
 
     def _path(self, last: list, end: int) -> list[int]:
@@ -135,9 +181,8 @@ class Transducer:
             end -= len(self.bytes_of[last[end]])
         return out[::-1]
 
-    def word(self, word: str) -> list[int]:
-        data = word.encode("utf-8", "replace")
-        return self.merge(data) if len(data) <= self.lookahead else list(self.stream([data]))
+    def word(self, word: str, size: int = 4096) -> Iterator[int]:
+        return self.stream(word[at : at + size].encode("utf-8", "replace") for at in range(0, len(word), size))
 
     def pieces(self, text: str) -> Iterator[int]:
         """Ids of a text, token by token."""
@@ -151,19 +196,29 @@ class Transducer:
             yield from self.word(word.group())
 
     def _packed(self, piece: str) -> bytes:
-        return np.fromiter(self.pieces(piece), self.kind).tobytes()
+        ids = array("I", self.pieces(piece))  # quicker than numpy for a few ids
+        return ids.tobytes() if sys.byteorder == "little" else np.array(ids, self.kind).tobytes()
+
+    def _blocks(self, piece: str, size: int = 1 << 14) -> Iterator[bytes]:
+        """Packed ids of a long piece, in blocks."""
+        ids = self.pieces(piece)
+        while len(block := np.fromiter(islice(ids, size), self.kind)):
+            yield block.tobytes()
 
     def encode(self, text: str, step: int = 1 << 16) -> Iterator[bytes]:
-        """Packed ids of a whole text, in blocks of about ``step`` words."""
+        """Packed ids of a whole text, in blocks of about ``step`` words; long pieces pass as streams."""
         if ODD.search(text) is None:
             first, *rest = text.split(" ")
-            yield self.other[first]
-            for at in range(0, len(rest), step):
-                yield b"".join(map(self.inner.__getitem__, rest[at : at + step]))
+            cut = [([first], "", self.other)] + [(rest[at : at + step], " ", self.inner) for at in range(0, len(rest), step)]
         else:
-            cut = CUT.split(text)
-            for at in range(0, len(cut), step):
-                yield b"".join(map(self.other.__getitem__, cut[at : at + step]))
+            rest = CUT.split(text)
+            cut = [(rest[at : at + step], "", self.other) for at in range(0, len(rest), step)]
+        for group, space, cache in cut:
+            if max(map(len, group)) <= LONGEST:
+                yield b"".join(map(cache.__getitem__, group))
+            else:
+                for piece in group:
+                    yield from self._blocks(space + piece) if len(piece) > LONGEST else (cache[piece],)
 
     def decode(self, blocks: Iterable[bytes]) -> Iterator[str]:
         """The text of packed ids that come in blocks."""

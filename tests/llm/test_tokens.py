@@ -199,3 +199,45 @@ def test_mixing_realises_the_weights_of_small_sources(spark):
         for s, t, rate, n in zip("abc", tokens, r, used, strict=True):
             assert 0.98 * rate * t <= n <= rate * t + 1e-6, (s, options)
         assert [n / sum(used) for n in used] == pytest.approx(target, abs=0.01)
+
+
+def plain_merge(own, data):
+    """The merge list applied pair by pair, lowest rank and leftmost first."""
+    parts = [own.single[b] for b in data]
+    while True:
+        ranked = [(own.pairs[p], k) for k, p in enumerate(zip(parts, parts[1:], strict=False)) if p in own.pairs]
+        if not ranked:
+            return parts
+        (_, made), at = min(ranked)
+        parts[at : at + 2] = [made]
+
+
+def test_neighbours_follow_the_merge_list():
+    own = Transducer(BYTE)
+    rng = random.Random(12)
+    short = [i for i in own.left if len(own.bytes_of[i]) < 12]
+    for _ in range(20000):
+        a, b = rng.choice(short), rng.choice(short)
+        assert own._fits(a, b) == (plain_merge(own, own.bytes_of[a] + own.bytes_of[b]) == [a, b])
+    for text in ("aaaaaaa", "ababababa", "=========", " the theathe", "lllooollol"):
+        for k in range(1, len(text)):
+            for a in (text[:k],):
+                x, y = own.ids.get(a.encode()), own.ids.get(text[k:].encode())
+                if x is not None and y is not None:
+                    assert own._fits(x, y) == (plain_merge(own, text.encode()) == [x, y])
+    for word in ("a", "zyzzyva", "naïveté", "===-=-==", "日本"):
+        assert list(own.word(word)) == plain_merge(own, word.encode())
+
+
+def test_a_word_of_megabytes_streams_in_constant_memory():
+    own = Transducer(BYTE)
+    rng = random.Random(13)
+    text = "".join(rng.choice("thersainong") for _ in range(2_000_000))
+    import tracemalloc
+
+    "".join(own.decode(own.encode(text[:200_000])))  # the bounded tables fill
+    tracemalloc.start()
+    size = sum(len(part) for part in own.decode(own.encode(text)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size == len(text) and peak < 60_000_000 and len(own.known) <= 300_000
