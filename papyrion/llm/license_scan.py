@@ -1,11 +1,19 @@
 """License scans with a trained paragraph classifier, in Spark expressions only.
 
-A paragraph is a part between blank lines, or a line where a text has no blank line.  Those
-that speak of licences at all (``TOPIC``) are scored by a logistic regression over sparse word
-1- to 3-grams, one weight vector per licence family.  The regression is fitted on perturbed
-template paragraphs and on paragraphs that only mention licences; half of them calibrate the
-probability below which a paragraph is ``unknown``.  A predicted family is confirmed if enough
-of one of its templates' 3-grams occur in the paragraph.
+A paragraph is a part between blank lines, or a line where a text has no blank line.  Each is
+judged by a logistic regression over sparse word 1- to 3-grams, one weight vector per licence
+family.  The regression is fitted on perturbed template paragraphs and on paragraphs that only
+mention licences; half of them calibrate the probability below which a paragraph is
+``unknown``.  A predicted family is confirmed if enough of one of its templates' 3-grams occur
+in the paragraph.
+
+The model tells which paragraphs need scoring: a family can only reach the threshold if its
+n-grams outweigh the unknown class by a known amount, so a set of words is chosen for which
+all n-grams without one of them together stay below that amount for every family
+(``Model.gate``).  A paragraph without any of these words is unknown whatever else it says.
+
+Reported are the paragraphs with a family, and unknown ones that speak of licences (``TOPIC``,
+which decides nothing else).
 
 The features and templates are of a fixed number (``features`` bounds them), so they are
 literals of the plan.  Each document is worked on in its row: no shuffle, no Python.
@@ -23,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrion.llm.boosting import calibrate
+from papyrion.llm.rows import quoted
 
 # Words of licences, and the families' names and abbreviations (MIT in capitals: "mit" is a German word).
 WORDS = r"licen[cs]|copyright|\bcopyleft|redistribut|warrant|public domain|rights reserved|permission"
@@ -52,8 +61,12 @@ MENTIONS = [
     "the court reviewed the copyright claim", "the restaurant lost its liquor license", "redistribution of income was debated", "no warrant was issued for the search",
     "license plates are made here", "the pilot license exam is hard", "the general public was invited to the version", "an open meeting under the new terms",
     "permission was granted to the public", "a copy of the warrant was obtained", "the creative commons of the village are open for use", "all reserved seats were sold with permission",
+    "er kommt mit dem bus und geht mit uns", "the apache people and the gnu in the zoo", "the version of the software for the public",
 ]
 
+# Words that say nothing about licences; an n-gram of these and of numbers alone is no feature.
+PLAIN = set("a all an and any are as at be by can for from if in is it may no not of on or that the this to under use used was which with without work you your".split())
+
 
 def ngrams(paragraph: Column, longest: int = 3) -> Column:
     """The distinct word 1- to ``longest``-grams of a paragraph, in ASCII letters and digits."""
@@ -72,11 +85,11 @@ def _length(n: int) -> Column:
     return F.lit(n)
 
 
-def training_paragraphs(n: int = 1500, seed: int = 3) -> list[tuple[str, str]]:
-    """(family or unknown, paragraph): templates and mentions among other words, with some words lost."""
+def training_paragraphs(n: int = 1500, seed: int = 3, without: tuple[str, ...] = ()) -> list[tuple[str, str]]:
+    """(family or unknown, paragraph): templates (but those in ``without``) and mentions among other words, with some words lost."""
     rng = random.Random(seed)
     filler = "lorem data house river table walk green note seven code page under the of and to in is for with this that year".split()
-    families = [(f, t) for f, ts in TEMPLATES.items() for t in ts]
+    families = [(f, t) for f, ts in TEMPLATES.items() for t in ts if t not in without]
     rows = []
     for k in range(n):
         family, text = families[k // 2 % len(families)] if k % 2 else (UNKNOWN, rng.choice(MENTIONS))
@@ -105,22 +118,24 @@ def softmax(z: np.ndarray) -> np.ndarray:
 class Model:
     """Weights of at most ``features`` n-grams, a threshold, and the templates' 3-grams."""
 
-    def __init__(self, spark: SparkSession, features: int = 600, precision: float = 0.98, n: int = 1500, contained: float = 0.5):
+    def __init__(self, spark: SparkSession, features: int = 1500, precision: float = 0.98, n: int = 1500, contained: float = 0.5, without: tuple[str, ...] = ()):
+        """``features`` bounds the regression's n-grams (the most frequent ones), not the templates'; ``without`` holds templates out."""
         self.names = [*sorted(TEMPLATES), UNKNOWN]
         self.contained = contained
-        data = training_paragraphs(n)
+        data = training_paragraphs(n, without=without)
         joined = "\x1e".join(f"{family}\x1f{text}" for family, text in data)
         rows = spark.range(1).select(F.explode(F.split(F.lit(joined), "\x1e")).alias("s"))
         rows = rows.select(F.substring_index("s", "\x1f", 1).alias("family"), ngrams(F.substring_index("s", "\x1f", -1)).alias("g")).collect()
-        shapes = "\x1e".join(f"{family}\x1f{text}" for family in self.names[:-1] for text in TEMPLATES[family])
+        shapes = "\x1e".join(f"{family}\x1f{text}" for family in self.names[:-1] for text in TEMPLATES[family] if text not in without)
         shapes = spark.range(1).select(F.explode(F.split(F.lit(shapes), "\x1e")).alias("s"))
         shapes = shapes.select(F.substring_index("s", "\x1f", 1).alias("family"), ngrams(F.substring_index("s", "\x1f", -1)).alias("g")).collect()
         self.shapes = [(r.family, [g for g in r.g if g.count(" ") == 2 or len(r.g) < 6]) for r in shapes]
-        known = {g for r in shapes for g in r.g}
+        said = spark.range(1).select(F.explode(F.split(F.lit("\x1e".join(MENTIONS)), "\x1e")).alias("s")).select(ngrams(F.col("s")).alias("g")).collect()
+        known = {g for r in [*shapes, *said] for g in r.g}  # not those with the words around
         counts: dict[str, int] = {}
         for r in rows:
             for g in r.g:
-                if g in known or r.family == UNKNOWN:
+                if g in known and not all(w in PLAIN or w.isdigit() for w in g.split(" ")):
                     counts[g] = counts.get(g, 0) + 1
         self.grams = sorted(counts, key=lambda g: (-counts[g], g))[:features]
         place = {g: k for k, g in enumerate(self.grams)}
@@ -139,6 +154,35 @@ class Model:
         logit = np.log(p.max(axis=1) / np.maximum(1 - p.max(axis=1), 1e-12))
         self.threshold = float(1 / (1 + np.exp(-calibrate(logit[named], right[named].astype(float), precision))))
         self.held_out = best, p.max(axis=1), y[fold == 1]
+        self.gate = self._gate()
+
+    def _gate(self) -> list[str]:
+        """Words without which no paragraph can reach the threshold, whatever n-grams it has.
+
+        A family's probability is at least the threshold only if its logit exceeds the unknown
+        class's by the threshold's log-odds.  Words are taken, those with most weight first, until
+        the n-grams without any of them can't sum to that for any family.
+        """
+        weights, bias = self.weights.round(6), self.bias
+        gain = np.maximum(weights[:, :-1] - weights[:, -1:], 0)
+        need = max(0.0, np.log(self.threshold / max(1 - self.threshold, 1e-12))) - (bias[:-1] - bias[-1])
+        words = [set(g.split(" ")) for g in self.grams]
+        worth: dict[str, float] = {}
+        for w, g in zip(words, gain, strict=True):
+            for word in w:
+                worth[word] = worth.get(word, 0.0) + float(g.max()) / len(w)
+        chosen: list[str] = []
+        left = np.ones(len(words), bool)
+        for word in sorted((w for w in worth if w not in PLAIN and not w.isdigit()), key=lambda w: (-worth[w], w)):
+            if (gain[left].sum(axis=0) < need - 1e-6).all():
+                return chosen
+            chosen.append(word)
+            left &= np.array([word not in w for w in words])
+        return []  # the bias alone reaches the threshold: every paragraph is scored
+
+    def may_hold(self, paragraph: Column) -> Column:
+        """Whether a paragraph (or a whole text) has a word of the gate."""
+        return F.lower(paragraph).rlike(r"(?<![a-z0-9])(?:" + "|".join(sorted(self.gate)) + r")(?![a-z0-9])") if self.gate else F.lit(True)
 
     def score(self, grams: Column) -> Column:
         """Struct of family, probability, similarity (of the family's nearest template) and confirmed."""
@@ -167,15 +211,20 @@ class Model:
         return F.transform(F.array(found), compared)[0]
 
 
-def paragraphs(text: Column) -> Column:
-    """array<struct<paragraph, p>> of the paragraphs on the topic, numbered among all from 0."""
+def paragraphs(text: Column, wanted) -> Column:
+    """array<struct<paragraph, p>> of the ``wanted`` paragraphs, numbered among all from 0."""
     parts = F.when(text.rlike(r"\n[\x20\t\r]*\n"), F.split(text, r"\n(?:[\x20\t\r]*\n)+", -1)).otherwise(F.split(text, r"\n", -1))
-    return F.filter(F.transform(parts, lambda p, k: F.struct(k.alias("paragraph"), p.alias("p"))), lambda x: x["p"].rlike(TOPIC))
+    return F.filter(F.transform(parts, lambda p, k: F.struct(k.alias("paragraph"), p.alias("p"))), lambda x: wanted(x["p"]))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """(id, paragraph, family, probability, similarity, confirmed): a row per paragraph on the topic."""
+    """(id, paragraph, family, probability, similarity, confirmed): a row per paragraph with a family or on the topic."""
     model = model or Model(docs.sparkSession)
-    named = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t")).where(F.col("__t").rlike(TOPIC))
-    rows = named.select("__id", F.inline(paragraphs(F.col("__t")))).select("__id", "paragraph", ngrams(F.col("p")).alias("g"))
-    return rows.select(F.col("__id").alias(id_col), "paragraph", model.score(F.col("g")).alias("x")).select(id_col, "paragraph", "x.*")
+
+    def wanted(p: Column) -> Column:
+        return p.rlike(TOPIC) | model.may_hold(p)
+
+    named = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("t")).where(wanted(F.col("t")))
+    rows = named.select("id", F.inline(paragraphs(F.col("t"), wanted))).select("id", "paragraph", F.col("p").rlike(TOPIC).alias("topic"), ngrams(F.col("p")).alias("g"))
+    scored = rows.select("id", "paragraph", "topic", model.score(F.col("g")).alias("x")).where(F.col("topic") | (F.col("x.family") != UNKNOWN))
+    return scored.select(F.col("id").alias(id_col), "paragraph", "x.*")

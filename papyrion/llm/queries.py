@@ -16,14 +16,18 @@ from papyrion.llm.license_scan import scan_licenses
 from papyrion.llm.mixing import mix_sources
 from papyrion.llm.pii import find_pii
 from papyrion.llm.simhash import simhash_dedup
-from papyrion.llm.token_counts import token_counts
+from papyrion.llm.token_counts import quantiles, token_counts, totals_at
 from papyrion.llm.token_output import token_output
 from papyrion.sources.tables import table
+from papyrion.workspace import materialize
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 #: No source is repeated more often than this.
 MAX_REPEATS = 4.0
+#: Context limits and shares of documents that ``token_limits`` reports.
+CONTEXT_LIMITS = [128, 512, 1024, 2048, 4096, 8192, 32768, 131072]
+SHARES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
 
 
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,6 +46,14 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), BYTE_BPE)
 
 
+def token_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """The same histogram's answers for some context limits and quantiles: (kind, at, value, tokens kept under that limit)."""
+    bars = materialize(token_counts(table(spark, folder, "documents"), BYTE_BPE), "histogram")
+    limits = totals_at(bars, CONTEXT_LIMITS).select(F.lit("limit").alias("kind"), F.col("context_limit").cast("double").alias("at"), F.col("truncated_docs").alias("value"), F.col("kept_tokens").alias("tokens"))
+    found = quantiles(bars, SHARES).select(F.lit("quantile").alias("kind"), F.col("share").alias("at"), F.col("n_tokens").alias("value"), F.lit(None).cast("long").alias("tokens"))
+    return limits.unionByName(found)
+
+
 def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"), BYTE_BPE, max_repeats=MAX_REPEATS)
 
@@ -79,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "language_pages": language_pages,
     "op4_token_output": op4_token_output,
     "op5_token_counts": op5_token_counts,
+    "token_limits": token_limits,
     "op6_source_mixing": op6_source_mixing,
     "op7_license_scan": op7_license_scan,
     "op8_exact_dedup": op8_exact_dedup,
@@ -87,7 +100,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op7_license_scan": op7_license_scan,
     "op8_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

@@ -1,8 +1,8 @@
 """Carry decisions about rows back to the rows themselves without a row id.
 
 A row is known by its id and a 64-bit hash of its whole text.  Rows that agree in both are
-repeated rows; the table of kept keys says how many there are, so the usual key (one row)
-needs one hash join that doesn't sort the texts, and only repeated rows are regrouped.
+repeated rows; the table of keys says how many there are, so the usual key (one row) needs one
+anti join with the keys that go, and only repeated rows are regrouped.
 """
 
 from __future__ import annotations
@@ -25,14 +25,27 @@ def text_key(column: Column) -> Column:
     return F.xxhash64(F.coalesce(column, F.lit("")))
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` named in ``kept`` (k1, k2, n), all columns, each repeated row once.
+def whole(rows: DataFrame) -> Column:
+    """All columns of a table as one struct, so that no name of ours meets one of theirs."""
+    return F.struct(*[F.col(quoted(c)) for c in rows.columns])
 
-    Of repeated rows that differ in other columns any one stays.  Both tables may be empty.
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose key is in ``kept`` (k1, k2), all columns, each repeated row once.
+
+    ``keys`` (k1, k2, n) are the keys of all rows.  The keys that go, usually far fewer than
+    those that stay, are written and anti-joined: Spark broadcasts them while they are small and
+    else meets them in a join that can spill and be split.  Of repeated rows that differ in other
+    columns any one stays.  The tables may be empty.
     """
-    kept = materialize(kept.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("n").alias("__n")), "kept")
-    many = materialize(kept.where("__n > 1"), "many")  # usually empty: a broadcast, and the texts aren't read again
-    keyed = docs.withColumns({"__k1": id_key(F.col(id_col)), "__k2": text_key(F.col(text_col))})
-    single = keyed.join(kept.where("__n = 1").hint("shuffle_hash"), ["__k1", "__k2"], "left_semi")
-    repeated = keyed.join(many, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
-    return single.unionByName(repeated).select(*docs.columns)
+    kept = kept.select("k1", "k2")
+    many = materialize(keys.where("n > 1").join(kept, ["k1", "k2"], "left_semi").select("k1", "k2"), "many")
+    gone = materialize(keys.select("k1", "k2").join(kept, ["k1", "k2"], "left_anti").unionByName(many), "gone")
+    keyed = docs.select(whole(docs).alias("row"), id_key(F.col(quoted(id_col))).alias("k1"), text_key(F.col(quoted(text_col))).alias("k2"))
+    single = keyed.join(gone, ["k1", "k2"], "left_anti")
+    repeated = keyed.join(many, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])  # usually empty: a broadcast
+    return single.unionByName(repeated).select("row.*")
