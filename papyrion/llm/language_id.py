@@ -11,12 +11,18 @@ The posterior of a document's language multiplies four kinds of evidence:
   the corpus's.  A document's own share is taken out of its prior.
 
 The trigram models are fitted on about ``sample`` labelled rows (chosen by a hash of the
-row), besides a few function words of each known language.
+row), besides a few function words of each known language.  Rows fall into two folds by the same
+hash and each fold is scored by the model of the other one, so a row's own declaration never
+speaks through its text's likelihood as well.
+
+Each text is scored once: its log-likelihoods are written beside the evidence that is no text,
+and the host's prior, the fusion and the choice read only that small table.
 
 A document is accepted if its best language isn't ``und`` and has a posterior of at least
 ``least``.  Texts without letters (null and empty ones too) get ``und`` and aren't accepted.
 Null hosts share one prior; null or unknown declarations and suffixes say nothing.  Repeated
-rows are separate documents; an empty table gives an empty result; other columns stay.
+rows are separate documents; an empty table gives an empty result; other columns stay, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -34,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from papyrion.llm.rows import quoted, whole
 from papyrion.workspace import materialize
 
 UNKNOWN = "und"
@@ -78,14 +85,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class TextModel:
     """Trigram log-probabilities: ``names`` with ``und`` last, ``grams`` -> row, and the rows."""
 
-    def __init__(self, counts: dict[tuple[str, str], int], smoothing: float = 0.5):
-        self.names = sorted({k[0] for k in counts})
+    def __init__(self, counts: dict[tuple[str, str], int], smoothing: float = 0.5, names: list[str] | None = None):
+        self.names = sorted({k[0] for k in counts} | set(names or []))
         grams = sorted({k[1] for k in counts})
         self.grams = {g: i for i, g in enumerate(grams)}
         table = np.zeros((len(grams) + 1, len(self.names)))  # the last row is for unseen trigrams
         for (lang, gram), n in counts.items():
             table[self.grams[gram], self.names.index(lang)] += n
-        table = np.log((table + smoothing) / (table.sum(axis=0) + smoothing * len(table)))
+        seen = table.sum(axis=0)
+        seen[seen == 0] = 100  # a language without rows: as if it had been seen in other trigrams only
+        table = np.log((table + smoothing) / (seen + smoothing * len(table)))
         flat = np.full((len(table), 1), -np.log(len(table)))
         self.logs = np.concatenate([table, flat], axis=1)
         self.names.append(UNKNOWN)
@@ -104,30 +113,52 @@ class TextModel:
         return classes, size, codes[order], np.array(list(self.grams.values()), np.int64)[order]
 
 
-def fit_text_model(rows: DataFrame, text_col: str, label_col: str, sample: int = 2000, per_language: int = 200) -> TextModel:
-    """Fit on about ``sample`` labelled rows and the function words; the counts come from a grouped aggregation.
+def spot(rows: DataFrame) -> Column:
+    """A number of 31 bits from a hash of the row."""
+    return F.pmod(F.xxhash64(*hashable(rows)), F.lit(1 << 31))
+
+
+def hashable(rows: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+
+
+def fit_text_models(rows: DataFrame, text_col: str, label_col: str, sample: int = 2000, per_language: int = 200, folds: int = 1, spot_col: str | None = None) -> list[TextModel]:
+    """For each fold a model of the other folds' rows (of all rows, if there is one fold), with the same languages.
 
     Labels are counted over all rows, and each language gives its part of the sample, but about
     ``per_language`` rows at least (all, if it has fewer), so no declared language is without a
     model.  The rows whose hash (of all columns) is below their language's limit are taken where
-    they lie, so no text moves; the limit is above the language's smallest hash, as repeated rows
-    share theirs.  The pattern bounds the number of labels.
+    they lie; the limit is above the language's smallest hash.  Repeated rows share their hash and
+    count once, so the sample is about ``sample`` rows however often one is repeated.  The pattern
+    bounds the number of labels.  A language that only one fold has gets, for that fold, a model that knows none of the trigrams.
     """
     lang = F.regexp_extract(F.lower(F.trim(F.col(label_col))), r"^([a-z]{2,3})(?:[-_]|$)", 1)
-    spot = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]), F.lit(1 << 31))
-    labelled = rows.select(lang.alias("lang"), F.col(text_col).alias("t"), spot.alias("spot")).where((F.col("lang") != "") & (F.col("lang") != UNKNOWN))
+    labelled = rows.select(lang.alias("lang"), F.col(text_col).alias("t"), (F.col(spot_col) if spot_col else spot(rows)).alias("spot")).where((F.col("lang") != "") & (F.col("lang") != UNKNOWN))
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("spot").alias("first")).collect()
     total = sum(r.n for r in sizes)
     limits = [(r.lang, max(int(min(1.0, max(sample / total, per_language / r.n)) * (1 << 31)), r.first + 1)) for r in sizes]
     limits = rows.sparkSession.createDataFrame(limits, "lang string, bound long")
-    chosen = labelled.join(F.broadcast(limits), "lang").where("spot < bound").select("lang", "t")
-    counts = chosen.mapInArrow(_counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
-    found: Counter = Counter({(r.lang, r.gram): r.n for r in counts})
-    for lang, words in FUNCTION_WORDS.items():
-        for word in words.split():
-            for gram in trigrams(word):
-                found[lang, gram] += 1
-    return TextModel(found)
+    chosen = labelled.join(F.broadcast(limits), "lang").where("spot < bound").groupBy("lang", "spot").agg(F.first("t").alias("t"))
+    fold = F.pmod(F.col("spot"), F.lit(folds)).cast("string")
+    counts = chosen.select(F.concat_ws(" ", fold, "lang").alias("lang"), "t").mapInArrow(_counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
+    by_fold: list[Counter] = [Counter() for _ in range(folds)]
+    for r in counts:
+        at, label = r.lang.split(" ")
+        for k in range(folds):
+            if folds == 1 or int(at) != k:
+                by_fold[k][label, r.gram] += r.n
+    names = [r.lang for r in sizes]
+    for found in by_fold:
+        for name, words in FUNCTION_WORDS.items():
+            for word in words.split():
+                for gram in trigrams(word):
+                    found[name, gram] += 1
+    return [TextModel(found, names=names) for found in by_fold]
+
+
+def fit_text_model(rows: DataFrame, text_col: str, label_col: str, sample: int = 2000, per_language: int = 200) -> TextModel:
+    """One model of all sampled rows, for texts that aren't among them."""
+    return fit_text_models(rows, text_col, label_col, sample, per_language)[0]
 
 
 class Scorer:
@@ -189,40 +220,31 @@ def declared_logs(names: list[str], said: str | None, trust: float) -> np.ndarra
     return np.log(np.where(np.array(names) == code, trust, (1 - trust) / max(1, len(names) - 1)))
 
 
-def _text_posteriors(fitted: TextModel, temper: float):
-    model = pickle.dumps(fitted)
+def _scored(models: list[TextModel], temper: float):
+    """mapInArrow function that replaces (text, spot) by the log-likelihoods and the number of letters."""
+    data = [pickle.dumps(m) for m in models]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = shared_scorer(model, temper)
-        sums: dict[tuple, np.ndarray] = {}
-
-        def flush() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["host", "parent", "p"])
-            sums.clear()
-            return made
-
+        scorers = [shared_scorer(d, temper) for d in data]
         for batch in batches:
-            for text, host, parent in zip(*batch.columns, strict=True):
-                logs, n = scorer.score(text.as_py() or "")
-                if n:
-                    key = host.as_py(), parent.as_py()
-                    sums[key] = sums.get(key, 0) + normalised(logs)
-            if len(sums) > 10_000:
-                yield flush()
-        yield flush()
+            found = [scorers[at % len(scorers)].score(text.as_py() or "") for text, at in zip(batch.column(0), batch.column(1).to_pylist(), strict=True)]
+            logs = pa.array([x.tolist() for x, _ in found], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], logs, pa.array([n for _, n in found], pa.int64())], names=[*batch.schema.names[2:], "logs", "letters"])
 
     return run
 
 
-def host_priors(rows: DataFrame, model: TextModel, temper: float, strength: float) -> DataFrame:
-    """Written table (host, mass array, base array): the host's expected counts and its smoothed parent distribution."""
-    size = len(model.names)
-    soft = rows.select("__text", "__host", "__parent").mapInArrow(_text_posteriors(model, temper), "host string, parent string, p array<double>")
-    added = F.array(*[F.sum(F.col("p")[k]) for k in range(size)])
-    hosts = materialize(soft.groupBy("host", "parent").agg(added.alias("mass")), "hosts")
-    summed = F.array(*[F.sum(F.col("mass")[k]) for k in range(size)])
-    top = hosts.agg(summed.alias("top"))
-    parents = hosts.groupBy("parent").agg(summed.alias("up"))
+def host_priors(scored: DataFrame, size: int, strength: float) -> DataFrame:
+    """Written table (host, parent, mass array, base array): the host's expected counts and its smoothed parent distribution.
+
+    scored (host, parent, logs, letters).  Sums are combined map-side, so a hot host costs nothing.
+    """
+    own = posterior(F.col("logs"))
+    soft = scored.where("letters > 0").select("host", "parent", own.alias("p"))
+    hosts = materialize(soft.groupBy("host", "parent").agg(*[F.sum(F.col("p")[k]).alias(f"m{k}") for k in range(size)]), "hosts")
+    parts = [f"m{k}" for k in range(size)]
+    top = hosts.agg(F.array(*[F.coalesce(F.sum(m), F.lit(0.0)) for m in parts]).alias("top"))
+    parents = hosts.groupBy("parent").agg(F.array(*[F.sum(m) for m in parts]).alias("up"))
 
     def smooth(mass: str, base: Column) -> Column:
         total = F.aggregate(mass, F.lit(0.0), lambda a, x: a + x)
@@ -231,52 +253,66 @@ def host_priors(rows: DataFrame, model: TextModel, temper: float, strength: floa
     even = F.array(*[F.lit(1.0 / size)] * size)
     parents = parents.join(F.broadcast(top)).withColumn("base", smooth("up", smooth("top", even))).select(F.col("parent").alias("__p"), "base")
     joined = hosts.join(parents, F.col("parent").eqNullSafe(F.col("__p")))
-    return materialize(joined.select("host", "parent", "mass", "base"), "priors")
+    return materialize(joined.select("host", "parent", F.array(*parts).alias("mass"), "base"), "priors")
 
 
-def _fuse(model: TextModel, temper: float, trust: float, suffix_trust: float, strength: float, least: float, passed: int):
-    names, data = model.names, pickle.dumps(model)
+def posterior(logs: Column) -> Column:
+    """An array of log-likelihoods as probabilities."""
+    raised = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
+    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, y: a + y))
+
+
+def _fused(names: list[str], trust: float, suffix_trust: float, strength: float, least: float):
+    """mapInArrow function from (logs, letters, said, suffix, mass, base) and other columns to the decision and those columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = shared_scorer(data, temper)
         for batch in batches:
             out: list[tuple] = []
-            for text, said, suffix, mass, base in zip(*batch.columns[passed:], strict=True):
-                logs, n = scorer.score(text.as_py() or "")
-                if not n:
+            for logs, letters, said, suffix, mass, base in zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True):
+                if not letters:
                     out.append((UNKNOWN, 0.0, UNKNOWN, False))
                     continue
+                logs = np.array(logs)
                 own = normalised(logs)
-                if base.as_py() is not None:
-                    counts = np.maximum(np.array(mass.as_py()) - own, 0)
-                    prior = np.log((counts + strength * np.array(base.as_py())) / (counts.sum() + strength))
-                else:
-                    prior = np.zeros(len(names))
-                p = normalised(logs + prior + declared_logs(names, said.as_py(), trust) + declared_logs(names, SUFFIXES.get(suffix.as_py() or ""), suffix_trust))
+                prior = np.zeros(len(names))
+                if base is not None:
+                    counts = np.maximum(np.array(mass) - own, 0)
+                    prior = np.log((counts + strength * np.array(base)) / (counts.sum() + strength))
+                p = normalised(logs + prior + declared_logs(names, said, trust) + declared_logs(names, SUFFIXES.get(suffix or ""), suffix_trust))
                 best = int(p.argmax())
                 out.append((names[best], float(p[best]), names[int(own.argmax())], names[best] != UNKNOWN and bool(p[best] >= least)))
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
             made = [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.float64(), pa.string(), pa.bool_()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:passed], *made], names=[*batch.schema.names[:passed], "__lang", "__probability", "__text_lang", "__accepted"])
+            yield pa.RecordBatch.from_arrays([*made, *batch.columns[6:]], names=["lang", "probability", "text_lang", "accepted", *batch.schema.names[6:]])
 
     return run
 
 
-def identify(rows: DataFrame, text: Column, declared: Column, host: Column, parent: Column | None = None, suffix: Column | None = None, keep: list[str] | None = None, sample: int = 2000, temper: float = 0.1, trust: float = 0.9, suffix_trust: float = 0.7, strength: float = 10.0, least: float = 0.5) -> DataFrame:
-    """The columns ``keep`` (all by default) with __lang, __probability, __text_lang and __accepted."""
+def _decided(rows: DataFrame, text: Column, declared: Column, host: Column, parent: Column | None, suffix: Column | None, carry: Column, sample: int, temper: float, trust: float, suffix_trust: float, strength: float, least: float) -> DataFrame:
+    """(lang, probability, text_lang, accepted, row: ``carry``), one row per row."""
     nothing = F.lit(None).cast("string")
-    keep = rows.columns if keep is None else keep
     named = rows.select(
-        *keep, text.cast("string").alias("__text"), declared.cast("string").alias("__said"), (suffix if suffix is not None else nothing).alias("__suffix"),
-        host.cast("string").alias("__host"), (parent if parent is not None else nothing).cast("string").alias("__parent"),
+        text.cast("string").alias("text"), spot(rows).alias("spot"), declared.cast("string").alias("said"), (suffix if suffix is not None else nothing).alias("suffix"),
+        host.cast("string").alias("host"), (parent if parent is not None else nothing).cast("string").alias("parent"), carry.alias("row"),
     )
-    model = fit_text_model(named, "__text", "__said", sample)
-    priors = host_priors(named, model, temper, strength).select(F.col("host").alias("__h"), F.col("parent").alias("__q"), F.col("mass").alias("__mass"), F.col("base").alias("__base"))
-    joined = named.join(priors, F.col("__host").eqNullSafe(F.col("__h")) & F.col("__parent").eqNullSafe(F.col("__q")), "left")
-    joined = joined.select(*keep, "__text", "__said", "__suffix", "__mass", "__base")
-    added = [T.StructField("__lang", T.StringType()), T.StructField("__probability", T.DoubleType()), T.StructField("__text_lang", T.StringType()), T.StructField("__accepted", T.BooleanType())]
-    schema = T.StructType([*joined.select(*keep).schema.fields, *added])
-    return joined.mapInArrow(_fuse(model, temper, trust, suffix_trust, strength, least, len(keep)), schema)
+    models = fit_text_models(named, "text", "said", sample, folds=2, spot_col="spot")
+    names = models[0].names
+    kept = named.drop("text", "spot").schema.fields
+    added = [T.StructField("logs", T.ArrayType(T.DoubleType())), T.StructField("letters", T.LongType())]
+    scored = materialize(named.mapInArrow(_scored(models, temper), T.StructType([*kept, *added])), "scored")
+    priors = host_priors(scored, len(names), strength).select(F.col("host").alias("h"), F.col("parent").alias("q"), "mass", "base")
+    joined = scored.join(priors, F.col("host").eqNullSafe(F.col("h")) & F.col("parent").eqNullSafe(F.col("q")), "left")
+    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("text_lang", T.StringType()), T.StructField("accepted", T.BooleanType()), kept[-1]])
+    return joined.select("logs", "letters", "said", "suffix", "mass", "base", "row").mapInArrow(_fused(names, trust, suffix_trust, strength, least), schema)
+
+
+def identify(rows: DataFrame, text: Column, declared: Column, host: Column, parent: Column | None = None, suffix: Column | None = None, keep: list[str] | None = None, sample: int = 2000, temper: float = 0.1, trust: float = 0.9, suffix_trust: float = 0.7, strength: float = 10.0, least: float = 0.5) -> DataFrame:
+    """The columns ``keep`` (all by default) with __lang, __probability, __text_lang and __accepted; kept columns of these names give way."""
+    own = ["lang", "probability", "text_lang", "accepted"]
+    keep = [c for c in (rows.columns if keep is None else keep) if c not in {f"__{x}" for x in own}]
+    carry = F.struct(*[F.col(quoted(c)) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    found = _decided(rows, text, declared, host, parent, suffix, carry, sample, temper, trust, suffix_trust, strength, least)
+    return found.select(*[F.col("row")[c].alias(c) for c in keep], *[F.col(x).alias(f"__{x}") for x in own])
 
 
 def identify_documents(docs: DataFrame, text_col: str = "text", declared_col: str = "lang", host_col: str = "source", keep: list[str] | None = None, **options) -> DataFrame:
@@ -300,6 +336,13 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame
     return found.select(id_col, F.col("__lang").alias("lang"), F.col("__probability").alias("probability"), F.col("__text_lang").alias("text_lang"), F.col("__accepted").alias("accepted"))
 
 
-def accepted_documents(docs: DataFrame, **options) -> DataFrame:
-    """The accepted documents with their columns."""
-    return identify_documents(docs, **options).where("__accepted").select(*docs.columns)
+def accepted_documents(docs: DataFrame, text_col: str = "text", declared_col: str = "lang", host_col: str = "source", sample: int = 2000, temper: float = 0.1, trust: float = 0.9, suffix_trust: float = 0.7, strength: float = 10.0, least: float = 0.5) -> DataFrame:
+    """The accepted documents with their columns, whatever their names.
+
+    Rows that agree in all columns are decided alike, so the decision goes by two hashes of the
+    whole row; the rejected ones, usually few, are written and anti-joined.
+    """
+    key = F.struct(F.xxhash64(*hashable(docs)).alias("a"), F.xxhash64(F.lit(1), *hashable(docs)).alias("b"))
+    found = _decided(docs, F.col(quoted(text_col)), F.col(quoted(declared_col)), F.col(quoted(host_col)), None, None, key, sample, temper, trust, suffix_trust, strength, least)
+    gone = materialize(found.where(~F.col("accepted")).select("row.a", "row.b").distinct(), "rejected")
+    return docs.select(whole(docs).alias("row"), key.alias("key")).join(gone, (F.col("key.a") == F.col("a")) & (F.col("key.b") == F.col("b")), "left_anti").select("row.*")
