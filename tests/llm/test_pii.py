@@ -89,3 +89,40 @@ def test_added_spans_and_redaction(spark, model):
     assert clean.columns == df.columns
     text = {r.doc_id: r.text for r in clean.collect()}
     assert text[1] == 'ab token = "[SECRET]" cd' and text[6] == "Er 😀 mail: [EMAIL], [IP]!" and text[7] is None and text[5] == rows[4][1]
+
+
+def test_the_trees_as_an_expression(spark, model):
+    from papyrion.llm.pii import candidates
+    from pyspark.sql import functions as F
+
+    texts = ["call (743) 555-3824 or 12345 67890", "password=24be64439e3e49cf46b2d7c9 x", "id 123-45-6789 at 4111.1111.1111.1111", "IBAN DE12 3456 7890 1234 5678 90"]
+    rows = candidates(spark.createDataFrame([(t,) for t in texts], "t string"), "t").select(F.explode("__more").alias("m"))
+    found = rows.select("m.f", model.trees.column(lambda f: F.col("m.f")[f]).alias("score"), model.selects(F.col("m")).alias("chosen")).collect()
+    assert len(found) >= 5
+    for r in found:
+        score = float(model.trees.score(__import__("numpy").array([r.f]))[0])
+        assert abs(score - r.score) < 1e-9 and r.chosen == (score >= model.thresholds[int(r.f[0])])
+
+
+def test_recall_counts_what_was_never_proposed(model):
+    assert set(model.recall) == {"phone", "card", "ssn", "iban", "email", "ip", "secret"}
+    assert min(model.recall.values()) >= 0.8 and sum(model.recall.values()) / len(model.recall) >= 0.9
+
+
+def test_sentences_from_elsewhere(spark, model):
+    rows = [
+        ("password=24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "secret"), ("export API_KEY=Zk39fj2LqPx81mNvbT5sYw7e", "secret"), ("token: " + "0123456789abcdef" * 15, "secret"),
+        ("Authorization: Bearer abcDEF0123456789abcDEF0123456789", "secret"), ("My number is (415) 555-0132, call me after six.", "phone"), ("His social security number: 078-05-1120", "ssn"),
+        ("Please transfer the rent to IBAN DE89 3704 0044 0532 0130 00", "iban"), ("contact jane.roe [at] mail [dot] org", "email"), ("the host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 answered", "ip"),
+    ]
+    clean = ["Chapter 12 covers 1914 to 1918 in 320 pages.", "The password policy requires eight characters.", "Order 2024-0017 shipped on 2024-05-06.", "See section 4.12.7 of version 10.2.3", "a key ingredient of the recipe"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([r[0] for r in rows] + clean)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in find_pii(df, model=model).collect()}
+    caught = [kind in {s.split(":")[0] for s in got[k].split(",")} for k, (_, kind) in enumerate(rows)]
+    assert sum(caught) >= 8 and all(caught[:3]), (caught, got)
+    assert sum(got[len(rows) + k] == "" for k in range(len(clean))) >= 4
+
+
+def test_redaction_keeps_columns_of_any_name(spark, model):
+    df = spark.createDataFrame([(1, "mail a@b.cc", "keep", "me", 3)], "doc_id long, text string, __text string, spans string, `x.y` int")
+    assert [tuple(r) for r in redact(df, model=model).collect()] == [(1, "mail [EMAIL]", "keep", "me", 3)]
