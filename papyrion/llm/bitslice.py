@@ -1,9 +1,10 @@
 """Bit-sliced Hamming comparison of 64-bit codes, and union of links inside a block.
 
 Codes of a block are stored as 64 bit planes: word w of plane b holds bit b of codes
-64w..64w+63.  For a query code the 64 distances of a word are counted at once, a plane at a
-time, by carry-save adders on bitwise counters; (query, word) blocks whose lanes all exceed
-the radius are abandoned every few planes.
+64w..64w+63.  For a query code the 64 distances of a word are counted at once: the planes of a
+step go through a tree of carry-save adders, three words of one weight into one of that weight
+and one of the next, until each digit of the bitwise counters is a single word again.
+(query, word) blocks whose lanes all exceed the radius are abandoned after each step.
 """
 
 from __future__ import annotations
@@ -46,19 +47,16 @@ def near(codes: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int, tile
     rows = np.repeat(np.arange(len(codes)), spans)
     words = np.arange(len(rows)) - np.repeat(np.cumsum(spans) - spans, spans) + np.repeat(first, spans)
     digits = max(1, int(radius).bit_length())
-    bias = np.uint64(0)
     for at in range(0, len(rows), tile):
         q, w = rows[at : at + tile], words[at : at + tile]
         alive = _lanes(low[q], high[q], w)
         own = codes[q]
-        count = [np.full(len(q), bias) for _ in range(digits)]
+        count = [np.zeros(len(q), np.uint64) for _ in range(digits)]
         over = ~alive
-        for b in range(64):
-            carry = sliced[b, w] ^ (np.uint64(0) - ((own >> np.uint64(b)) & np.uint64(1)))
-            for k in range(digits):
-                count[k], carry = count[k] ^ carry, count[k] & carry
-            over |= carry
-            if b % step == step - 1 and b < 63:
+        for b in range(0, 64, step):
+            differ = [sliced[k, w] ^ (np.uint64(0) - ((own >> np.uint64(k)) & np.uint64(1))) for k in range(b, min(b + step, 64))]
+            over |= add_planes(count, differ)
+            if b + step < 64:
                 over |= _exceeds(count, radius)
                 left = np.flatnonzero(over != ONES)
                 if len(left) < 0.75 * len(q):
@@ -77,6 +75,25 @@ def near(codes: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int, tile
         yield q[some][r], w[some][r] * 64 + lane
 
 
+def add_planes(count: list[np.ndarray], added: list[np.ndarray]) -> np.ndarray:
+    """Add planes of weight one to the counters (digit k has weight 2**k) in place; returns the lanes that overflow."""
+    over = np.zeros_like(count[0])
+    for k in range(len(count)):
+        same, carried = [count[k], *added], []
+        while len(same) > 2:  # full adders: three words of this weight
+            a, b, c = same.pop(), same.pop(), same.pop()
+            half = a ^ b
+            same.append(half ^ c)
+            carried.append((a & b) | (half & c))
+        if len(same) == 2:
+            carried.append(same[0] & same[1])
+            same = [same[0] ^ same[1]]
+        count[k], added = same[0], carried
+    for plane in added:
+        over |= plane
+    return over
+
+
 def _exceeds(count: list[np.ndarray], radius: int) -> np.ndarray:
     """Lanes whose counter is above the radius."""
     above, equal = np.zeros_like(count[0]), np.full_like(count[0], ONES)

@@ -75,4 +75,5 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents that stay, with all their columns."""
     rows = _ranked(digests(docs, id_col, text_col), heavy, tracked)
     keys = rows.groupBy(id_key(F.col("id")).alias("k1"), "k2").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
-    return keep_rows(docs, keys.where("kept"), id_col, text_col)
+    keys = materialize(keys, "keys")
+    return keep_rows(docs, keys, keys.where("kept"), id_col, text_col)

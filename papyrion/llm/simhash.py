@@ -122,7 +122,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows without an id stay (repeated ones once).  Of rows that share the component's id one stays.
     """
     found = _components(fingerprints(docs, id_col, text_col, words), radius, blocks)
-    best = found.where("id is null or id = component")
-    keys = best.groupBy(id_key(F.col("id")).alias("k1"), "k2").agg(F.count("*").alias("n"))
-    one = keys.groupBy("k1", F.when(F.col("k1") == NO_ID, F.col("k2"))).agg(F.min(F.struct("k2", "n")).alias("x")).select("k1", "x.*")
-    return keep_rows(docs, one, id_col, text_col)
+    return keep_rows(docs, *_first_of_each(found), id_col, text_col)
+
+
+def _first_of_each(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(keys, kept) of rows (id, k2, component): the component's smallest id, one text of it; rows without an id stay."""
+    best = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
+    keys = materialize(found.groupBy(id_key(F.col("id")).alias("k1"), "k2").agg(F.count("*").alias("n"), F.bool_or(best).alias("best")), "keys")
+    named = keys.where(F.col("best") & (F.col("k1") != NO_ID)).groupBy("k1").agg(F.min("k2").alias("k2"))
+    return keys, named.unionByName(keys.where(F.col("k1") == NO_ID).select("k1", "k2"))

@@ -143,3 +143,36 @@ def test_large_bucket_is_cut_into_blocks(spark):
             break
     assert {k: v for k, v in brute.items()} == {k: label[k] for k in brute}
     assert F is not None
+
+
+def test_stages_keep_the_values_of_columns_of_any_name(spark):
+    schema = "doc_id long, text string, __k1 string, __k2 int, row string, `k1.n` int, n long"
+    long = "very long " * 100_000
+    data = [(1, "a b c d", "p", 1, "r1", 5, 9), (2, "a  b c d", "q", 2, "r2", 6, 8), (3, "other words are here now", "s", 3, "r3", 7, 7), (4, "other words are here now", "t", 4, "r4", 8, 6), (None, None, "u", 5, "r5", 9, 5), (7, long, "v", 6, "r6", 1, 1), (7, long, "v", 6, "r6", 1, 1)]
+    df = spark.createDataFrame(data, schema)
+    for drop in (drop_copies, drop_near_copies):
+        left = drop(df)
+        assert left.columns == df.columns
+        got = {tuple(r) for r in left.collect()}
+        assert got == {data[0], data[2], data[4], data[5]} and left.count() == 4
+        assert drop(df.limit(0)).count() == 0
+    some = spark.createDataFrame([(9, "left text", 1), (9, "right text of another kind", 2)], "doc_id long, text string, n int")
+    assert drop_copies(some).count() == 2 and drop_near_copies(some).count() == 1
+
+
+def test_carry_save_adders_count():
+    from papyrion.llm.bitslice import add_planes
+
+    rng = np.random.default_rng(3)
+    for n, digits in ((1, 2), (8, 2), (8, 5), (13, 3), (64, 7)):
+        bits = rng.integers(0, 2, (n, 64)).astype(np.uint64)
+        planes = [np.array([sum(int(b) << k for k, b in enumerate(row))], np.uint64) for row in bits]
+        count = [np.zeros(1, np.uint64) for _ in range(digits)]
+        over = np.zeros(1, np.uint64)
+        for at in range(0, n, 8):
+            over |= add_planes(count, planes[at : at + 8])
+        for lane in range(64):
+            real = int(bits[:, lane].sum())
+            assert (int(over[0]) >> lane & 1) == (real >= 1 << digits)
+            if real < 1 << digits:
+                assert sum((int(c[0]) >> lane & 1) << k for k, c in enumerate(count)) == real
