@@ -9,6 +9,7 @@ one of value i stands at ``high(i) + i``.  ``select`` finds it from a sampled di
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import numpy as np
 
@@ -43,50 +44,50 @@ def encode(values: np.ndarray) -> bytes:
 
 
 class Reader:
-    """Random and bulk access to an encoded sequence."""
-
-    def __init__(self, data: bytes | memoryview):
-        self.n, self.top, self.low_bits, a, b, c = HEAD.unpack_from(data)
-        at = HEAD.size
-        self.lower = np.frombuffer(data, np.uint8, a, at)
-        self.upper = np.frombuffer(data, np.uint8, b, at + a)
-        self.words = self.upper.view("<u8") if (at + a) % 8 == 0 else np.frombuffer(self.upper.tobytes(), "<u8")
-        self.samples = np.frombuffer(data, "<u4", c, at + a + b)
-        self.size = at + a + b + 4 * c
-
-    def select(self, i: int) -> int:
-        """Position of one number i in the upper bits."""
-        start = int(self.samples[i // SAMPLE])
-        left = i % SAMPLE
-        word = start // 64
-        bits = int(self.words[word]) >> (start % 64) << (start % 64)
-        while (ones := bits.bit_count()) <= left:
-            left -= ones
-            word += 1
-            bits = int(self.words[word])
-        for _ in range(left):
-            bits &= bits - 1
-        return word * 64 + (bits & -bits).bit_length() - 1
+    """Random and bulk access to an encoded sequence: only the header is kept, the rest is read in slices."""
+
+    def __init__(self, data: bytes | memoryview | Callable[[int, int], bytes]):
+        """``data`` is the code, or a function that gives ``n`` bytes of it from an offset: (offset, n) -> bytes."""
+        self.read = data if callable(data) else lambda at, n: bytes(data[at : at + n])
+        self.n, self.top, self.low_bits, a, b, c = HEAD.unpack(self.read(0, HEAD.size))
+        self.lower, self.upper, self.samples = HEAD.size, HEAD.size + a, HEAD.size + a + b
+        self.size = self.samples + 4 * c
+
+    def _bits(self, base: int, first: int, last: int) -> np.ndarray:
+        """Bits first..last-1 of a section."""
+        held = np.frombuffer(self.read(base + first // 8, (last + 7) // 8 - first // 8), np.uint8)
+        return np.unpackbits(held, bitorder="little")[first % 8 : first % 8 + last - first]
+
+    def select(self, i: int, words: int = 16) -> int:
+        """Position of one number i in the upper bits: a sample, then popcounts of a few words at a time."""
+        (start,) = struct.unpack("<I", self.read(self.samples + 4 * (i // SAMPLE), 4))
+        left, word = i % SAMPLE, start // 64
+        skip = start % 64
+        while True:
+            held = self.read(self.upper + 8 * word, min(8 * words, self.samples - self.upper - 8 * word))
+            for at in range(0, len(held), 8):
+                bits = int.from_bytes(held[at : at + 8], "little") >> skip << skip
+                skip = 0
+                ones = bits.bit_count()
+                if ones > left:
+                    for _ in range(left):
+                        bits &= bits - 1
+                    return (word + at // 8) * 64 + (bits & -bits).bit_length() - 1
+                left -= ones
+            word += words
 
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
-        low, at = 0, i * self.low_bits
-        if self.low_bits:
-            span = self.lower[at // 8 : (at + self.low_bits + 7) // 8].tobytes()
-            low = (int.from_bytes(span, "little") >> (at % 8)) & ((1 << self.low_bits) - 1)
-        return (self.select(i) - i) << self.low_bits | low
+        return int(self.block(i, i + 1)[0])
 
     def block(self, first: int, last: int) -> np.ndarray:
-        """Values first..last-1: one select, then a scan of the upper bits."""
+        """Values first..last-1: two selects, then a scan of the upper bits between them."""
         if first >= last:
             return np.zeros(0, np.int64)
         start, end = self.select(first), self.select(last - 1) + 1
-        bits = np.unpackbits(self.upper[start // 8 : (end + 7) // 8], bitorder="little")
-        ones = np.flatnonzero(bits[start % 8 : end - start // 8 * 8]) + start
-        high = ones - np.arange(first, last)
+        high = np.flatnonzero(self._bits(self.upper, start, end)) + start - np.arange(first, last)
         if not self.low_bits:
             return high
-        a, b = first * self.low_bits, last * self.low_bits
-        low = np.unpackbits(self.lower[a // 8 : (b + 7) // 8], bitorder="little")[a % 8 : b - a // 8 * 8].reshape(-1, self.low_bits)
+        low = self._bits(self.lower, first * self.low_bits, last * self.low_bits).reshape(-1, self.low_bits)
         return high << self.low_bits | (low.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)

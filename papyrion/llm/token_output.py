@@ -1,14 +1,17 @@
 """Token ids of a corpus as binary shards with Elias-Fano document boundaries.
 
-Documents are dealt by range of their id (texts with equal ids in order of a hash of the
-text; null ids first), so shard after shard holds them in ascending order.  A shard file is
+Texts are encoded where they lie and only their ids, 2 or 4 bytes each, are dealt by range of
+the document's id (texts with equal ids in order of a hash of the text; null ids first), so
+shard after shard holds them in ascending order.  The encoded rows are a written table, as the
+ranges are found by a pass over it and a lost task shouldn't encode again.  A shard file is
 
     ids of its documents, concatenated, 2 or 4 bytes each
     Elias-Fano code of the documents' ends in that array
     Elias-Fano code of the ids, as differences from the first one
     footer: lengths, first id, number of null ids, width, magic
 
-and its offsets come from the select structure, block by block.  A task writes a file of its
+and its offsets come from the select structure, block by block: a reader fetches the footer, the
+headers and the slices of its block, never a whole code.  A task writes a file of its
 own name and returns a manifest row; only files in the written manifest count, so a task that
 ran twice or was lost leaves nothing that is read.  Files go through ``pyarrow.fs``.
 
@@ -31,23 +34,36 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyrion.llm import elias_fano
+from papyrion.llm.rows import quoted
 from papyrion.llm.vocabulary import small_groups, word_encoder
-from papyrion.workspace import materialize, shared_folder
+from papyrion.workspace import Table, materialize, shared_folder
 
 FOOTER = "<QQQqQI8s"
 MAGIC = b"EFTOKEN1"
-MANIFEST = "shard int, path string, n_docs long, n_ids long"
+MANIFEST = "shard int, path string, n_docs long, n_ids long, width int"
 
 
 def _locate(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def _writer(folder: str, tokenizer_path: str, end_id: int):
+def _encoder(tokenizer_path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_path)
-        width = np.dtype(encoder.kind).itemsize
         end = np.array([end_id], encoder.kind).tobytes()
+        for batch in batches:
+            at = 0
+            for group in small_groups(batch.column(2).to_pylist()):
+                rows = batch.slice(at, len(group))
+                at += len(group)
+                codes = pa.array([code + end for code in encoder.encode(group)], pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), codes], names=["id", "h", "code"])
+
+    return run
+
+
+def _writer(folder: str, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.bin"
         out, ids, lengths = None, [], []
@@ -59,11 +75,9 @@ def _writer(folder: str, tokenizer_path: str, end_id: int):
                 where.create_dir(name.rpartition("/")[0], recursive=True)
                 out = where.open_output_stream(name)
             ids.append(batch.column(0))
-            texts = batch.column(1).to_pylist()
-            for group in small_groups(texts):
-                for code in encoder.encode(group):
-                    out.write(code + end)
-                    lengths.append(len(code) // width + 1)
+            for code in batch.column(1):
+                out.write(code.as_buffer())
+                lengths.append(len(code.as_buffer()) // width)
         if out is None:
             return
         known = pa.chunked_array(ids)
@@ -75,18 +89,21 @@ def _writer(folder: str, tokenizer_path: str, end_id: int):
             out.write(code)
         out.write(struct.pack(FOOTER, int(ends[-1]) * width, len(codes[0]), len(codes[1]), first, known.null_count, width, MAGIC))
         out.close()
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [len(ends)], "n_ids": [int(ends[-1])]})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [len(ends)], "n_ids": [int(ends[-1])], "width": pa.array([width], pa.int32())})
 
     return run
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the shards and return the written manifest (shard, path, n_docs, n_ids, base: ids in earlier shards)."""
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    order = [F.col("id"), F.xxhash64("t")]
-    dealt = named.repartitionByRange(*order).sortWithinPartitions(*order)
-    manifest = materialize(dealt.mapInArrow(_writer(folder, tokenizer_path, end_id), MANIFEST), "manifest")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    """Write the shards and return the written manifest (shard, path, n_docs, n_ids, width, base: ids in earlier shards)."""
+    text = F.col(quoted(text_col)).cast("string")
+    named = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("t"))
+    coded = Table(named.mapInArrow(_encoder(tokenizer_path, end_id), "id long, h long, code binary"), "codes")
+    dealt = coded.df.repartitionByRange("id", "h").sortWithinPartitions("id", "h")
+    width = np.dtype(word_encoder(tokenizer_path).kind).itemsize
+    manifest = materialize(dealt.select("id", "code").mapInArrow(_writer(folder, width), MANIFEST), "manifest")
+    coded.drop()
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
@@ -100,8 +117,8 @@ class Shard:
         payload, a, b, self.first, self.nulls, self.width, magic = struct.unpack(FOOTER, self.file.read_at(struct.calcsize(FOOTER), size - struct.calcsize(FOOTER)))
         if magic != MAGIC:
             raise ValueError(f"{path} is not a token shard")
-        self.ends = elias_fano.Reader(self.file.read_at(a, payload))
-        self.ids = elias_fano.Reader(self.file.read_at(b, payload + a))
+        self.ends = elias_fano.Reader(lambda at, n: self.file.read_at(n, payload + at))
+        self.ids = elias_fano.Reader(lambda at, n: self.file.read_at(n, payload + a + at))
 
     def __enter__(self) -> Shard:
         return self
@@ -135,12 +152,18 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def read_shards(manifest: DataFrame, block: int = 2048) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, read from the files in blocks of documents."""
+def read_shards(manifest: DataFrame, block: int = 2048, task_bytes: int = 1 << 24) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, read from the files in blocks of documents.
+
+    The blocks are dealt to a task for about each ``task_bytes`` of the shards (AQE would see
+    only the few bytes of the manifest's rows and merge them into one task).
+    """
+    held = manifest.agg(F.coalesce(F.sum(F.col("n_ids") * F.col("width")), F.lit(0)), F.coalesce(F.sum(F.ceil(F.col("n_docs") / block)), F.lit(0))).first()
+    tasks = max(1, min(int(held[1]), -(-int(held[0]) // task_bytes)))
     starts = F.explode(F.sequence(F.lit(0), F.col("n_docs") - 1, F.lit(block)))
     blocks = manifest.select("path", "base", "n_docs", starts.alias("first"))
     blocks = blocks.select("path", "base", "first", F.least(F.col("first") + block, "n_docs").alias("last"))
-    return blocks.repartition("path", "first").mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blocks.repartition(tasks, "path", "first").mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

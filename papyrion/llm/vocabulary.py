@@ -9,6 +9,7 @@ bounded whatever the texts are.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -70,13 +71,25 @@ def spaced_pieces(text: str) -> tuple[str, list[str]]:
     return first, rest
 
 
+# The normaliser and the cut of words that ``WordEncoder`` relies on.
+FOLDING = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_CUT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
 class WordEncoder:
-    """Ids of texts under a tokenizer that drops white space (``word_bpe_49k``): words apart by ASCII white space."""
+    """Ids of texts under a tokenizer that drops white space (``word_bpe_49k``): words apart by ASCII white space.
+
+    The file must fold case and cut words as that one does; any other raises an error.
+    """
 
     def __init__(self, path: str, limit: int = 500_000):
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        if spec["normalizer"] != FOLDING or spec["pre_tokenizer"] != {"type": "Sequence", "pretokenizers": [WORD_CUT, BYTES]} or spec["post_processor"] is not None:
+            raise ValueError("only a tokenizer that folds case and drops white space is supported")
         self.tokenizer = load(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4"
-        self.folds = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("\u00c9A") == "\u00e9a"
         self.cache = Cache(self._one, limit)
 
     def pack(self, ids: list[int]) -> bytes:
@@ -104,12 +117,12 @@ class WordEncoder:
         return list(map(b"".join, codes))
 
     def folded(self, text: str) -> str:
-        """The text in lower case if the tokenizer folds case, so that fewer words differ.
+        """The text in lower case, as the tokenizer folds case itself, so that fewer words differ.
 
         Two letters whose folding depends on more than themselves are left to the tokenizer,
         and so are texts with one of its special tokens.
         """
-        return text.lower() if self.folds and "\u03a3" not in text and "\u0130" not in text and "<|" not in text else text
+        return text.lower() if "\u03a3" not in text and "\u0130" not in text and "<|" not in text else text
 
 
 class TokenCounter:
