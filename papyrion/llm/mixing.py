@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyrion.llm.prefix import running_sums
-from papyrion.llm.rows import id_key, text_key
+from papyrion.llm.rows import id_key, quoted, text_key, whole
 from papyrion.llm.token_counts import document_lengths
 from papyrion.workspace import materialize
 
@@ -80,10 +80,6 @@ def block_count(tokens: int, quota: float, block_tokens: int, parts: int) -> int
     return max(1, math.ceil(tokens / block_tokens), min(tokens, fine))
 
 
-def _block(seed: int, id_col: str, text_col: str, blocks: Column) -> Column:
-    return F.pmod(F.xxhash64(id_key(F.col(id_col)), text_key(F.col(text_col)), F.lit(seed)), blocks)
-
-
 def _order(seed: int, source: Column, block: Column, turn: Column) -> Column:
     """The key of a block in the permutation of a pass."""
     return F.xxhash64(source, block, turn, F.lit(seed))
@@ -92,8 +88,8 @@ def _order(seed: int, source: Column, block: Column, turn: Column) -> Column:
 def mixing_plan(docs: DataFrame, path: str, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None, block_tokens: int = 1 << 20, parts: int = 256, seed: int = 0, max_sources: int = 100_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A written row per source: source, tokens, weight, quota, passes, blocks, threshold (null: no block of the last pass)."""
     spark = docs.sparkSession
-    spot = F.xxhash64(id_key(F.col(id_col)), text_key(F.col(text_col)), F.lit(seed)).alias("spot")
-    rows = materialize(document_lengths(docs, path, text_col, [F.col(source_col).cast("string").alias("source"), spot]), "lengths")
+    spot = F.xxhash64(id_key(F.col(quoted(id_col))), text_key(F.col(quoted(text_col))), F.lit(seed)).alias("spot")
+    rows = materialize(document_lengths(docs, path, text_col, [F.col(quoted(source_col)).cast("string").alias("source"), spot]), "lengths")
     found = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -120,23 +116,23 @@ def mixing_plan(docs: DataFrame, path: str, target_entropy: float | None = None,
 
 
 def mixed(docs: DataFrame, plan: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with __weight, __block and __copies (how often the document is used)."""
-    chosen = F.broadcast(plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns]))
-    rows = docs.join(chosen, F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-    rows = rows.withColumn("__block", _block(seed, id_col, text_col, F.col("__blocks")))
-    extra = _order(seed, F.col("__source"), F.col("__block"), F.col("__passes")) <= F.col("__threshold")
-    return rows.withColumn("__copies", F.col("__passes") + F.when(extra, 1).otherwise(0)).select(*docs.columns, F.col("__weight"), "__block", "__copies")
+    """(row: the document's columns as a struct, weight, block, copies: how often the document is used)."""
+    spot = F.xxhash64(id_key(F.col(quoted(id_col))), text_key(F.col(quoted(text_col))), F.lit(seed))
+    rows = docs.select(whole(docs).alias("row"), F.col(quoted(source_col)).cast("string").alias("of"), spot.alias("spot"))
+    rows = rows.join(F.broadcast(plan), F.col("of").eqNullSafe(F.col("source"))).withColumn("block", F.pmod("spot", "blocks"))
+    extra = _order(seed, F.col("source"), F.col("block"), F.col("passes")) <= F.col("threshold")
+    return rows.select("row", "weight", "block", (F.col("passes") + F.when(extra, 1).otherwise(0)).alias("copies"))
 
 
 def mix_sources(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """(id, source, weight, block, copies), one row per document."""
     plan = mixing_plan(docs, path, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     rows = mixed(docs, plan, options.get("seed", 0), id_col, text_col, source_col)
-    return rows.select(F.col(id_col), F.col(source_col), F.col("__weight").alias("weight"), F.col("__block").alias("block"), F.col("__copies").alias("copies"))
+    return rows.select(F.col("row")[id_col].alias(id_col), F.col("row")[source_col].alias(source_col), "weight", "block", "copies")
 
 
 def mixed_corpus(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The columns of ``docs``, each document as often as it is used."""
+    """The columns of ``docs``, whatever their names, each document as often as it is used."""
     plan = mixing_plan(docs, path, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    rows = mixed(docs, plan, options.get("seed", 0), id_col, text_col, source_col).where("__copies > 0")
-    return rows.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    rows = mixed(docs, plan, options.get("seed", 0), id_col, text_col, source_col).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

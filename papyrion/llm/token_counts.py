@@ -35,7 +35,7 @@ def counter(path: str):
 
 def document_lengths(docs: DataFrame, path: str, text_col: str = "text", keep: list | None = None) -> DataFrame:
     """The columns ``keep`` and n_tokens (long), one row per document."""
-    named = docs.select(*(keep or []), F.col(text_col).cast("string").alias("__text"))
+    named = docs.select(*(keep or []), F.col(text_col).cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields[:-1])
     return named.mapInArrow(counter(path), f"{schema}{', ' if schema else ''}n_tokens long")
 

@@ -241,3 +241,52 @@ def test_a_word_of_megabytes_streams_in_constant_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert size == len(text) and peak < 60_000_000 and len(own.known) <= 300_000
+
+
+def test_elias_fano_reads_slices():
+    rng = np.random.default_rng(2)
+    for values in (np.cumsum(rng.integers(0, 5000, 3000)), np.array([0, 0, 7, 2**30, 2**30, 2**41]), np.sort(np.concatenate([rng.integers(0, 50, 900), [10**12]]))):
+        code = elias_fano.encode(values)
+        asked = []
+
+        def read(at, n, code=code, asked=asked):
+            asked.append(n)
+            return code[at : at + n]
+
+        reader = elias_fano.Reader(read)
+        for a, b in ((0, 1), (len(values) // 2, len(values) // 2 + 3), (len(values) - 1, len(values))):
+            assert reader.block(a, b).tolist() == values[a:b].tolist()
+        assert [reader[i] for i in range(0, len(values), 97)] == values[::97].tolist()
+    code = elias_fano.encode(np.cumsum(rng.integers(0, 3000, 100_000)))
+    asked.clear()
+    assert len(elias_fano.Reader(lambda at, n: asked.append(n) or code[at : at + n]).block(50_000, 50_100)) == 100
+    assert sum(asked) < 2000 < len(code)
+
+
+def test_shards_are_read_by_several_tasks(spark, docs):
+    from papyrion.llm.token_output import read_shards, write_shards
+    from papyrion.workspace import shared_folder
+
+    df, rows = docs
+    manifest = write_shards(df, f"{shared_folder(spark)}/several", WORD)
+    parts = read_shards(manifest, block=16, task_bytes=2048)
+    assert parts.rdd.getNumPartitions() > 4
+    assert sorted(map(tuple, parts.collect()), key=lambda r: r[1]) == sorted(map(tuple, read_shards(manifest).collect()), key=lambda r: r[1])
+    with pytest.raises(ValueError):
+        WordEncoder(BYTE)
+
+
+def test_mixed_rows_keep_the_values_of_columns_of_any_name(spark):
+    rows = [(k, "word " * (k % 7), "ab"[k % 3 == 0], k, f"b{k}", -k) for k in range(300)] + [(None, None, None, 1, "n", 2), (5000, "very long " * 50_000, "a", 3, "l", 4), (1, "word ", "a", 1, "b1", -1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __pass long, `row.b` string, copies long")
+    uses = {}
+    for x in mix_sources(df, BYTE, max_repeats=3.0).collect():
+        uses.setdefault(x.doc_id, []).append(x.copies)
+    got = {}
+    for r in mixed_corpus(df, BYTE, max_repeats=3.0).collect():
+        got[tuple(r)] = got.get(tuple(r), 0) + 1
+    want = {}
+    for r in rows:
+        if uses[r[0]][0]:
+            want[r] = want.get(r, 0) + uses[r[0]][0]
+    assert got == want and mixed_corpus(df.limit(0), BYTE, max_repeats=3.0).count() == 0
