@@ -33,7 +33,15 @@ REF_KINDS = {"th": "theorem", "thm": "theorem", "prop": "proposition", "lem": "l
 # Words that carry no structure.
 STRUCTURED_STOP = ["theorem", "lemma", "proposition", "corollary", "remark", "definition", "proof", "section", "chapter", "book", "paper", "notes", "lecture notes", "scholze"]
 # Characters and the TeX commands they stand for.
-MATH_CHARACTERS = {"α": "\\alpha", "β": "\\beta", "γ": "\\gamma", "δ": "\\delta", "ε": "\\epsilon", "θ": "\\theta", "λ": "\\lambda", "μ": "\\mu", "π": "\\pi", "σ": "\\sigma", "φ": "\\phi", "ω": "\\omega", "∈": "\\in", "⊂": "\\subset", "⊆": "\\subseteq", "∪": "\\cup", "∩": "\\cap", "≤": "\\leq", "≥": "\\geq", "≠": "\\neq", "→": "\\to", "∞": "\\infty", "∑": "\\sum", "∏": "\\prod", "∫": "\\int", "⊗": "\\otimes", "⊕": "\\oplus", "×": "\\times", "≅": "\\cong", "∀": "\\forall", "∃": "\\exists", "ℝ": "\\mathbb{R}", "ℤ": "\\mathbb{Z}", "ℚ": "\\mathbb{Q}", "ℂ": "\\mathbb{C}", "ℕ": "\\mathbb{N}"}
+MATH_CHARACTERS = {
+    "∑": "\\sum", "∏": "\\prod", "∐": "\\coprod", "∫": "\\int", "√": "\\sqrt", "∞": "\\infty", "≤": "\\le", "≥": "\\ge", "≠": "\\neq", "≈": "\\approx", "≅": "\\cong",
+    "→": "\\to", "↦": "\\mapsto", "↔": "\\leftrightarrow", "⊂": "\\subset", "⊆": "\\subseteq", "⊃": "\\supset", "⊇": "\\supseteq", "∈": "\\in", "∉": "\\notin", "∅": "\\emptyset",
+    "∀": "\\forall", "∃": "\\exists", "∧": "\\wedge", "∨": "\\vee", "⊗": "\\otimes", "⊕": "\\oplus", "⊥": "\\bot", "⊤": "\\top",
+    "ℤ": "\\mathbb{Z}", "ℚ": "\\mathbb{Q}", "ℝ": "\\mathbb{R}", "ℂ": "\\mathbb{C}",
+    "α": "\\alpha", "β": "\\beta", "γ": "\\gamma", "δ": "\\delta", "ε": "\\epsilon", "ζ": "\\zeta", "η": "\\eta", "θ": "\\theta", "ι": "\\iota", "κ": "\\kappa", "λ": "\\lambda", "μ": "\\mu", "ν": "\\nu", "ξ": "\\xi",
+    "π": "\\pi", "ρ": "\\rho", "σ": "\\sigma", "τ": "\\tau", "υ": "\\upsilon", "φ": "\\phi", "χ": "\\chi", "ψ": "\\psi", "ω": "\\omega",
+    "Γ": "\\Gamma", "Δ": "\\Delta", "Θ": "\\Theta", "Λ": "\\Lambda", "Ξ": "\\Xi", "Π": "\\Pi", "Σ": "\\Sigma", "Υ": "\\Upsilon", "Φ": "\\Phi", "Ψ": "\\Psi", "Ω": "\\Omega",
+}
 
 
 def tokens(text: Column) -> Column:
@@ -116,13 +124,26 @@ def type_hint(text: Column) -> Column:
     return out
 
 
+# What goes from a TeX text for a prompt, and what stays of it.
+CLEANING = [
+    (r"\\(begin|end)\{[a-zA-Z0-9_*]+\}\s*", ""),
+    (r"\\label\{[^\}]+\}\s*", ""),
+    (r"\\(item|centering|newpage|clearpage)\b\s*", ""),
+    (r"\\(part|chapter|section|subsection|subsubsection|paragraph|subparagraph)\*?\{([^}]+)\}", "$2"),
+    (r"(\n\s*){3,}", "\n\n"),
+]
+
+
+def replaced(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """Regular expressions applied one after the other."""
+    for pattern, by in rules:
+        text = F.regexp_replace(text, pattern, by)
+    return text
+
+
 def clean_latex(text: Column) -> Column:
     """Structure commands out; section titles stay."""
-    out = F.regexp_replace(text, r"\\(begin|end)\{[a-zA-Z0-9_*]+\}\s*", "")
-    out = F.regexp_replace(out, r"\\label\{[^\}]+\}\s*", "")
-    out = F.regexp_replace(out, r"\\(item|centering|newpage|clearpage)\b\s*", "")
-    out = F.regexp_replace(out, r"\\(part|chapter|section|subsection|subsubsection|paragraph|subparagraph)\*?\{([^}]+)\}", "$2")
-    return F.trim(F.regexp_replace(out, r"(\n\s*){3,}", "\n\n"))
+    return F.trim(replaced(text, CLEANING))
 
 
 def macros(tex: Column) -> Column:
@@ -166,9 +187,16 @@ def structured_tokens(items: Column) -> Column:
     return F.array_distinct(F.concat(good, simple))
 
 
+def math_to_tex(text: Column, table: dict[str, str] = MATH_CHARACTERS) -> Column:
+    """Mathematical characters as TeX commands; others stay."""
+    named = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    mapped = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(named, c), c)), "")
+    return F.when(text.rlike(f"[{''.join(table)}]"), mapped).otherwise(text)
+
+
 def unicode_to_tex(text: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in MATH_CHARACTERS.items() for x in pair])
-    return F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    r"""``math_to_tex`` for display, with the long form \leq."""
+    return math_to_tex(text, MATH_CHARACTERS | {"≤": "\\leq"})
 
 
 def length_bucket(n: Column) -> Column:

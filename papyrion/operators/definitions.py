@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrion.functions.text import canonical, normal_term
+from papyrion.workspace import materialize
 
 
 def find_definitions(terms: DataFrame, definitions: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -19,30 +20,30 @@ def find_definitions(terms: DataFrame, definitions: DataFrame, aliases: DataFram
     return asked.join(direct, "__k", "left").join(through, "__k", "left").withColumn("key", F.coalesce("__d", "__a")).drop("__k", "__d", "__a")
 
 
-def base_by_suffix(terms: DataFrame, definitions: DataFrame) -> DataFrame:
-    """(term, base): the longest proper suffix of a term's words that is defined; definitions (key)."""
+def base_by_suffix(terms: DataFrame, definitions: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """(*within, term, base): the longest proper suffix of a term's words that is defined; definitions (*within, key)."""
     words = F.split(normal_term(F.col("term")), r"\s+")
-    parts = terms.select("term").distinct().withColumn("w", words).where(F.size("w") > 1)
-    each = parts.select("term", F.posexplode(F.transform(F.sequence(F.lit(2), F.size("w")), lambda k: F.array_join(F.slice(F.col("w"), k, F.size("w")), " "))).alias("k", "key"))
-    return each.join(definitions.select("key").distinct(), "key").groupBy("term").agg(F.min_by("key", "k").alias("base"))
+    parts = terms.select(*within, "term").distinct().withColumn("w", words).where(F.size("w") > 1)
+    each = parts.select(*within, "term", F.posexplode(F.transform(F.sequence(F.lit(2), F.size("w")), lambda k: F.array_join(F.slice(F.col("w"), k, F.size("w")), " "))).alias("k", "key"))
+    return each.join(definitions.select(*within, "key").distinct(), [*within, "key"]).groupBy(*within, "term").agg(F.min_by("key", "k").alias("base"))
 
 
-def base_by_parameter(terms: DataFrame, definitions: DataFrame) -> DataFrame:
-    """(term, base): the longest defined term that differs in one word from a window of the term's words.
+def base_by_parameter(terms: DataFrame, definitions: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """(*within, term, base): the longest defined term that differs in one word from a window of the term's words.
 
     Windows and defined terms meet on (number of words, the words but one), so no pair of terms
-    is compared that doesn't match.  definitions (key, ord); the first one wins a tie of length.
+    is compared that doesn't match.  definitions (*within, key, ord); the first one wins a tie of length.
     """
     def holes(words: str):
         return F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda h: F.struct(h.alias("hole"), F.array_join(F.transform(F.col(words), lambda w, i: F.when(i == h, "\x00").otherwise(w)), " ").alias("shape"), F.element_at(F.col(words), h + 1).alias("word")))
 
-    known = definitions.select("key", "ord", F.split("key", r"\s+").alias("w")).where(F.size("w") > 1).select("key", "ord", F.size("w").alias("n"), F.inline(holes("w")))
-    asked = terms.select("term").distinct().withColumn("w", F.split(normal_term(F.col("term")), r"\s+")).where(F.size("w") > 1)
-    sizes = asked.select("term", "w", F.explode(F.sequence(F.lit(2), F.size("w"))).alias("n"))
-    windows = sizes.select("term", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.slice(F.col("w"), i, F.col("n")))).alias("v"))
-    windows = windows.select("term", "n", F.inline(holes("v"))).withColumnRenamed("word", "other")
-    met = windows.join(known, ["n", "hole", "shape"]).where("word <> other")
-    return met.groupBy("term").agg(F.max_by("key", F.struct(F.length("key"), -F.col("ord"))).alias("base"))
+    known = definitions.select(*within, "key", "ord", F.split("key", r"\s+").alias("w")).where(F.size("w") > 1).select(*within, "key", "ord", F.size("w").alias("n"), F.inline(holes("w")))
+    asked = terms.select(*within, "term").distinct().withColumn("w", F.split(normal_term(F.col("term")), r"\s+")).where(F.size("w") > 1)
+    sizes = asked.select(*within, "term", "w", F.explode(F.sequence(F.lit(2), F.size("w"))).alias("n"))
+    windows = sizes.select(*within, "term", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.slice(F.col("w"), i, F.col("n")))).alias("v"))
+    windows = windows.select(*within, "term", "n", F.inline(holes("v"))).withColumnRenamed("word", "other")
+    met = windows.join(known, [*within, "n", "hole", "shape"]).where("word <> other")
+    return met.groupBy(*within, "term").agg(F.max_by("key", F.struct(F.length("key"), -F.col("ord"))).alias("base"))
 
 
 def merge_redundant(definitions: DataFrame, text: str = "definition_text", term: str = "term", order: str = "ord") -> DataFrame:
@@ -53,24 +54,33 @@ def merge_redundant(definitions: DataFrame, text: str = "definition_text", term:
     return groups.select(text, "primary", F.array_remove("terms", F.col("primary")).alias("aliases"), "n")
 
 
-def contained_terms(texts: DataFrame, terms: DataFrame, longest: int = 8) -> DataFrame:
+def redundant_members(definitions: DataFrame, text: str = "definition_text", term: str = "term", order: str = "ord") -> DataFrame:
+    """(term, primary, n, is_primary): ``merge_redundant`` as a row per term, for texts that very many terms share.
+
+    Nothing is gathered by text: the primary terms are aggregated map-side and joined back on the text's hash.
+    """
+    named = definitions.where(F.col(text) != "").select(F.col(term).alias("term"), F.col(order).alias("ord"), F.sha2(F.col(text).cast("string"), 256).alias("key"))
+    best = named.groupBy("key").agg(F.min_by("term", F.struct(F.length("term"), "ord")).alias("primary"), F.count("*").alias("n"))
+    return named.join(best, "key").groupBy("term", "primary", "n").agg((F.first("term") == F.first("primary")).alias("is_primary"))
+
+
+def contained_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(text_id, term_id): canonical terms inside canonical texts at word borders; texts (text_id, text), terms (term_id, term).
 
-    Terms of up to ``longest`` words meet the texts' word n-grams in an equi-join; longer ones
-    are filed under their first ``longest`` words and tested whole.
+    A term is filed under the word of it that the fewest texts have.  A text meets only the terms
+    filed under one of its words, and only these pairs are tested whole.  The words asked for and
+    the pairs are written tables: small ones are broadcast, others are shuffled without the texts.
     """
-    words = F.split(canonical(F.col("text")), " ")
-    t = terms.select("term_id", canonical(F.col("term")).alias("c")).where("c <> ''").withColumn("n", F.least(F.size(F.split("c", " ")), F.lit(longest)))
-    t = t.withColumn("head", F.array_join(F.slice(F.split("c", " "), 1, longest), " "))
-    sizes = t.select("n").distinct()
-    body = texts.select("text_id", words.alias("w"))
-    grams = body.join(F.broadcast(sizes), F.size("w") >= F.col("n"))  # at most ``longest`` sizes
-    grams = grams.select("text_id", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice(F.col("w"), i, F.col("n")), " ")))).alias("head"))
-    met = grams.join(t, ["n", "head"])
-    short = met.where(F.col("c") == F.col("head")).select("text_id", "term_id")
-    rest = met.where(F.col("c") != F.col("head")).join(texts, "text_id")
-    rest = rest.where(F.concat(F.lit(" "), canonical(F.col("text")), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("c"), F.lit(" "))))
-    return short.union(rest.select("text_id", "term_id")).distinct()
+    t = terms.select("term_id", canonical(F.col("term")).alias("c")).where("c <> ''")
+    each = t.select("term_id", "c", F.explode(F.array_distinct(F.split("c", " "))).alias("word"))
+    asked = materialize(each.select("word").distinct(), "words")
+    body = texts.select("text_id", F.explode(F.array_distinct(F.split(canonical(F.col("text")), " "))).alias("word"))
+    met = materialize(body.join(asked, "word", "left_semi"), "met")
+    df = met.groupBy("word").agg(F.count("*").alias("df"))
+    keyed = each.join(df, "word", "left").groupBy("term_id").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"), F.first("c").alias("c"))
+    pairs = materialize(met.join(keyed, "word").select("text_id", "term_id", "c"), "pairs")
+    inside = F.concat(F.lit(" "), canonical(F.col("text")), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("c"), F.lit(" ")))
+    return texts.join(pairs, "text_id").where(inside).select("text_id", "term_id").distinct()
 
 
 def prerequisites(requirements: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -42,11 +42,25 @@ def subword_pairs(terms: DataFrame) -> DataFrame:
     return met.select("paper", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def all_pairs(nodes: DataFrame) -> DataFrame:
+def capped_overlap_pairs(terms: DataFrame, cap: int) -> DataFrame:
+    """``overlap_pairs`` of the papers with at most ``cap`` pairs; others keep none.
+
+    A term of n artifacts alone makes n (n - 1) / 2 pairs, so papers with a term beyond the cap go
+    before any pair is made, and what is left makes at most ``cap`` pairs a term.
+    """
+    t = terms.select("paper", "artifact", "term").distinct()
+    sizes = t.groupBy("paper", "term").agg(F.count("*").alias("n"))
+    over = sizes.where(F.col("n") * (F.col("n") - 1) / 2 > cap).select("paper").distinct()
+    return under_cap(overlap_pairs(t.join(over, "paper", "left_anti")), cap)
+
+
+def all_pairs(nodes: DataFrame, cap: int = 10_000) -> DataFrame:
     """The fallback: every pair of a paper's nodes, the earlier line as the source (smaller id on a tie).
 
-    nodes (paper, id, line); papers are small by their cap, and the join is on the paper.
+    nodes (paper, id, line).  A paper with more than ``cap`` pairs has none, and is left out before the join on the paper.
     """
+    sizes = nodes.groupBy("paper").agg(F.count("*").alias("n")).where(F.col("n") * (F.col("n") - 1) / 2 <= cap)
+    nodes = nodes.join(sizes.select("paper"), "paper", "left_semi")
     left, right = nodes.select("paper", F.col("id").alias("source"), F.col("line").alias("l1")), nodes.select("paper", F.col("id").alias("target"), F.col("line").alias("l2"))
     return left.join(right, "paper").where((F.col("l1") < F.col("l2")) | ((F.col("l1") == F.col("l2")) & (F.col("source") < F.col("target")))).select("paper", "source", "target")
 
@@ -82,6 +96,13 @@ def token_estimate(content: Column, proof: Column) -> Column:
     return F.length(F.coalesce(content, F.lit(""))) + F.least(F.length(F.coalesce(proof, F.lit(""))), F.lit(PROOF_CHARS))
 
 
+def cut_proof(proof: Column, budget: Column) -> Column:
+    """A proof for a prompt: whole without a budget or within it, else its beginning and a mark; null is empty."""
+    text = F.coalesce(proof, F.lit(""))
+    whole = budget.isNull() | (F.length(text) <= budget)
+    return F.when(whole, text).otherwise(F.concat(F.rtrim(F.substring(text, F.lit(1), budget.cast("int"))), F.lit("\n[proof cut]")))
+
+
 def choose_mode(nodes: DataFrame, paper: str, content: str, proof: str) -> DataFrame:
     """(paper, n_nodes, tokens, mode): global or hybrid for small papers, else pairwise."""
     sums = nodes.groupBy(paper).agg(F.count("*").alias("n_nodes"), F.ceil(F.sum(token_estimate(F.col(content), F.col(proof))) / 4).alias("tokens"))
@@ -104,9 +125,28 @@ def first_artifact(terms: DataFrame, nodes: DataFrame) -> DataFrame:
     return terms.join(lines, ["paper", "artifact"]).groupBy("paper", "term").agg(F.min_by("artifact", F.struct("line", "artifact")).alias("artifact"))
 
 
-def next_after(events: DataFrame, key: str, start: str, end: str, kind: str, left: str, right: str) -> DataFrame:
+def following(rows: DataFrame, key: str, at: str, value: Column, width: int | None = None) -> DataFrame:
+    """``rows`` with next: the smallest ``value`` of the key's rows after ``at``, null if none.
+
+    The rows run backwards with a running minimum, so the work is linear.  With ``width`` a key
+    is cut into ranges of that many units: each range has a task of its own and gets the minimum
+    of the later ones from a table with a row per range, so a hot key is many tasks.
+    """
+    if width is None:
+        window = Window.partitionBy(key).orderBy(F.desc(at)).rangeBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("next", F.min(value).over(window))
+    cut = rows.withColumn("__range", F.floor(F.col(at) / width))
+    here = Window.partitionBy(key, "__range").orderBy(F.desc(at)).rangeBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("__k").orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    lows = cut.groupBy(F.col(key).alias("__k"), F.col("__range").alias("__b")).agg(F.min(value).alias("__low"))
+    lows = lows.select("__k", "__b", F.min("__low").over(later).alias("__later"))
+    near = cut.withColumn("__near", F.min(value).over(here))
+    joined = near.join(lows, F.col(key).eqNullSafe(F.col("__k")) & F.col("__range").eqNullSafe(F.col("__b")), "left")
+    return joined.select(*rows.columns, F.coalesce("__near", "__later").alias("next"))
+
+
+def next_after(events: DataFrame, key: str, start: str, end: str, kind: str, left: str, right: str, width: int | None = None) -> DataFrame:
     """As-of join forward within one table: for each ``left`` row the first ``right`` row of its key that starts after its end."""
     at = F.when(F.col(kind) == right, F.col(start)).otherwise(F.col(end))
-    window = Window.partitionBy(key).orderBy("__at").rangeBetween(1, Window.unboundedFollowing)
-    rows = events.withColumn("__at", at)
-    return rows.withColumn("next_start", F.min(F.when(F.col(kind) == right, F.col(start))).over(window)).where(F.col(kind) == left).drop("__at")
+    rows = following(events.withColumn("__at", at), key, "__at", F.when(F.col(kind) == right, F.col(start)), width)
+    return rows.where(F.col(kind) == left).withColumnRenamed("next", "next_start").drop("__at")

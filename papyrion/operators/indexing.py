@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrion.functions.text import unicode_to_tex
+from papyrion.functions.text import math_to_tex
 from papyrion.operators.graph import placeholders
 
 # Tags of statement types in index texts.
@@ -41,7 +41,7 @@ def index_documents(nodes: DataFrame, mode: str = "content", with_type: bool = T
         parts.append(_present(F.col("semantic_tag")))
     if mode in PREREQS:
         parts.append(_present(needs))
-    return rows.select("artifact_id", "node_id", "type", "text", unicode_to_tex(F.concat_ws(" ", *parts, F.col("text"))).alias("index_text"))
+    return rows.select("artifact_id", "node_id", "type", "text", math_to_tex(F.concat_ws(" ", *parts, F.col("text"))).alias("index_text"))
 
 
 def prepared_queries(queries: DataFrame, explicit_only: bool = False, single_ref: bool = False) -> DataFrame:
@@ -57,7 +57,7 @@ def prepared_queries(queries: DataFrame, explicit_only: bool = False, single_ref
     if single_ref:
         rows = rows.where("n_refs = 1")
     words = F.size(F.filter(F.split("query_text", r"\s+"), lambda w: w != ""))
-    return rows.select(F.coalesce("query_id", F.sha2("query_text", 256)).alias("query_id"), "query_text", unicode_to_tex(F.col("query_text")).alias("normalized"), F.coalesce("query_style", F.lit("unknown")).alias("style"), words.alias("n_words"), "n_refs")
+    return rows.select(F.coalesce("query_id", F.sha2("query_text", 256)).alias("query_id"), "query_text", math_to_tex(F.col("query_text")).alias("normalized"), F.coalesce("query_style", F.lit("unknown")).alias("style"), words.alias("n_words"), "n_refs")
 
 
 def build_qrels(nodes: DataFrame, queries: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrion.functions.text import replaced
+
 # Geometry and similarity bounds.
 MARGIN, MAX_DISTANCE, MIN_SIMILARITY, MIN_GAP, WINDOW_LINES = 80.0, 200.0, 0.5, 0.1, 3
 LABEL = r"^\s*(Theorem|Lemma|Proposition|Corollary|Definition|Remark|Example|Claim|Conjecture)\s+(\d+(?:\.\d+)*)"
@@ -60,3 +62,56 @@ def source_lines(wanted: DataFrame, files: DataFrame, probe: int = 5) -> DataFra
     steps = wanted.select("paper", "line", F.explode(F.sequence(F.col("line"), F.col("line") + probe)).alias("at"))
     met = steps.join(files, "paper").where(F.col("at").between(F.col("first"), F.col("last")))
     return met.groupBy("paper", "line").agg(F.min_by(F.struct("file", (F.col("at") - F.col("first") + 1).alias("local")), "at").alias("x")).select("paper", "line", "x.*")
+
+
+# Words that don't tell lines apart, and single letters that do.
+LINE_STOP = ["the", "of", "and", "are", "is", "a", "an", "to", "for", "in", "on", "with", "by", "let", "be", "then", "that", "this", "these", "those", "as", "we", "our", "their", "its", "from", "over", "under"]
+LINE_LETTERS = ["t", "k", "q", "f", "r", "s", "z"]
+# How TeX becomes comparable words, and text without formulas.
+TEX_WORDS = [
+    (r"\\mathbb\{([A-Za-z])\}_\{?([A-Za-z0-9]+)\}?", "$1$2"),
+    (r"\\mathbb\{([A-Za-z])\}", "$1"),
+    (r"([A-Za-z])_\{?([A-Za-z0-9]+)\}?", "$1$2"),
+    (r"([A-Za-z])\^\{?([A-Za-z0-9]+)\}?", "$1$2"),
+    (r"\\[a-zA-Z@]+(\[[^\]]*\])?", " "),
+]
+TEX_PROSE = [(r"\\[a-zA-Z@]+(\[[^\]]*\])?(\{[^}]*\})?", " "), (r"\\begin\{[^}]+\}|\\end\{[^}]+\}", " "), (r"\$[^$]*\$", " "), (r"\{|\}|\[|\]|\(|\)", " ")]
+
+
+def line_words(text: Column) -> Column:
+    """A printed line in lower case, letters and digits only."""
+    return F.lower(F.trim(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")))
+
+
+def tex_words(text: Column) -> Column:
+    """A TeX text as the line that it prints: commands out, indices joined to their letter."""
+    return line_words(replaced(F.coalesce(text, F.lit("")), TEX_WORDS))
+
+
+def line_tokens(text: Column) -> Column:
+    """The words of a line that may tell it apart: longer ones, numbers and some letters."""
+    return F.filter(F.split(line_words(text), " "), lambda t: (t != "") & ~t.isin(LINE_STOP) & ((F.length(t) >= 2) | t.rlike("[0-9]") | t.isin(LINE_LETTERS)))
+
+
+def anchor(text: Column) -> Column:
+    """The longest span without formulas: the most words between sentence ends, or the first four words if that has under three."""
+    bare = F.trim(F.regexp_replace(replaced(F.coalesce(text, F.lit("")), TEX_PROSE), r"\s+", " "))
+    spans = F.filter(F.transform(F.split(bare, r"[.;:!?]\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    sized = F.transform(spans, lambda s, k: F.struct((-F.size(F.split(s, r"\s+"))).alias("n"), k.alias("k"), s.alias("s")))
+    best = F.array_min(sized)
+    return F.coalesce(F.when(best["n"] <= -3, best["s"]).otherwise(F.array_join(F.slice(F.split(bare, " "), 1, 4), " ")), F.lit(""))
+
+
+def best_lines(nodes: DataFrame, lines: DataFrame) -> DataFrame:
+    """(paper, page, id, line_no): the line whose distinct words, by their rarity on the page, agree most with a node's.
+
+    nodes (paper, page, id, text), lines (paper, page, line_no, text).  The sum of 1 / (lines with the word) is at least
+    ``MIN_SIMILARITY`` and ahead of the second by ``MIN_GAP``.
+    """
+    each = lines.select("paper", "page", "line_no", F.explode(F.array_distinct(line_tokens(F.col("text")))).alias("w"))
+    df = each.groupBy("paper", "page", "w").agg(F.count("*").alias("n"))
+    asked = nodes.select("paper", "page", "id", F.explode(F.array_distinct(line_tokens(tex_words(F.col("text"))))).alias("w"))
+    scored = asked.join(each, ["paper", "page", "w"]).join(df, ["paper", "page", "w"]).groupBy("paper", "page", "id", "line_no").agg(F.sum(1.0 / F.col("n")).alias("s"))
+    order = Window.partitionBy("paper", "page", "id").orderBy(F.desc("s"), "line_no")
+    best = scored.withColumns({"place": F.row_number().over(order), "second": F.lead("s", 1, 0.0).over(order)}).where("place = 1")
+    return best.where((F.col("s") >= MIN_SIMILARITY) & (F.col("s") - F.col("second") >= MIN_GAP)).select("paper", "page", "id", "line_no")

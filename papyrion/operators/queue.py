@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.functions.ids import base_id, version_of
+from papyrion.sources.tables import numbered
 
 # Title words that exclude a paper, and the page limit.
 TITLE_WORDS = ["lecture", "course", "notes on", "introduction to"]
@@ -54,9 +55,10 @@ def retries_first(pending: DataFrame, failures: DataFrame, id_col: str = "id") -
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """Rows of both by key: the new one with the highest order wins, else the old one."""
-    rows = old.withColumns({"__new": F.lit(0), "__o": F.lit(None).cast("long")}).unionByName(new.withColumns({"__new": F.lit(1), "__o": order.cast("long")}))
+    kind = new.select(order.alias("o")).schema["o"].dataType  # the order keeps its type: times differ below a second
+    rows = old.withColumns({"__new": F.lit(0), "__o": F.lit(None).cast(kind)}).unionByName(new.withColumns({"__new": F.lit(1), "__o": order}))
     values = [c for c in old.columns if c not in keys]
-    picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct("__new", F.coalesce("__o", F.lit(-1)))).alias("v"))
+    picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct("__new", "__o")).alias("v"))
     return picked.select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])
 
 
@@ -72,6 +74,76 @@ def should_refresh(ts: Column, cutoff: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(ts.cast("string")) < cutoff, F.lit(True))
 
 
+def succeeded(status: Column) -> Column:
+    return F.coalesce(F.startswith(status, F.lit("success")), F.lit(False))
+
+
+def retry_candidate(status: Column, details: Column, codes: list[str]) -> Column:
+    """A failure whose reason code is one of ``codes``."""
+    return F.coalesce((status == "failure") & F.get_json_object(details, "$.reason_code").isin(codes), F.lit(False))
+
+
+def ordered_work(retries: DataFrame, selected: DataFrame, done: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, place): retries first, then the selection, each id once at its first place and without those done; the first ``most``.
+
+    retries and selected (id, ord).
+    """
+    both = retries.select("id", F.lit(0).alias("part"), "ord").unionByName(selected.select("id", F.lit(1).alias("part"), "ord"))
+    first = both.groupBy("id").agg(F.min(F.struct("part", "ord")).alias("at")).join(done.select("id"), "id", "left_anti")
+    if most is None:
+        return numbered(first.select("id", F.struct("at.part", "at.ord", "id").alias("at")), "at").select("id", F.col("n").alias("place"))
+    best = first.orderBy("at", "id").limit(most)  # top-k first: the window sees ``most`` rows
+    return best.select("id", F.row_number().over(Window.orderBy("at", "id")).cast("long").alias("place"))
+
+
+def add_missing(table: DataFrame, new: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """(table with the new rows whose key it lacks, number of added rows): the first of equal new keys is added."""
+    rest = [c for c in new.columns if c != key]
+    first = new.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("v")).select(key, *[F.col(f"v.{c}").alias(c) for c in rest])
+    added = first.join(table.select(key), key, "left_anti")
+    return table.unionByName(added.select(*table.columns)), added.agg(F.count("*").alias("added"))
+
+
+def merged_details(rows: DataFrame, details: str, schema: str) -> DataFrame:
+    """``rows`` with the keys of a JSON column as columns; a key that is there overwrites the column of its name."""
+    parsed = rows.withColumn("__d", F.from_json(details, schema))
+    names = [f.name for f in parsed.schema["__d"].dataType.fields]
+    plain = [c for c in rows.columns if c not in names and c != details]
+    return parsed.select(*plain, *[(F.coalesce(F.col(f"__d.{n}"), F.col(n).cast(parsed.schema["__d"].dataType[n].dataType)) if n in rows.columns else F.col(f"__d.{n}")).alias(n) for n in names])
+
+
+def stale_or_missing(papers: DataFrame, fetched: DataFrame, key: str, cutoff: Column, most: int | None = None) -> DataFrame:
+    """Keys to fetch again: never fetched, or fetched before the cutoff; in key order, the first ``most``. fetched (key, ts)."""
+    rows = papers.select(key).distinct().join(fetched.select(key, "ts"), key, "left").where(should_refresh(F.col("ts"), cutoff)).select(key)
+    return rows if most is None else rows.orderBy(key).limit(most)
+
+
+def upgrade_counts(old: DataFrame, new: DataFrame, key: str, count: str) -> DataFrame:
+    """One row: attempted, success (a count came back), missing, upgraded (0 before, more now)."""
+    joined = new.join(old.select(key, F.col(count).alias("__before")), key, "left")
+    return joined.agg(
+        F.count("*").alias("attempted"), F.count(count).alias("success"), F.count_if(F.col(count).isNull()).alias("missing"),
+        F.count_if((F.col("__before") == 0) & (F.col(count) > 0)).alias("upgraded"),
+    )
+
+
+def first_metadata(rows: DataFrame, id_col: str, metadata: str, order: str) -> DataFrame:
+    """(base, metadata): the metadata that was seen first for each paper, whatever its version."""
+    return rows.where(F.col(metadata).isNotNull()).groupBy(base_id(F.col(id_col)).alias("base")).agg(F.min_by(metadata, order).alias("metadata"))
+
+
+def paper_titles(wanted: DataFrame, papers: DataFrame, discovered: DataFrame) -> DataFrame:
+    """(id, title): by base id, from the papers, else from the discovered ones; the smallest full id has the word.
+
+    wanted (id), papers and discovered (id, title), with or without versions.
+    """
+    def by_base(rows: DataFrame, name: str) -> DataFrame:
+        return rows.where(F.coalesce(F.trim("title"), F.lit("")) != "").groupBy(base_id(F.col("id")).alias("base")).agg(F.min_by("title", "id").alias(name))
+
+    rows = wanted.select("id", base_id(F.col("id")).alias("base")).join(by_base(papers, "a"), "base", "left").join(by_base(discovered, "b"), "base", "left")
+    return rows.select("id", F.coalesce("a", "b").alias("title"))
+
+
 def batch_filter(papers: DataFrame, title: Column, comment: Column, skipped: DataFrame, processed: DataFrame, key: str, force: bool = False) -> DataFrame:
     """``papers`` with reason: skipped, title, pages, processed, or null to go on."""
     marked = papers.join(skipped.select(key).distinct().withColumn("__s", F.lit(True)), key, "left").join(processed.select(key).distinct().withColumn("__p", F.lit(True)), key, "left")

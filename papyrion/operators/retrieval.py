@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.functions.text import length_bucket, refs_bucket, tokens, type_hint
+from papyrion.operators.graph import expand_results
+from papyrion.workspace import materialize
 
 RRF_K = 60
 
@@ -15,30 +21,39 @@ def document_frequencies(docs: DataFrame, id_col: str = "id", text_col: str = "t
     return docs.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
-def _postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, dl, token, tf) of the wanted tokens only, with one aggregation inside the row."""
-    found = docs.select("id", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    each = found.select("id", "dl", F.explode("t").alias("token")).join(F.broadcast(wanted), "token", "left_semi")
-    return each.groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Written table (id, dl, token, tf): the wanted tokens of each document, and one row (token null) for all others.
+
+    Each text is tokenised once; tokens that nobody asks for fall together before the shuffle.
+    """
+    each = docs.select("id", F.explode(tokens(F.col("text"))).alias("token"))
+    marked = each.join(wanted.withColumnRenamed("token", "w"), F.col("token") == F.col("w"), "left")
+    counted = marked.groupBy("id", F.col("w").alias("token")).agg(F.count("*").alias("tf"))
+    return materialize(counted.withColumn("dl", F.sum("tf").over(Window.partitionBy("id"))), "postings")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, parameters: list[tuple[float, float]] = ((1.5, 0.75),), k: int = 10) -> DataFrame:
     """(k1, b, query_id, id, score, rank): the best k documents of each query and setting.
 
-    docs (id, text), queries (query_id, text).  Only postings of query tokens are kept; each
-    occurrence of a query token counts; ties by id.  The queries' vocabulary is broadcast, so
-    it must be of a bounded size, as a benchmark's is.
+    docs (id, text), queries (query_id, text).  Each occurrence of a query token counts; ties by
+    id.  The queries' vocabulary is a written table, so it is broadcast only while it is small.
+    All settings are summed in one pass over the postings and ranked apart.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    postings = _postings(docs, asked.select("token").distinct())
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
-    df = postings.groupBy("token").agg(F.count("*").alias("df"))
-    settings = F.array(*[F.struct(F.lit(k1).alias("k1"), F.lit(b).alias("b")) for k1, b in parameters])
-    rows = postings.join(F.broadcast(df), "token").join(F.broadcast(size)).join(F.broadcast(asked), "token")
+    asked = materialize(asked, "asked")
+    posted = postings(docs, materialize(asked.select("token").distinct(), "wanted"))
+    size = docs.agg(F.count("*").alias("n")).join(posted.agg(F.sum("tf").alias("all")))
+    found = posted.where("token is not null")
+    df = found.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rows = rows.select("query_id", "id", "tf", "qtf", "dl", "avgdl", idf.alias("idf"), F.inline(settings))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("dl") / F.col("avgdl")))
-    scored = rows.groupBy("k1", "b", "query_id", "id").agg(F.sum(part).alias("score"))
+    weighed = materialize(asked.join(df, "token").join(F.broadcast(size)).select("query_id", "token", (F.col("qtf") * idf).alias("weight"), (F.col("all") / F.col("n")).alias("avgdl")), "weights")
+
+    def part(k1: float, b: float) -> Column:
+        return F.sum(F.col("weight") * F.col("tf") / (F.col("tf") + F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("dl") / F.col("avgdl"))))
+
+    scores = found.join(weighed, "token").groupBy("query_id", "id").agg(*[part(k1, b).alias(f"s{j}") for j, (k1, b) in enumerate(parameters)])
+    settings = F.array(*[F.struct(F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"), F.col(f"s{j}").alias("score")) for j, (k1, b) in enumerate(parameters)])
+    scored = scores.select("query_id", "id", F.inline(settings)).select("k1", "b", "query_id", "id", "score")
     order = Window.partitionBy("k1", "b", "query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -51,12 +66,48 @@ def cosine(x: Column, y: Column) -> Column:
     return dot(x, y) / ((F.sqrt(dot(x, x)) + 1e-9) * (F.sqrt(dot(y, y)) + 1e-9))
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, id, score, rank): vectors (id, v) against a stated query set (query_id, q).
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows divided by their norm plus 1e-9, in double precision; all vectors have one length."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    rows = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+    return rows / (np.linalg.norm(rows, axis=1, keepdims=True) + 1e-9)
+
+
+def _best_of(ids: np.ndarray, matrix: np.ndarray, k: int):
+    """mapInArrow function: the k best rows of a task for each query of a block, by matrix products."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, score = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                here = np.broadcast_to(part.column(0).to_numpy(), (len(ids), part.num_rows))
+                best, score = np.concatenate([best, here], axis=1), np.concatenate([score, matrix @ _matrix(part.column(1)).T], axis=1)
+                order = np.lexsort((best, -score.round(9)), axis=1)[:, :k]
+                best, score = np.take_along_axis(best, order, 1), np.take_along_axis(score, order, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(best.ravel()), pa.array(score.ravel())], names=["query_id", "id", "score"])
+
+    return run
+
 
-    The query set is a bounded table, broadcast in blocks; each task keeps k rows a query before the shuffle.
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
+    """(query_id, id, score, rank): vectors (id, v) against a stated query set (query_id, q), ids long.
+
+    The queries go out in blocks of about ``block`` rows, so whatever their number a task holds
+    one block and k rows for each of its queries; the vectors never move.
     """
-    scored = vectors.join(F.broadcast(queries)).select("query_id", "id", cosine(F.col("v"), F.col("q")).alias("score"))
+    named = materialize(queries.select("query_id", "q", F.xxhash64("query_id").alias("h")), "queries")
+    blocks = max(1, -(-named.count() // block))
+    size = named.agg(F.max(F.size("q"))).first()[0]
+    rows = vectors.select(F.col("id").cast("long"), "v").where(F.size("v") == F.lit(size or 0))  # others have no cosine with the queries
+    scored = None
+    for j in range(blocks):
+        part = named.where(F.pmod("h", F.lit(blocks)) == j).select(F.col("query_id").cast("long"), "q").toArrow()
+        if part.num_rows:
+            found = rows.mapInArrow(_best_of(part.column(0).to_numpy(), _matrix(part.column(1)), k), "query_id long, id long, score double")
+            scored = found if scored is None else scored.unionByName(found)
+    if scored is None:
+        scored = rows.sparkSession.createDataFrame([], "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -136,8 +187,39 @@ def strata(metrics: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def late_interaction(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """MaxSim over token vectors: docs (id, vs), queries (query_id, qs), both array<array>; a stated query set is broadcast."""
+    """MaxSim over token vectors: docs (id, vs), queries (query_id, qs), both array<array>.
+
+    The stated query set is written, so it is broadcast while it is small and streamed by the nested loop beyond.
+    """
     best = F.aggregate("qs", F.lit(0.0), lambda s, q: s + F.coalesce(F.array_max(F.transform("vs", lambda v: cosine(v, q))), F.lit(0.0)))
-    scored = docs.join(F.broadcast(queries)).select("query_id", "id", best.alias("score"))
+    scored = docs.join(materialize(queries, "queries")).select("query_id", "id", best.alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def expanded_search(results: DataFrame, edges: DataFrame, types: DataFrame, allowed: list[str], k: int = 10) -> DataFrame:
+    """Search by graph expansion: the first k results of a ranking, then their direct successors of an allowed type."""
+    return expand_results(results.where(F.col("rank") <= k).select("query_id", "rank", "id"), edges, types, allowed)
+
+
+def weighted_overlap(wanted: DataFrame, fields: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """(query_id, id, overlap): inverse document frequencies of the shared tokens, by field.
+
+    wanted (query_id, field, token), fields (id, field, token); expressions count twice, a token
+    that no document has would count 1.  Frequencies are those of the distinct tokens of documents.
+    """
+    weights = weights or {"terms": 1.0, "expressions": 2.0, "domain": 1.0}
+    each = fields.select("id", "field", "token").distinct()
+    n = fields.agg(F.count_distinct("id").alias("n"))
+    df = each.groupBy("token").agg(F.count_distinct("id").alias("df"))
+    idf = df.join(F.broadcast(n)).select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    factor = F.try_element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), F.col("field"))
+    met = wanted.select("query_id", "field", "token").distinct().join(each, ["field", "token"]).join(idf, "token", "left")
+    return met.groupBy("query_id", "id").agg(F.sum(factor * F.coalesce("idf", F.lit(1.0))).alias("overlap"))
+
+
+def viewer_metrics(results: DataFrame, qrels: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """``query_metrics`` as a viewer shows them: a proof counts as its statement, at its first rank."""
+    base = F.regexp_replace(F.col("id").cast("string"), "#proof$", "")
+    first = results.groupBy("query_id", base.alias("id")).agg(F.min("rank").alias("rank"))
+    return query_metrics(first, qrels.select("query_id", base.alias("id")), queries, k)

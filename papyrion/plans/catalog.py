@@ -393,7 +393,7 @@ def graph_documents(spark, folder):
 def asof_next_event(spark, folder):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     e = table(spark, folder, "events").withColumns({"s": us, "e": us})
-    out = dependencies.next_after(e, "user_id", "s", "e", "event_type", "view", "purchase")
+    out = dependencies.next_after(e, "user_id", "s", "e", "event_type", "view", "purchase", width=86_400_000_000)
     return out.select("event_id", "user_id", "ts", F.timestamp_micros("next_start").cast("timestamp_ntz").alias("next_start"))
 
 
@@ -435,8 +435,8 @@ def all_pairs(spark, folder):
     FROM c JOIN part pa ON pa.p_partkey = a JOIN part pb ON pb.p_partkey = b WHERE n <= 100""")
 def pair_cap(spark, folder):
     p = table(spark, folder, "part").select(F.concat("p_brand", "p_type").alias("paper"), F.col("p_partkey").alias("id"), F.col("p_size").alias("line"), "p_name")
-    pairs = dependencies.overlap_pairs(p.select("paper", F.col("id").alias("artifact"), F.explode(F.split("p_name", " ")).alias("term")))
-    return dependencies.directed(dependencies.under_cap(pairs, 100), p)
+    pairs = dependencies.capped_overlap_pairs(p.select("paper", F.col("id").alias("artifact"), F.explode(F.split("p_name", " ")).alias("term")), 100)
+    return dependencies.directed(pairs, p)
 
 
 @query("""
@@ -633,8 +633,8 @@ def stream_event_upsert(spark, folder):
     schema = table(spark, folder, "events").schema
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = streams.file_stream(spark, folder, schema, "events.parquet").select("user_id", "event_id", "event_type", "value")
-    query_ = streams.upsert_stream(source, "user_id", "event_id", f"{at}/state", f"{at}/checkpoint")
-    return spark.read.parquet(f"{at}/state/{query_.lastProgress['batchId'] if query_.lastProgress else 0}")
+    streams.upsert_parts(source, "user_id", "event_id", f"{at}/state", f"{at}/checkpoint")
+    return streams.state(spark, f"{at}/state", source.schema)
 
 
 # Index, rebuild and repair

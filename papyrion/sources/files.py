@@ -27,14 +27,31 @@ def file_kind(content: Column) -> Column:
     return out.when(text.rlike(r"\\(documentclass|documentstyle|begin|input|magnification|section)"), "tex").otherwise("unknown")
 
 
+# What marks a file without a suffix as TeX.
+TEX_MARKS = r"\\(documentclass|documentstyle|begin\{document\}|input|magnification|section)"
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as UTF-8 text; what isn't UTF-8 is left out."""
+    return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\ufffd", "")
+
+
 def combined_tex(spark: SparkSession, folder: str) -> DataFrame:
-    """(paper, text) of folder/<paper>/**.tex: files in path order, each after a line with its name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tex").load(folder)
+    """(paper, text) of folder/<paper>/**: its .tex files in path order, each after a line with its name.
+
+    A paper without any gives its files without a suffix whose first 4096 bytes have a TeX command.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{*.tex,[!.]*}").load(folder)
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
     below = F.regexp_extract("path", r"([^/]+)/(?:[^/]+/)*[^/]+$", 1)
     paper = F.regexp_extract("path", rf"{folder.rstrip('/').split('/')[-1]}/([^/]+)/", 1)
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    part = F.struct("path", F.concat(F.lit("\n% --- Source File: "), name, F.lit(" ---\n"), F.decode("content", "UTF-8")).alias("t"))
-    return files.groupBy(F.coalesce(F.nullif(paper, F.lit("")), below).alias("paper")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["t"]), "").alias("text"))
+    bare = ~name.contains(".") & F.decode(F.substring("content", 1, 4096), "ISO-8859-1").rlike(TEX_MARKS)
+    kind = F.when(name.endswith(".tex"), 0).when(bare, 1)
+    marked = files.select("path", "content", name.alias("name"), kind.alias("kind"), F.coalesce(F.nullif(paper, F.lit("")), below).alias("paper")).where("kind is not null")
+    part = F.struct("path", F.concat(F.lit("\n% --- Source File: "), "name", F.lit(" ---\n"), decoded(F.col("content"))).alias("t"))
+    of = [F.sort_array(F.collect_list(F.when(F.col("kind") == k, part))) for k in (0, 1)]
+    chosen = marked.groupBy("paper").agg(of[0].alias("tex"), of[1].alias("bare"))
+    return chosen.select("paper", F.array_join(F.transform(F.when(F.size("tex") > 0, F.col("tex")).otherwise(F.col("bare")), lambda x: x["t"]), "").alias("text"))
 
 
 def _members(content: bytes) -> list[tuple[str, bytes]]:
@@ -45,7 +62,10 @@ def _members(content: bytes) -> list[tuple[str, bytes]]:
     except tarfile.TarError:
         pass
     if content[:2] == b"\x1f\x8b":
-        return [("source.tex", gzip.decompress(content))]
+        data = gzip.decompress(content)
+        if b"\\" not in data or sum(32 <= c < 127 or c in (9, 10, 13) for c in data[:4096]) <= 0.85 * len(data[:4096]):
+            raise ValueError("no TeX source in the gzip file")
+        return [("source.tex", data)]
     if content[:4] == b"PK\x03\x04":
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             return [(n, z.read(n)) for n in z.namelist() if not n.endswith("/")]
@@ -73,26 +93,54 @@ def archive_members(archives: DataFrame) -> DataFrame:
 ATOM, ARXIV = "{http://www.w3.org/2005/Atom}", "{http://arxiv.org/schemas/atom}"
 
 
+TOTAL = "{http://a9.com/-/spec/opensearch/1.1/}totalResults"
+
+
+def feed_page(xml: str) -> tuple[int, int, list[tuple]]:
+    """(papers, total, papers' rows) of an Atom feed; (0, 0, []) if it is malformed, has no total or holds an error entry."""
+    try:
+        root = ElementTree.fromstring(xml or "")
+    except ElementTree.ParseError:
+        return 0, 0, []
+    total = root.find(TOTAL)
+    entries = root.findall(f"{ATOM}entry")
+    failed = any((e.findtext(f"{ATOM}title") or "").strip() == "Error" for e in entries)
+    if failed or total is None or not (total.text or "").strip().isdigit():
+        return 0, 0, []
+    rows = [r for e in entries if (r := _paper(e)) is not None]
+    return len(rows), int(total.text), rows
+
+
+def _paper(entry: ElementTree.Element) -> tuple | None:
+    def text(tag: str) -> str | None:
+        found = entry.find(tag)
+        return " ".join(found.text.split()) if found is not None and found.text else None
+
+    if not (text(f"{ATOM}id") and text(f"{ATOM}title") and text(f"{ATOM}summary")):
+        return None
+    categories = [c.get("term") for c in entry.iter(f"{ATOM}category") if c.get("scheme") == "http://arxiv.org/schemas/atom"]
+    primary = entry.find(f"{ARXIV}primary_category")
+    main = primary.get("term") if primary is not None else (categories[0] if categories else "unknown")
+    authors = [n.text.strip() for n in entry.iter(f"{ATOM}name") if n.text]
+    return text(f"{ATOM}id").rpartition("/abs/")[2], text(f"{ATOM}title"), authors, text(f"{ATOM}summary"), text(f"{ARXIV}comment"), main, categories
+
+
 def feed_entries(xml: str) -> list[tuple]:
-    """Papers of an Atom feed; a malformed feed has none."""
+    """Papers of an Atom feed whether or not it tells a total; a malformed feed has none."""
     try:
         root = ElementTree.fromstring(xml or "")
     except ElementTree.ParseError:
         return []
-    out = []
-    for e in root.iter(f"{ATOM}entry"):
-        def text(tag: str, e=e) -> str | None:
-            found = e.find(tag)
-            return " ".join(found.text.split()) if found is not None and found.text else None
-
-        if not (text(f"{ATOM}id") and text(f"{ATOM}title") and text(f"{ATOM}summary")):
-            continue
-        categories = [c.get("term") for c in e.iter(f"{ATOM}category") if c.get("scheme") == "http://arxiv.org/schemas/atom"]
-        primary = e.find(f"{ARXIV}primary_category")
-        main = primary.get("term") if primary is not None else (categories[0] if categories else "unknown")
-        authors = [n.text.strip() for n in e.iter(f"{ATOM}name") if n.text]
-        out.append((text(f"{ATOM}id").rpartition("/abs/")[2], text(f"{ATOM}title"), authors, text(f"{ATOM}summary"), text(f"{ARXIV}comment"), main, categories))
-    return out
+    return [r for e in root.iter(f"{ATOM}entry") if (r := _paper(e)) is not None]
+
+
+def feed_totals(feeds: DataFrame, key: str, column: str = "xml") -> DataFrame:
+    """(key, n_papers, total) of each feed."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([(k, *feed_page(x)[:2]) for k, x in zip(frame["k"], frame["x"], strict=True)], columns=["k", "n_papers", "total"])
+
+    return feeds.select(F.col(key).cast("long").alias("k"), F.col(column).alias("x")).mapInPandas(run, "k long, n_papers long, total long").withColumnRenamed("k", key)
 
 
 def feed_papers(feeds: DataFrame, column: str = "xml") -> DataFrame:

@@ -9,6 +9,7 @@ only when the table is below ``spark.sql.autoBroadcastJoinThreshold``.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -20,11 +21,16 @@ _FOLDERS: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The session's folder for intermediate tables, under ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests on one machine) a temporary folder is made.
+    Only where the setting is missing and Spark runs in this process alone (tests) a temporary
+    folder is made; on a cluster no executor could read it, so that is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
-        top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="papyrion-")
+        top = spark.conf.get("spark.checkpoint.dir", None)
+        if not top:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            top = tempfile.mkdtemp(prefix="papyrion-")
         _FOLDERS[app] = f"{top.rstrip('/')}/papyrion-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(remove, spark, _FOLDERS[app])
     return _FOLDERS[app]
