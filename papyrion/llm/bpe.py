@@ -41,8 +41,8 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 
 
 SHORT = (1, 2)
-#: Bytes at the start of a word for which the transducer's state is remembered.
-PREFIX = 16
+#: The transducer's states are remembered for so many bytes at the start of words, and so many of them.
+PREFIX, STATES = 16, 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -91,9 +91,10 @@ class Transducer:
         self.words = regex.compile(WORDS)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.compatible: dict[tuple[int | None, int], bool] = {}
-        self.known: dict[bytes, int] = {}
+        self.steps: dict[int, int] = {}
+        self.tokens = [-1]
         self.inner = Cache(lambda piece: self._packed(" " + piece), limit)
-        self.other = Cache(self._packed, 10_000)
+        self.other = Cache(self._packed, 100_000)
 
     def _derive(self) -> None:
         """For each token the chains of pieces at its left and right edge, with the rank at which each is merged away."""
@@ -131,26 +132,30 @@ class Transducer:
 
     def stream(self, parts: Iterable[bytes]) -> Iterator[int]:
         """Ids of one word that comes in parts, emitted once stable."""
-        held, start = b"", True  # bytes since the last stable end, and whether they begin the word
+        held = b""  # bytes since the last stable end
         last: list[int | None] = [None]  # token that ends the encoding of each prefix of held
-        ids, sizes, fits, known = self.ids, self.sizes, self.compatible, self.known
+        state = 0  # of the word's beginning, as far as states are remembered; then -1
+        ids, sizes, fits, steps, tokens = self.ids, self.sizes, self.compatible, self.steps, self.tokens
         for part in parts:
             for at in range(0, len(part), self.step):
+                chunk = part[at : at + self.step]
                 begin = len(held) + 1
-                held += part[at : at + self.step]
-                for end in range(begin, len(held) + 1):
-                    if start and end <= PREFIX:
-                        token = known.get(held[:end])
-                        if token is not None:
-                            last.append(token)
+                held += chunk
+                for end, byte in enumerate(chunk, begin):
+                    if state >= 0:
+                        key = state << 8 | byte
+                        next_state = steps.get(key)
+                        if next_state is not None:
+                            state = next_state
+                            last.append(tokens[state])
                             continue
                     for size in sizes.get(held[end - 3 : end], SHORT) if end > 2 else SHORT:
-                        begin = end - size
-                        if begin < 0:
+                        start = end - size
+                        if start < 0:
                             break
-                        token = ids.get(held[begin:end])
+                        token = ids.get(held[start:end])
                         if token is not None:
-                            before = last[begin]
+                            before = last[start]
                             good = fits.get((before, token))
                             if good is None:
                                 if len(fits) >= 500_000:
@@ -159,10 +164,8 @@ class Transducer:
                             if good:
                                 last.append(token)
                                 break
-                    if start and end <= PREFIX:
-                        if len(known) >= 300_000:
-                            known.clear()
-                        known[held[:end]] = last[end]
+                    if state >= 0:
+                        state = self._remember(key, last[end]) if end <= PREFIX else -1
                 if len(held) >= 2 * self.lookahead:
                     ends = set(range(len(held) - self.lookahead + 1, len(held) + 1))
                     while len(ends) > 1:
@@ -171,9 +174,19 @@ class Transducer:
                         ends.add(end - len(self.bytes_of[last[end]]))
                     cut = ends.pop()
                     yield from self._path(last, cut)
-                    held, last, start = held[cut:], last[cut:], start and not cut  # the token before still decides what may follow
+                    held, last = held[cut:], last[cut:]  # the token before still decides what may follow
         yield from self._path(last, len(held))
 
+    def _remember(self, key: int, token: int) -> int:
+        """A new state, reached by ``key`` (state, byte) and with ``token`` as the last one; all are forgotten when there are too many."""
+        if len(self.tokens) >= STATES:
+            self.steps.clear()
+            del self.tokens[1:]
+            return -1
+        self.steps[key] = len(self.tokens)
+        self.tokens.append(token)
+        return len(self.tokens) - 1
+
     def _path(self, last: list, end: int) -> list[int]:
         out = []
         while end:
@@ -196,7 +209,10 @@ class Transducer:
             yield from self.word(word.group())
 
     def _packed(self, piece: str) -> bytes:
-        ids = array("I", self.pieces(piece))  # quicker than numpy for a few ids
+        words = self.words.findall(piece) if not self.special or self.special.search(piece) is None else ()
+        if len(words) > 1:  # words that begin with a space share the cache of the pieces
+            return b"".join([self.inner[w[1:]] if w[0] == " " and len(w) > 1 else self.other[w] for w in words])
+        ids = array("I", self.stream((piece.encode("utf-8", "replace"),)) if words else self.pieces(piece))  # quicker than numpy for a few ids
         return ids.tobytes() if sys.byteorder == "little" else np.array(ids, self.kind).tobytes()
 
     def _blocks(self, piece: str, size: int = 1 << 14) -> Iterator[bytes]:
