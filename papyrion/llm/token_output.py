@@ -1,9 +1,9 @@
 """Token ids of a corpus as binary shards with Elias-Fano document boundaries.
 
-Texts are encoded where they lie and only their ids, 2 or 4 bytes each, are dealt by range of
-the document's id (texts with equal ids in order of a hash of the text; null ids first), so
-shard after shard holds them in ascending order.  The encoded rows are a written table, as the
-ranges are found by a pass over it and a lost task shouldn't encode again.  A shard file is
+The ranges of shards are found by a pass over the documents' ids and text hashes alone (equal
+ids are in order of the hash; null ids first).  Then each text is encoded where it lies, and
+only its ids, 2 or 4 bytes each, go to the shard whose range it falls into, once and in
+ascending order from shard to shard.  A shard file is
 
     ids of its documents, concatenated, 2 or 4 bytes each
     Elias-Fano code of the documents' ends in that array
@@ -24,12 +24,12 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,62 +47,107 @@ def _locate(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def _encoder(tokenizer_path: str, end_id: int):
+#: Stands for a null id, before all others.
+FIRST = -(2**63)
+
+
+def _encoder(tokenizer_path: str, end_id: int, lows: list[tuple[int, int, int]]):
+    ids = np.array([x[0] for x in lows], np.int64)
+
+    def shard_of(batch: pa.RecordBatch) -> np.ndarray:
+        """The last range whose low end (id, hash, salt) isn't above the row."""
+        rows = batch.column(0).fill_null(FIRST).to_numpy()
+        found = np.searchsorted(ids, rows, "right") - 1
+        for k in np.flatnonzero(np.searchsorted(ids, rows, "left") <= found):  # a range begins inside this id's rows
+            found[k] = bisect_right(lows, (int(rows[k]), batch.column(1)[k].as_py(), batch.column(2)[k].as_py())) - 1
+        return np.maximum(found, 0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_path)
         end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
+            shards = shard_of(batch)
             at = 0
-            for group in small_groups(batch.column(2).to_pylist()):
+            for group in small_groups(batch.column(3).to_pylist()):
                 rows = batch.slice(at, len(group))
-                at += len(group)
                 codes = pa.array([code + end for code in encoder.encode(group)], pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), codes], names=["id", "h", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(shards[at : at + len(group)], pa.int32()), rows.column(0), rows.column(1), codes], names=["shard", "id", "h", "code"])
+                at += len(group)
 
     return run
 
 
-def _writer(folder: str, width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId()
-        path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.bin"
-        out, ids, lengths = None, [], []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if out is None:
-                where, name = _locate(path)
-                where.create_dir(name.rpartition("/")[0], recursive=True)
-                out = where.open_output_stream(name)
-            ids.append(batch.column(0))
-            for code in batch.column(1):
-                out.write(code.as_buffer())
-                lengths.append(len(code.as_buffer()) // width)
-        if out is None:
-            return
-        known = pa.chunked_array(ids)
-        ends = np.cumsum(np.array(lengths, np.int64))
+def _ranges(named: DataFrame, shard_bytes: int) -> list[tuple[int, int, int]]:
+    """Low ends (id, hash, salt) of ranges of about ``shard_bytes`` of text, from a table without texts."""
+    marks = Table(named.select(F.coalesce("id", F.lit(FIRST)).alias("id"), "h", "salt", F.coalesce(F.octet_length("t"), F.lit(0)).alias("size")), "marks")
+    held = marks.df.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    parts = max(1, min(held[0] // shard_bytes + 1, held[1]))
+    dealt = marks.df.repartitionByRange(parts, "id", "h", "salt").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("id", "h", "salt")).alias("low"))
+    lows = sorted(tuple(r.low) for r in dealt.collect())  # a row per shard
+    marks.drop()
+    return lows
+
+
+class _Output:
+    """A shard file that is being written."""
+
+    def __init__(self, folder: str, shard: int, width: int):
+        self.shard, self.width = shard, width
+        self.path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.bin"
+        where, name = _locate(self.path)
+        where.create_dir(name.rpartition("/")[0], recursive=True)
+        self.out, self.ids, self.lengths = where.open_output_stream(name), [], []
+
+    def add(self, ids: pa.Array, codes: pa.Array) -> None:
+        self.ids.append(ids)
+        for code in codes:
+            self.out.write(code.as_buffer())
+            self.lengths.append(len(code.as_buffer()) // self.width)
+
+    def close(self) -> pa.RecordBatch:
+        """Boundaries, ids and footer; the manifest's row."""
+        known = pa.chunked_array(self.ids)
+        ends = np.cumsum(np.array(self.lengths, np.int64))
         numbers = known.drop_null().to_numpy()
         first = int(numbers[0]) if len(numbers) else 0
         codes = elias_fano.encode(ends), elias_fano.encode(numbers - first)
         for code in codes:
-            out.write(code)
-        out.write(struct.pack(FOOTER, int(ends[-1]) * width, len(codes[0]), len(codes[1]), first, known.null_count, width, MAGIC))
-        out.close()
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [len(ends)], "n_ids": [int(ends[-1])], "width": pa.array([width], pa.int32())})
+            self.out.write(code)
+        self.out.write(struct.pack(FOOTER, int(ends[-1]) * self.width, len(codes[0]), len(codes[1]), first, known.null_count, self.width, MAGIC))
+        self.out.close()
+        return pa.RecordBatch.from_pydict({"shard": pa.array([self.shard], pa.int32()), "path": [self.path], "n_docs": [len(ends)], "n_ids": [int(ends[-1])], "width": pa.array([self.width], pa.int32())})
+
+
+def _writer(folder: str, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            shards = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held is None or held.shard != shards[a]:
+                    if held is not None:
+                        yield held.close()
+                    held = _Output(folder, int(shards[a]), width)
+                held.add(batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a))
+        if held is not None:
+            yield held.close()
 
     return run
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 1 << 24) -> DataFrame:
     """Write the shards and return the written manifest (shard, path, n_docs, n_ids, width, base: ids in earlier shards)."""
     text = F.col(quoted(text_col)).cast("string")
-    named = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("t"))
-    coded = Table(named.mapInArrow(_encoder(tokenizer_path, end_id), "id long, h long, code binary"), "codes")
-    dealt = coded.df.repartitionByRange("id", "h").sortWithinPartitions("id", "h")
+    salt = F.xxhash64(F.monotonically_increasing_id())  # rows alike in all else are dealt out too
+    named = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"), salt.alias("salt"), text.alias("t"))
+    lows = _ranges(named, shard_bytes)
+    coded = named.mapInArrow(_encoder(tokenizer_path, end_id, lows), "shard int, id long, h long, code binary")
+    dealt = coded.repartitionById(max(1, len(lows)), "shard").sortWithinPartitions("shard", "id", "h")
     width = np.dtype(word_encoder(tokenizer_path).kind).itemsize
-    manifest = materialize(dealt.select("id", "code").mapInArrow(_writer(folder, width), MANIFEST), "manifest")
-    coded.drop()
+    manifest = materialize(dealt.select("shard", "id", "code").mapInArrow(_writer(folder, width), MANIFEST), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
