@@ -2,11 +2,14 @@
 
 A rotation of the leading principal directions is learned on a bounded sample (about
 ``sample`` vectors, chosen by a hash of their ids) so that the signs of the rotated coordinates are balanced and
-lose little (ITQ, Gong and Lazebnik 2011).  The 64-bit codes are cut into ``tables`` substrings;
-codes that agree in one are compared bit-sliced, and pairs within ``radius`` bits are reranked
-with the original vectors in double precision.  All pairs of codes less than ``tables`` bits
-apart are found; a pair is counted only in the first table in which it meets.  Large table
-entries are cut into blocks and each pair of blocks is a unit of its own.
+lose little (ITQ, Gong and Lazebnik 2011).  The 64-bit codes are cut into ``tables`` substrings.
+A vector is filed under each of its substrings as it is and with one of its two least certain
+bits (the coordinates nearest to zero) turned over; codes that share a key are compared
+bit-sliced, and pairs within ``radius`` bits are reranked with the original vectors in double
+precision.  All pairs of codes less than ``tables`` bits apart are found, and most of those that
+differ in uncertain bits of a substring; a pair is counted only under the first key that it shares.
+``tables=64, radius=64`` compares all pairs of a label and is exact.  Large table entries are
+cut into blocks and each pair of blocks is a unit of its own.
 
 Equal vectors of a label are one class with a multiplicity, so copies are never paired.  Units
 return link counts and a spanning forest, never all pairs.
@@ -78,11 +81,24 @@ def codes(rows: np.ndarray, mean: np.ndarray, directions: np.ndarray) -> np.ndar
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def _coder(mean: np.ndarray, directions: np.ndarray):
+def uncertain(rows: np.ndarray, mean: np.ndarray, directions: np.ndarray, tables: int) -> list[np.ndarray]:
+    """Two masks for each vector, with the least and the second least certain bit of each table's substring (none, if it has one bit)."""
+    margin = np.abs((rows - mean) @ directions)
+    out = [np.zeros(len(rows), np.uint64) for _ in range(2)]
+    for k in range(tables):
+        a, b = BITS * k // tables, BITS * (k + 1) // tables
+        order = margin[:, a:b].argsort(axis=1)
+        for mask, place in zip(out, order.T, strict=False):
+            mask |= np.uint64(1) << (a + place).astype(np.uint64)
+    return out
+
+
+def _coder(mean: np.ndarray, directions: np.ndarray, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = codes(unit_rows(batch.column(batch.num_columns - 1), len(mean)), mean, directions) if batch.num_rows else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.view(np.int64))], names=[*batch.schema.names, "code"])
+            rows = unit_rows(batch.column(batch.num_columns - 1), len(mean)) if batch.num_rows else np.zeros((0, len(mean)))
+            made = [codes(rows, mean, directions) if batch.num_rows else np.zeros(0, np.uint64), *uncertain(rows, mean, directions, tables)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x.view(np.int64)) for x in made)], names=[*batch.schema.names, "code", "turn1", "turn2"])
 
     return run
 
@@ -100,18 +116,26 @@ def _links(threshold: float, radius: int, masks: list[int], most: int = 1 << 14)
     own = np.array(masks, np.uint64)
 
     def work(table: pa.Table, low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
-        code = table.column("code").to_numpy().view(np.uint64)
+        code, one, two = (table.column(c).to_numpy().view(np.uint64) for c in ("code", "turn1", "turn2"))
         rep, many = table.column("rep").to_numpy(), table.column("n").to_numpy()
-        which = table.column("t").to_numpy()
+        which, turned = table.column("t").to_numpy(), table.column("turned").to_numpy()
         rows = unit_rows(table.column("v"))
         labels, found = np.arange(len(code)), np.zeros(len(code), np.int64)
+        turns = [np.zeros_like(code), one, two]
+        key = (code ^ np.choose(turned, turns)) & own[which]
         for left, right in near(code, low, high, radius, tile=1 << 14):
             for at in range(0, len(left), most):
                 i, j = left[at : at + most], right[at : at + most]
-                differ = code[i] ^ code[j]
-                first = np.argmax((differ[:, None] & own) == 0, axis=1)
-                mine = first == which[i]
-                i, j = i[mine], j[mine]
+                differ, here, t = code[i] ^ code[j], np.arange(len(i)), which[i]
+                met, least = np.zeros((len(i), len(own)), bool), np.full(len(i), np.uint64(0xFFFFFFFFFFFFFFFF))
+                for mine in turns:  # the keys of i, by table, that are keys of j too
+                    both = np.zeros_like(met)
+                    for other in turns:
+                        both |= ((differ ^ mine[i] ^ other[j])[:, None] & own) == 0
+                    met |= both
+                    least = np.where(both[here, t], np.minimum(least, (code[i] ^ mine[i]) & own[t]), least)
+                first = (met.argmax(axis=1) == t) & (key[i] == key[j]) & (key[i] == least)
+                i, j = i[first], j[first]
                 linked = np.einsum("ij,ij->i", rows[i], rows[j]) >= threshold
                 i, j = i[linked], j[linked]
                 np.add.at(found, i, many[j])
@@ -127,11 +151,12 @@ def _links(threshold: float, radius: int, masks: list[int], most: int = 1 << 14)
     return work
 
 
-def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, tables: int = 8, radius: int = 20, sample: int = 4096, block: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, tables: int = 8, radius: int = 26, sample: int = 4096, block: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, n_links, component_id, kept), one row per vector."""
     v = F.col("v")
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"  # as wide as they are, for the shuffle
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast(kind).alias("v"))
     rows = rows.withColumn("ok", F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & finite, F.lit(False)))
     rows = rows.withColumns({"h1": F.xxhash64("label", "v"), "h2": F.hash("v", "label")})
     classes = rows.where("ok").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.any_value("label").alias("label"), F.any_value("v").alias("v"))
@@ -142,12 +167,14 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, tables: int = 8
     mean, directions = learn_rotation(unit_rows(learned, size))
     fields = classes.select("rep", "n", "label", "v")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields.schema.fields)
-    coded = materialize(fields.mapInArrow(_coder(mean, directions), f"{kinds}, code long"), "codes")
+    coded = materialize(fields.mapInArrow(_coder(mean, directions, tables), f"{kinds}, code long, turn1 long, turn2 long"), "codes")
     masks = table_masks(tables)
-    filed = coded.withColumn("dims", F.size("v")).select("rep", "n", "label", "dims", "v", "code", F.inline(F.array(*[F.struct(F.lit(t).alias("t"), F.col("code").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])))
+    forms = [F.col("code"), F.col("code").bitwiseXOR(F.col("turn1")), F.col("code").bitwiseXOR(F.col("turn2"))][: 2 if tables == BITS else 3]
+    keys = [F.struct(F.lit(t).alias("t"), F.lit(turned).alias("turned"), form.bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks) for turned, form in enumerate(forms)]
+    filed = coded.withColumn("dims", F.size("v")).select("rep", "n", "label", "dims", "v", "code", "turn1", "turn2", F.inline(F.array(*keys)))
     filed = filed.withColumn("g", F.xxhash64("label", "dims", "t", "key"))  # equal keys of two groups would only add tests
-    pieces = units(filed.select("g", "label", "dims", "t", "rep", "n", "code", "v"), ["g", "label", "dims", "t"], "rep", block)
-    pieces = pieces.withColumn("label", F.xxhash64("label")).select("g", "label", "dims", "t", "__i", "__j", "__side", "rep", "n", "code", "v")
+    pieces = units(filed.select("g", "label", "dims", "t", "rep", "n", "code", "turn1", "turn2", "turned", "v"), ["g", "label", "dims", "t"], "rep", block)
+    pieces = pieces.withColumn("label", F.xxhash64("label")).select("g", "label", "dims", "t", "__i", "__j", "__side", "rep", "n", "code", "turn1", "turn2", "turned", "v")
     found = materialize(pieces.mapInArrow(each_unit(["g", "label", "dims", "t"], _links(threshold, radius, masks), least=1 << 12), "rep long, to long, links long"), "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = connected_components(found.where("to is not null"), "rep", "to")

@@ -75,3 +75,35 @@ def test_rotation_balances_bits():
     import pyarrow as pa
 
     assert np.allclose(unit_rows(pa.array([[3.0, 4.0], [0.0, 2.0]])), [[0.6, 0.8], [0, 1]])
+
+
+def test_the_exact_setting_equals_brute_force(spark):
+    rng = np.random.default_rng(7)
+    rows = make(rng, 150, 64, 0.19)
+    links, component, pairs = brute(rows, 0.9)
+    got = embedding_dedup(spark.createDataFrame(rows, SCHEMA), threshold=0.9, tables=64, radius=64).collect()
+    assert len(pairs) > 20 and {r.vec_id: r.n_links for r in got} == links and {r.vec_id: r.component_id for r in got} == component
+
+
+def test_recall_with_a_common_direction(spark):
+    rng = np.random.default_rng(8)
+    common = rng.normal(size=64) * 2.6
+    centres = rng.normal(size=(300, 64)) + common
+    rows = [(2 * k + h, [float(np.float32(x)) for x in centres[k] + 0.62 * rng.normal(size=64)], 1, "x") for k in range(300) for h in (0, 1)]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.median((x @ x.T)[np.triu_indices(len(x), 1)]) > 0.75
+    links, _, pairs = brute(rows, 0.93)
+    got = {r.vec_id: r.n_links for r in embedding_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(pairs) > 100 and all(got[i] <= n for i, n in links.items())
+    assert sum(got.values()) >= 0.9 * sum(links.values())
+
+
+def test_planted_copies_are_linked_once(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(40, 32))
+    rows = [(100 * k + h, [float(np.float32(x)) for x in base[k] * (1 + h) + 0.02 * h * rng.normal(size=32)], k % 2, "x") for k in range(40) for h in range(6)]
+    links, component, _ = brute(rows, 0.93)
+    for block in (16, 1024):
+        got = embedding_dedup(spark.createDataFrame(rows, SCHEMA).repartition(7), block=block).collect()
+        assert {r.vec_id: r.n_links for r in got} == links and {r.vec_id: r.component_id for r in got} == component and sum(r.kept for r in got) == 40
