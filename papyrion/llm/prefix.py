@@ -1,7 +1,9 @@
 """Running sums over an order that no single task could hold.
 
 Rows are cut into ranges of the order; the totals of the ranges are summed first (few rows),
-and then each range sums its own rows from there.
+and then each range sums its own rows from there.  A range is one task's work, so callers bound
+it: the length histogram has at most 1,024 different lengths in a range, and the blocks of a
+source fall into 1,024 ranges of a hash.
 """
 
 from __future__ import annotations
