@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.operators import bank, classify, definitions, dependencies, graph, indexing, queue, replies, retrieval, store
+from papyrion.operators import bank, classify, commands, definitions, dependencies, graph, indexing, queue, replies, retrieval, store
 from papyrion.operators.components import connected_components
 from papyrion.plans.catalog import EDGES, REACH, _bm25, _bm25_sql, _nation_edges, query
-from papyrion.sources import sinks
+from papyrion.sources import files, sinks
 from papyrion.sources.tables import table
 
 
@@ -583,3 +583,87 @@ def chained_components(spark, folder):
 def first_edges(spark, folder):
     e = table(spark, folder, "orders").select(F.col("o_custkey").alias("source"), F.lit(0).alias("target"), F.col("o_orderkey").alias("kind"), F.struct("o_totalprice", "o_orderkey").alias("ord"))
     return graph.dedup_edges(e, "ord").select("source", F.col("kind").cast("long").alias("target"))
+
+
+# Commands and stored replies of services
+
+
+@query("""
+    WITH w AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'P')
+    SELECT 'processed' AS name, count(*) AS n FROM customer WHERE c_custkey NOT IN (FROM w)
+    UNION ALL SELECT 'states', count(*) FROM (SELECT DISTINCT user_id, event_type FROM events) WHERE NOT (user_id IN (FROM w) AND event_type = 'view')
+    UNION ALL SELECT 'queue', (SELECT count(*) FROM supplier) + (SELECT count(*) FROM w WHERE id NOT IN (SELECT s_suppkey FROM supplier))""")
+def reprocessed_papers(spark, folder):
+    papers = table(spark, folder, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id"), F.lit("{}").alias("metadata"))
+    done = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"))
+    states = table(spark, folder, "events").select(F.col("user_id").alias("paper"), F.col("event_type").alias("mode")).distinct()
+    waiting = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("{}").alias("metadata"))
+    parts = zip(("processed", "states", "queue"), commands.reprocess(papers, done, states, waiting, ["view"]), strict=True)
+    rows = [part.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, part in parts]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+@query("""
+    WITH q AS (SELECT DISTINCT user_id AS base, event_id % 23 AS v FROM events) SELECT count(*) AS before, count(*) - count(DISTINCT base) AS removed, count(DISTINCT base) AS after FROM q""")
+def queue_report(spark, folder):
+    q = table(spark, folder, "events").select(F.concat(F.lit("p"), F.col("user_id").cast("string"), F.lit("v"), (F.col("event_id") % 23).cast("string")).alias("arxiv_id")).distinct()
+    return commands.deduplicated_queue(q)[1]
+
+
+@query("""
+    SELECT 'zero' AS kind, count(DISTINCT c_custkey // 2) AS n FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT 'discovered', count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey // 2 FROM customer)
+    UNION ALL SELECT 'all', count(*) FROM (SELECT o_custkey FROM orders UNION SELECT c_custkey // 2 FROM customer)""")
+def backfill_selections(spark, folder):
+    c = table(spark, folder, "customer").select(F.concat((F.floor(F.col("c_custkey") / 2)).cast("string"), F.lit("v"), (F.col("c_custkey") % 2 + 1).cast("string")).alias("id"), (F.col("c_custkey") % 5).alias("count"))
+    d = table(spark, folder, "orders").select(F.concat(F.lit(" "), F.col("o_custkey").cast("string"), F.lit("v1")).alias("id"))
+    out = None
+    for kind in ("zero", "discovered", "all"):
+        part = commands.backfill_ids(kind, c.select("id"), d, c).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query(f"""
+    WITH RECURSIVE {EDGES}, {REACH}, s AS (SELECT component, count(*) AS size FROM comp GROUP BY 1), l AS (SELECT component, count(*) AS n_edges FROM e JOIN comp ON v = src GROUP BY 1)
+    SELECT CAST(row_number() OVER (ORDER BY size DESC, component) AS INTEGER) AS rank, component, CAST(size AS INTEGER) AS n_nodes, CAST(n_edges AS INTEGER) AS n_edges FROM s JOIN l USING (component) QUALIFY rank <= 3""")
+def component_documents(spark, folder):
+    e = _nation_edges(spark, folder).toDF("source", "target")
+    none = spark.createDataFrame([], "id string, title string")
+    out = commands.component_documents(e, none, none, 3)
+    return out.select("rank", "component", F.size(F.from_json(F.get_json_object("json", "$.nodes"), "array<struct<id: string>>")).alias("n_nodes"), F.size(F.from_json(F.get_json_object("json", "$.edges"), "array<struct<source: string>>")).alias("n_edges"))
+
+
+@query("""
+    SELECT p_partkey AS k, CASE p_size % 5 WHEN 0 THEN 'archive' WHEN 1 THEN 'pdf' WHEN 2 THEN 'recaptcha' WHEN 3 THEN 'withdrawn' ELSE 'html' END AS state FROM part""")
+def download_states(spark, folder):
+    n = F.col("p_size") % 5
+    body = F.when(n == 0, F.unhex(F.lit("1F8B0800"))).when(n == 1, F.lit("%PDF-1.5").cast("binary")).when(n == 2, F.lit("<HTML> reCAPTCHA").cast("binary")).when(n == 3, F.lit("<!DOCTYPE html> This paper is Withdrawn").cast("binary")).otherwise(F.concat(F.lit("<html>"), "p_name").cast("binary"))
+    return table(spark, folder, "part").select(F.col("p_partkey").alias("k"), files.download_state(body).alias("state"))
+
+
+@query("""
+    SELECT p_partkey AS page, 'W' || p_partkey || '_' || i AS id, CAST(p_size AS BIGINT) AS cited_by_count, CASE WHEN p_size % 2 = 0 THEN 'c' || p_partkey END AS next_cursor FROM part, (VALUES (1), (2)) v(i) WHERE p_size % 7 > 0""")
+def stored_work_pages(spark, folder):
+    p = table(spark, folder, "part")
+    works = F.array(*[F.struct(F.concat_ws("_", F.concat(F.lit("W"), F.col("p_partkey").cast("string")), F.lit(str(i))).alias("id"), F.col("p_size").alias("cited_by_count")) for i in (1, 2)])
+    meta = F.struct(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("c"), F.col("p_partkey").cast("string"))).alias("next_cursor"), F.lit(2).alias("count"))
+    pages = p.select(F.col("p_partkey").alias("page"), F.when(F.col("p_size") % 7 > 0, F.to_json(F.struct(works.alias("results"), meta.alias("meta")))).otherwise("{broken").alias("json"))
+    found, cursors = files.work_pages(pages, "json", "id: string, cited_by_count: bigint")
+    return found.join(cursors.select("page", "next_cursor"), "page")
+
+
+@query("""
+    SELECT p_partkey AS k, CAST(i AS INTEGER) AS page, CAST(p_size AS DOUBLE) AS x0, 90.0::DOUBLE AS y0, p_size + 5.5 AS x1, 100.0::DOUBLE AS y1 FROM (SELECT *, CAST(p_size AS DOUBLE) FROM part), (VALUES (1), (2)) v(i)""")
+def synctex_boxes(spark, folder):
+    def one(i):
+        return F.concat(F.lit(f"Output:a.pdf\nPage:{i}\nx:"), F.col("p_size").cast("string"), F.lit("\ny:100.0\nh:1\nv:2\nW:5.5\nH:10\n"))
+
+    rows = table(spark, folder, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit("SyncTeX result begin\n"), one(1), one(2)).alias("said"))
+    return files.synctex_hits(rows, "said", ["k"]).select("k", "page", "box.*")
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_size % 4 > 0 THEN p_name END AS id, p_size % 4 = 0 AS broken FROM part")
+def artifact_arrays(spark, folder):
+    body = F.when(F.col("p_size") % 4 > 0, F.to_json(F.array(F.struct(F.col("p_name").alias("id"))))).otherwise("[{")
+    rows = table(spark, folder, "part").select(F.col("p_partkey").alias("k"), body.alias("json"))
+    return files.artifacts_from_json(rows, "json", "id: string").select("k", "id", F.col("_corrupt").isNotNull().alias("broken"))

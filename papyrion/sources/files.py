@@ -172,3 +172,68 @@ def statements(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".csv"):
         return spark.read.option("header", "true").csv(path)
     raise ValueError(f"unsupported format: {path}")
+
+
+# Stored replies of services: pages of works, synchronisation hits, downloads
+
+
+def download_state(content: Column) -> Column:
+    """archive, pdf, recaptcha, withdrawn, html or unknown of a downloaded payload, by its first 2048 bytes."""
+    kind = file_kind(content)
+    text = F.lower(F.decode(F.substring(content, 1, 2048), "ISO-8859-1"))
+    page = text.rlike(r"<!doctype html|<html")
+    return F.when(kind.isin("zip", "gzip", "tar"), "archive").when(kind == "pdf", "pdf").when(page & text.contains("recaptcha"), "recaptcha").when(page & text.contains("withdrawn"), "withdrawn").when(page, "html").otherwise(kind)
+
+
+def work_pages(pages: DataFrame, column: str, work: str) -> tuple[DataFrame, DataFrame]:
+    """(works, cursors) of stored result pages: the works by their schema, and each page's next cursor; a page that is no JSON has neither.
+
+    pages (page, <column>).
+    """
+    read = pages.select("page", F.from_json(column, f"results array<struct<{work}>>, meta struct<next_cursor: string, count: bigint>").alias("x"))
+    return read.select("page", F.inline("x.results")), read.select("page", F.col("x.meta.next_cursor").alias("next_cursor"), F.col("x.meta.count").alias("count")).where("next_cursor is not null or count is not null")
+
+
+def synctex_hits(rows: DataFrame, column: str, keep: list[str]) -> DataFrame:
+    """(*keep, page, box): hits of a stored SyncTeX answer (Page, x, y, W, H lines); y is the lower edge of a box."""
+    hit = r"Page:(\d+)[\s\S]*?\nx:([-\d.]+)\ny:([-\d.]+)[\s\S]*?\nW:([-\d.]+)\nH:([-\d.]+)"
+    found = F.arrays_zip(*[F.regexp_extract_all(column, F.lit(hit), F.lit(k)).alias(name) for k, name in enumerate(("page", "x", "y", "w", "h"), 1)])
+    each = rows.select(*keep, F.inline(found))
+    number = {c: F.col(c).cast("double") for c in ("x", "y", "w", "h")}
+    box = F.struct(number["x"].alias("x0"), (number["y"] - number["h"]).alias("y0"), (number["x"] + number["w"]).alias("x1"), number["y"].alias("y1"))
+    return each.select(*keep, F.col("page").cast("int").alias("page"), box.alias("box"))
+
+
+def sqlite_rows(spark: SparkSession, path: str, table: str, schema: str, parts: int = 1) -> DataFrame:
+    """A table of an SQLite file that every executor can open, read in ranges of its row number.
+
+    The file is opened read-only in each task, so nothing of it passes through the driver but the largest row number.
+    """
+    import sqlite3
+
+    from pyspark.sql import types as T
+
+    names = T.StructType.fromDDL(schema).names
+    if not all(n.replace("_", "").isalnum() for n in [table, *names]):
+        raise ValueError("plain names only")
+    uri = f"file:{path}?mode=ro"
+    with sqlite3.connect(uri, uri=True) as connection:
+        low, high = connection.execute(f"SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM {table}").fetchone()
+    width = max(1, -(-(high - low + 1) // parts))
+    ranges = spark.range(0, max(0, -(-(high - low + 1) // width)), numPartitions=parts).select((F.col("id") * width + low).alias("first"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for first in frame["first"]:
+                with sqlite3.connect(uri, uri=True) as connection:
+                    rows = connection.execute(f"SELECT {', '.join(names)} FROM {table} WHERE rowid >= ? AND rowid < ? ORDER BY rowid", (int(first), int(first) + width))
+                    while some := rows.fetchmany(10_000):
+                        yield pd.DataFrame(some, columns=names, dtype=object)
+
+    return ranges.mapInPandas(run, schema)
+
+
+def artifacts_from_json(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """Artifacts of JSON arrays by their schema, with ``_corrupt`` for what doesn't fit: a row is never lost."""
+    read = rows.withColumn("__x", F.from_json(column, f"array<struct<{schema}>>"))
+    return read.select(*[c for c in rows.columns if c != column], F.inline_outer("__x"), F.when(F.col("__x").isNull(), F.col(column)).alias("_corrupt"))

@@ -180,3 +180,32 @@ def test_intermediate_tables_need_a_shared_folder(monkeypatch, spark):
 
     with pytest.raises(ValueError):
         workspace.shared_folder(Cluster())
+
+
+def test_sqlite_tables(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "t.sqlite")
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE papers (paper_id TEXT, n INTEGER)")
+        c.executemany("INSERT INTO papers VALUES (?, ?)", [(f"p{k}", k if k % 3 else None) for k in range(1000)])
+        c.execute("CREATE TABLE nothing (paper_id TEXT)")
+    got = files.sqlite_rows(spark, path, "papers", "paper_id string, n bigint", parts=3)
+    assert {(r.paper_id, r.n) for r in got.collect()} == {(f"p{k}", k if k % 3 else None) for k in range(1000)}
+    assert files.sqlite_rows(spark, path, "nothing", "paper_id string").count() == 0
+    with pytest.raises(ValueError):
+        files.sqlite_rows(spark, path, "papers; DROP", "paper_id string")
+
+
+def test_pages_until_the_target():
+    from papyrion.operators import commands
+
+    seen = []
+
+    def pages(month):
+        for n in (3, 4):
+            seen.append(month)
+            yield n
+
+    assert commands.until_target(["m3", "m2", "m1"], pages, 10) == (10, ["m3"]) and seen == ["m3", "m3", "m2"]
+    assert commands.until_target([], pages, 5) == (0, [])
