@@ -17,15 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrion.llm.prefix import running_sums
-from papyrion.llm.vocabulary import small_groups, token_counter
+from papyrion.llm.vocabulary import CACHE, small_groups, token_counter
 from papyrion.workspace import materialize
 
 
-def counter(path: str):
+def counter(path: str, limit: int):
     """mapInArrow function that replaces the last column, a text, by its number of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = token_counter(path)
+        tokens = token_counter(path, limit)
         for batch in batches:
             counts = [n for group in small_groups(batch.column(batch.num_columns - 1).to_pylist()) for n in tokens.count(group)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens"])
@@ -33,11 +33,11 @@ def counter(path: str):
     return run
 
 
-def document_lengths(docs: DataFrame, path: str, text_col: str = "text", keep: list | None = None) -> DataFrame:
-    """The columns ``keep`` and n_tokens (long), one row per document."""
+def document_lengths(docs: DataFrame, path: str, text_col: str = "text", keep: list | None = None, cache: int = CACHE) -> DataFrame:
+    """The columns ``keep`` and n_tokens (long), one row per document; a worker remembers the counts of about twice ``cache`` pieces."""
     named = docs.select(*(keep or []), F.col(text_col).cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields[:-1])
-    return named.mapInArrow(counter(path), f"{schema}{', ' if schema else ''}n_tokens long")
+    return named.mapInArrow(counter(path, cache), f"{schema}{', ' if schema else ''}n_tokens long")
 
 
 def length_histogram(lengths: DataFrame, width: int = 1024) -> DataFrame:
