@@ -25,7 +25,6 @@ import math
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -34,15 +33,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.llm.vocabulary import CUT, LONGEST, ODD, Cache
+from papyrion.llm.vocabulary import CUT, LONGEST, ODD, Cache, kept
 
 # How byte-level BPE cuts words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
 
 SHORT = (1, 2)
-#: The transducer's states are remembered for so many bytes at the start of words, and so many of them.
-PREFIX, STATES = 16, 300_000
+#: The transducer's states are remembered for so many bytes at the start of words.
+PREFIX = 16
+#: Pieces in a generation of a worker's cache, and states of words' beginnings, unless an operator is told otherwise.
+CACHE = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -55,7 +56,7 @@ def byte_letters() -> dict[str, int]:
 class Transducer:
     """Encoder and decoder for the byte-level BPE of a tokenizers file."""
 
-    def __init__(self, path: str, limit: int = 300_000, step: int = 512):
+    def __init__(self, path: str, limit: int = CACHE, step: int = 512):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model, letters = spec["model"], byte_letters()
@@ -73,15 +74,16 @@ class Transducer:
             a, b = (merge.split(" ") if isinstance(merge, str) else merge)
             a, b = raw(a), raw(b)
             self.pairs[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
-        self._derive()
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         if any(a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"] for a in spec["added_tokens"]):
             raise ValueError("only plain added tokens are supported")
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
+        del spec, model
+        self._derive()
         self.kind = "<u4"
         #: Bytes of the longest token: a continuation can move no boundary without passing one of the last so many prefix ends.
         self.lookahead = max(map(len, self.ids))
-        self.step = step
+        self.step, self.limit = step, limit
         sizes: dict[bytes, set[int]] = {}
         for t in self.ids:
             if len(t) > 2:
@@ -90,33 +92,37 @@ class Transducer:
         self.sizes = {t: tuple(sorted(n)) for t, n in sizes.items()}
         self.words = regex.compile(WORDS)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.compatible: dict[tuple[int | None, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.steps: dict[int, int] = {}
         self.tokens = [-1]
         self.inner = Cache(lambda piece: self._packed(" " + piece), limit)
-        self.other = Cache(self._packed, 100_000)
+        self.other = Cache(self._packed, max(1, limit // 10))
 
     def _derive(self) -> None:
-        """For each token the chains of pieces at its left and right edge, with the rank at which each is merged away."""
-        made = {token: (a, b, rank) for (a, b), (rank, token) in reversed(self.pairs.items())}
-        if any(made[part][2] >= rank for (a, b), (rank, _) in self.pairs.items() for part in (a, b) if part in made):
+        """The merge that makes each token, and which tokens are the encoding of their own bytes."""
+        self.made = {token: (a, b, rank) for (a, b), (rank, token) in reversed(self.pairs.items())}
+        if any(self.made[part][2] >= rank for (a, b), (rank, _) in self.pairs.items() for part in (a, b) if part in self.made):
             raise ValueError("a merge comes before its parts")
-        self.left: dict[int, list[tuple[int, float]]] = {b: [(b, math.inf)] for b in self.single}
-        self.right = dict(self.left)
-        for token, (a, b, rank) in sorted(made.items(), key=lambda item: item[1][2]):
-            if a in self.left and b in self.right and self._fits(a, b, rank):
-                self.left[token] = [*self.left[a][:-1], (a, rank), (token, math.inf)]
-                self.right[token] = [*self.right[b][:-1], (b, rank), (token, math.inf)]
-
-    def _fits(self, before: int, token: int, until: float = math.inf) -> bool:
+        self.alone = set(self.single)
+        for (a, b), (rank, token) in self.pairs.items():  # in order of rank
+            if self.made[token][2] == rank and a in self.alone and b in self.alone and self._apart(a, b, rank):
+                self.alone.add(token)
+
+    def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
+        """The pieces at the left (0) or right (1) edge of a token, from its byte on, with the rank at which each is merged away."""
+        out = [(token, math.inf)]
+        while token in self.made:
+            ends, token = self.made[token][2], self.made[token][side]
+            out.append((token, ends))
+        return out[::-1]
+
+    def _apart(self, before: int, token: int, until: float = math.inf) -> bool:
         """Whether no merge of a rank below ``until`` crosses the border of two tokens.
 
         Both are built in order of rank, leftmost first on a tie; the pieces at the border are
         compared while they last.
         """
-        x, y = self.right.get(before), self.left.get(token)
-        if x is None or y is None:
-            return False
+        x, y = self._edge(before, 1), self._edge(token, 0)
         i = j = 0
         while True:
             (a, a_ends), (b, b_ends) = x[i], y[j]
@@ -130,6 +136,10 @@ class Transducer:
             else:
                 j += 1
 
+    def _fits(self, before: int, token: int) -> bool:
+        """Whether two tokens may be neighbours in an encoding."""
+        return before in self.alone and token in self.alone and self._apart(before, token)
+
     def stream(self, parts: Iterable[bytes]) -> Iterator[int]:
         """Ids of one word that comes in parts, emitted once stable."""
         held = b""  # bytes since the last stable end
@@ -156,11 +166,12 @@ class Transducer:
                         token = ids.get(held[start:end])
                         if token is not None:
                             before = last[start]
-                            good = fits.get((before, token))
+                            pair = -1 - token if before is None else before << 32 | token
+                            good = fits.get(pair)
                             if good is None:
-                                if len(fits) >= 500_000:
+                                if len(fits) >= self.limit:
                                     fits.clear()
-                                good = fits[before, token] = token in self.left if before is None else self._fits(before, token)
+                                good = fits[pair] = token in self.alone if before is None else self._fits(before, token)
                             if good:
                                 last.append(token)
                                 break
@@ -179,7 +190,7 @@ class Transducer:
 
     def _remember(self, key: int, token: int) -> int:
         """A new state, reached by ``key`` (state, byte) and with ``token`` as the last one; all are forgotten when there are too many."""
-        if len(self.tokens) >= STATES:
+        if len(self.tokens) >= self.limit:
             self.steps.clear()
             del self.tokens[1:]
             return -1
@@ -245,10 +256,9 @@ class Transducer:
         yield machine.decode(b"", True)
 
 
-@lru_cache(maxsize=2)
-def transducer(path: str) -> Transducer:
-    """This process's transducer: a Python worker keeps it, and its cache of words, from task to task."""
-    return Transducer(path)
+def transducer(path: str, limit: int) -> Transducer:
+    """This process's transducer, kept from task to task."""
+    return kept(Transducer, path, limit)
 
 
 def digest(transducer: Transducer, text: str) -> tuple[int, str, str]:
@@ -268,9 +278,9 @@ def digest(transducer: Transducer, text: str) -> tuple[int, str, str]:
     return n, ids.hexdigest(), back.hexdigest()
 
 
-def _round_trip(path: str):
+def _round_trip(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = transducer(path)
+        own = transducer(path, limit)
         for batch in batches:
             found = [digest(own, x.as_py() or "") for x in batch.column(1)]
             columns = list(zip(*found, strict=True)) or [[], [], []]
@@ -280,20 +290,21 @@ def _round_trip(path: str):
     return run
 
 
-def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256), one row per document.
 
     Null texts count as empty and have no ids.  Repeated rows and null ids keep their rows; an
-    empty table gives an empty result; other columns are ignored.
+    empty table gives an empty result; other columns are ignored.  ``cache`` bounds the pieces
+    that a worker remembers; it changes no result.
     """
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    out = named.mapInArrow(_round_trip(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = named.mapInArrow(_round_trip(path, cache), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("doc_id", id_col)
 
 
 def _ids(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = transducer(path)
+        own = transducer(path, CACHE)
         for batch in batches:
             ids = [np.frombuffer(b"".join(own.encode(x.as_py() or "")), "<u4").astype(np.int32) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
@@ -309,7 +320,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 def _texts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = transducer(path)
+        own = transducer(path, CACHE)
         for batch in batches:
             texts = [None if x is None else "".join(own.decode([np.array(x, "<u4").tobytes()])) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])

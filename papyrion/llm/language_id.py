@@ -40,7 +40,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrion.llm.rows import quoted, whole
+from papyrion.llm.rows import columns, fresh, quoted
+from papyrion.llm.vocabulary import forget
 from papyrion.workspace import materialize
 
 UNKNOWN = "und"
@@ -225,6 +226,7 @@ def _scored(models: list[TextModel], temper: float):
     data = [pickle.dumps(m) for m in models]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         scorers = [shared_scorer(d, temper) for d in data]
         for batch in batches:
             found = [scorers[at % len(scorers)].score(text.as_py() or "") for text, at in zip(batch.column(0), batch.column(1).to_pylist(), strict=True)]
@@ -344,5 +346,6 @@ def accepted_documents(docs: DataFrame, text_col: str = "text", declared_col: st
     """
     key = F.struct(F.xxhash64(*hashable(docs)).alias("a"), F.xxhash64(F.lit(1), *hashable(docs)).alias("b"))
     found = _decided(docs, F.col(quoted(text_col)), F.col(quoted(declared_col)), F.col(quoted(host_col)), None, None, key, sample, temper, trust, suffix_trust, strength, least)
-    gone = materialize(found.where(~F.col("accepted")).select("row.a", "row.b").distinct(), "rejected")
-    return docs.select(whole(docs).alias("row"), key.alias("key")).join(gone, (F.col("key.a") == F.col("a")) & (F.col("key.b") == F.col("b")), "left_anti").select("row.*")
+    a, b = fresh(docs, "a", "b")
+    gone = materialize(found.where(~F.col("accepted")).select("row.a", "row.b").distinct(), "rejected").toDF(a, b)
+    return docs.withColumns({a: F.xxhash64(*hashable(docs)), b: F.xxhash64(F.lit(1), *hashable(docs))}).join(gone, [a, b], "left_anti").select(*columns(docs))

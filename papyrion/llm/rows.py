@@ -27,7 +27,23 @@ def text_key(column: Column) -> Column:
 
 def whole(rows: DataFrame) -> Column:
     """All columns of a table as one struct, so that no name of ours meets one of theirs."""
-    return F.struct(*[F.col(quoted(c)) for c in rows.columns])
+    return F.struct(*columns(rows))
+
+
+def columns(rows: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in rows.columns]
+
+
+def fresh(rows: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of a table has, whatever their case."""
+    taken = {c.lower() for c in rows.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def quoted(name: str) -> str:
@@ -45,7 +61,9 @@ def keep_rows(docs: DataFrame, keys: DataFrame, kept: DataFrame, id_col: str, te
     kept = kept.select("k1", "k2")
     many = materialize(keys.where("n > 1").join(kept, ["k1", "k2"], "left_semi").select("k1", "k2"), "many")
     gone = materialize(keys.select("k1", "k2").join(kept, ["k1", "k2"], "left_anti").unionByName(many), "gone")
-    keyed = docs.select(whole(docs).alias("row"), id_key(F.col(quoted(id_col))).alias("k1"), text_key(F.col(quoted(text_col))).alias("k2"))
-    single = keyed.join(gone, ["k1", "k2"], "left_anti")
-    repeated = keyed.join(many, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])  # usually empty: a broadcast
-    return single.unionByName(repeated).select("row.*")
+    a, b = fresh(docs, "k1", "k2")
+    keyed = docs.withColumns({a: id_key(F.col(quoted(id_col))), b: text_key(F.col(quoted(text_col)))})
+    many, gone = many.toDF(a, b), gone.toDF(a, b)
+    single = keyed.join(gone, [a, b], "left_anti")
+    repeated = keyed.join(many, [a, b], "left_semi").dropDuplicates([a, b])  # usually empty: a broadcast
+    return single.unionByName(repeated).select(*columns(docs))

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from papyrion.llm.bitslice import near, union
 from papyrion.llm.buckets import each_unit, units
 from papyrion.llm.rows import NO_ID, id_key, keep_rows, text_key
+from papyrion.llm.vocabulary import forget
 from papyrion.operators.components import connected_components
 from papyrion.workspace import materialize
 
@@ -39,15 +40,15 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42, step: int = 81
     if not parts:
         return 0
     joined = memoryview(b" ".join(parts))
+    n = max(1, len(parts) - words + 1)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    del parts
     ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    n = max(1, len(parts) - words + 1)
-    first, last = starts[:n].tolist(), ends[-n:].tolist()
+    first, last = (ends - lengths)[:n], ends[-n:]
     digest = xxhash.xxh64_intdigest
     votes = np.zeros(64, np.int64)
     for at in range(0, n, step):
-        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(first[at : at + step], last[at : at + step], strict=True)], np.uint64)
+        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(first[at : at + step].tolist(), last[at : at + step].tolist(), strict=True)], np.uint64)
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += bits.sum(axis=0, dtype=np.int32)
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
@@ -55,6 +56,7 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42, step: int = 81
 
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             marks = np.fromiter((fingerprint(x.as_py(), words) for x in batch.column(2)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks.view(np.int64))], names=["id", "k2", "fp"])

@@ -9,15 +9,16 @@ bounded whatever the texts are.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 import sys
 from array import array
-from collections.abc import Callable, Iterable
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 #: A space before a visible character always starts a new word in byte-level BPE.
@@ -25,6 +26,8 @@ CUT = re.compile(r"(?= \S)")
 #: A space that may belong to a run of white space.
 ODD = re.compile(r" (?=\s|\Z)")
 LONGEST = 64
+#: Pieces in a generation of a worker's cache, unless an operator is told otherwise.
+CACHE = 500_000
 
 
 class Cache(dict):
@@ -58,6 +61,13 @@ def load(path: str) -> Tokenizer:
     return tokenizer
 
 
+def encoded(tokenizer: Tokenizer, pieces: list[str], step: int = 4096) -> Iterator[list[int]]:
+    """The ids of each piece; the library's results, far larger than the ids, are held for a few pieces at a time."""
+    for at in range(0, len(pieces), step):
+        for found in tokenizer.encode_batch_fast(pieces[at : at + step], add_special_tokens=False):
+            yield found.ids
+
+
 def packed(ids: Iterable[int], kind: str) -> bytes:
     return np.array(ids, kind).tobytes()
 
@@ -107,8 +117,7 @@ class WordEncoder:
         codes = [list(map(get, words)) for words in cut]
         gaps = [(k, i) for k, known in enumerate(codes) if None in known for i, code in enumerate(known) if code is None]
         new = [w for w in {cut[k][i] for k, i in gaps} if w not in old and len(w) <= LONGEST]
-        made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        fresh = {w: self.pack(found.ids) for w, found in zip(new, made, strict=True)}
+        fresh = {w: self.pack(ids) for w, ids in zip(new, encoded(self.tokenizer, [w.decode("utf-8", "replace") for w in new]), strict=True)}
         for k, i in gaps:
             word = cut[k][i]
             codes[k][i] = fresh[word] if word in fresh else self.cache[word]
@@ -131,7 +140,7 @@ class TokenCounter:
     def __init__(self, path: str, limit: int = 500_000):
         self.tokenizer = load(path)
         self.inner = Cache(lambda piece: self._count(" " + piece), limit)
-        self.other = Cache(self._count, 10_000)
+        self.other = Cache(self._count, min(limit, 10_000))
 
     def _count(self, piece: str) -> int:
         return len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
@@ -140,8 +149,8 @@ class TokenCounter:
         split = [None if ODD.search(t) else spaced_pieces(t) for t in texts]
         cache, old = self.inner, self.inner.old
         new = [p for p in set().union(*(s[1] for s in split if s)) if p not in cache and p not in old and len(p) <= LONGEST]
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast([" " + p for p in new], add_special_tokens=False), strict=True):
-            cache.put(piece, len(found.ids))
+        for piece, ids in zip(new, encoded(self.tokenizer, [" " + p for p in new]), strict=True):
+            cache.put(piece, len(ids))
         out = []
         for text, parts in zip(texts, split, strict=True):
             if parts:
@@ -151,16 +160,34 @@ class TokenCounter:
         return out
 
 
-@lru_cache(maxsize=2)
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(make: Callable, path: str, limit: int):
+    """This process's encoder of a file: a Python worker keeps it, and its cache of ``limit`` pieces, from task to task.
+
+    Only the last one is kept, so stages that share a worker don't add up their caches.
+    """
+    if (make, path, limit) not in _KEPT:
+        forget()
+        _KEPT[make, path, limit] = make(path, limit)
+    return _KEPT[make, path, limit]
+
+
+def forget() -> None:
+    """Free the kept encoder, and give unused memory back to the system, before work that needs it."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()  # an encoder's cache refers back to it
+    pa.default_memory_pool().release_unused()
+
+
 def word_encoder(path: str) -> WordEncoder:
-    """This process's encoder: a Python worker keeps it, and its cache, from task to task."""
-    return WordEncoder(path)
+    return kept(WordEncoder, path, CACHE)
 
 
-@lru_cache(maxsize=2)
-def token_counter(path: str) -> TokenCounter:
-    """This process's counter, kept from task to task."""
-    return TokenCounter(path)
+def token_counter(path: str, limit: int) -> TokenCounter:
+    return kept(TokenCounter, path, limit)
 
 
 def small_groups(texts: list[str | None], most: int = 1 << 20):

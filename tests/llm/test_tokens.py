@@ -215,7 +215,7 @@ def plain_merge(own, data):
 def test_neighbours_follow_the_merge_list():
     own = Transducer(BYTE)
     rng = random.Random(12)
-    short = [i for i in own.left if len(own.bytes_of[i]) < 12]
+    short = [i for i in own.alone if len(own.bytes_of[i]) < 12]
     for _ in range(20000):
         a, b = rng.choice(short), rng.choice(short)
         assert own._fits(a, b) == (plain_merge(own, own.bytes_of[a] + own.bytes_of[b]) == [a, b])
@@ -240,7 +240,7 @@ def test_a_word_of_megabytes_streams_in_constant_memory():
     size = sum(len(part) for part in own.decode(own.encode(text)))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert size == len(text) and peak < 60_000_000 and len(own.known) <= 300_000
+    assert size == len(text) and peak < 60_000_000 and len(own.tokens) <= 300_000
 
 
 def test_elias_fano_reads_slices():
@@ -290,3 +290,14 @@ def test_mixed_rows_keep_the_values_of_columns_of_any_name(spark):
         if uses[r[0]][0]:
             want[r] = want.get(r, 0) + uses[r[0]][0]
     assert got == want and mixed_corpus(df.limit(0), BYTE, max_repeats=3.0).count() == 0
+
+
+def test_many_sources_are_weighed_by_their_sizes(spark):
+    sizes = [5, 5, 5, 900, 40, 40]
+    by_source = weights([t / sum(sizes) for t in sizes], 0.4)
+    by_size = weights([t / sum(sizes) for t in (5, 40, 900)], 0.4, [3, 2, 1])
+    assert by_size == pytest.approx([by_source[0], by_source[4], by_source[3]]) and entropy(by_size, [3, 2, 1]) == pytest.approx(entropy(by_source))
+    assert solve_exponent([5, 40, 900], max_repeats=3, counts=[3, 2, 1]) == pytest.approx(solve_exponent(sizes, max_repeats=3))
+    df = spark.range(4000).selectExpr("id doc_id", "repeat('word ', cast(id % 3 + 1 as int)) text", "concat('s', id) source")
+    got = mix_sources(df, BYTE, max_repeats=2.0).groupBy("copies").count().collect()
+    assert {r.copies for r in got} <= {1, 2} and sum(r["count"] for r in got) == 4000
