@@ -1,4 +1,8 @@
-"""A corpus through five stages; each stage's rows are written as Parquet and read by the next."""
+"""A corpus through five stages; each stage's rows are written as Parquet and read by the next.
+
+Every stage keeps columns of any name as they are, takes whole texts however long, and gives an
+empty result for an empty table.
+"""
 
 from __future__ import annotations
 
@@ -15,25 +19,47 @@ from papyrion.llm.simhash import drop_near_copies
 from papyrion.sources.tables import table
 from papyrion.workspace import materialize
 
+#: Pieces of words that a worker remembers: the stages share the executors' memory.
+CACHE = 50_000
+
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known with enough certainty.
+
+    Null and empty texts, and texts without letters, are rejected; null declarations and sources
+    say nothing; repeated rows stay as they are; an empty table stays empty.
+    """
     return accepted_documents(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text that is equal but for white space: the smallest id, null ids last.
+
+    Null texts count as empty; of repeated rows one stays.
+    """
     return drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of close fingerprints: the smallest id.
+
+    Null and empty texts share one fingerprint; rows without an id link with nothing and stay, repeated ones once.
+    """
     return drop_near_copies(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed_corpus(docs, BYTE_BPE, max_repeats=MAX_REPEATS)
+    """Each document as often as its source's weight asks for, at least once.
+
+    A null source is a source of its own; null and empty texts have no tokens and go with their
+    block; repeated rows share their fate; a corpus without tokens is passed once.
+    """
+    return mixed_corpus(docs, BYTE_BPE, max_repeats=MAX_REPEATS, cache=CACHE)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_round_trip(docs, BYTE_BPE)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every use of a document; null and empty texts have no tokens."""
+    return bpe_round_trip(docs, BYTE_BPE, cache=CACHE)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
