@@ -216,9 +216,9 @@ def sqlite_rows(spark: SparkSession, path: str, table: str, schema: str, parts:
     names = T.StructType.fromDDL(schema).names
     if not all(n.replace("_", "").isalnum() for n in [table, *names]):
         raise ValueError("plain names only")
-    uri = f"file:{path}?mode=ro"
+    uri, columns = f"file:{path}?mode=ro", ", ".join(f'"{n}"' for n in names)
     with sqlite3.connect(uri, uri=True) as connection:
-        low, high = connection.execute(f"SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM {table}").fetchone()
+        low, high = connection.execute(f'SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM "{table}"').fetchone()
     width = max(1, -(-(high - low + 1) // parts))
     ranges = spark.range(0, max(0, -(-(high - low + 1) // width)), numPartitions=parts).select((F.col("id") * width + low).alias("first"))
 
@@ -226,7 +226,7 @@ def sqlite_rows(spark: SparkSession, path: str, table: str, schema: str, parts:
         for frame in frames:
             for first in frame["first"]:
                 with sqlite3.connect(uri, uri=True) as connection:
-                    rows = connection.execute(f"SELECT {', '.join(names)} FROM {table} WHERE rowid >= ? AND rowid < ? ORDER BY rowid", (int(first), int(first) + width))
+                    rows = connection.execute(f'SELECT {columns} FROM "{table}" WHERE rowid >= ? AND rowid < ? ORDER BY rowid', (int(first), int(first) + width))
                     while some := rows.fetchmany(10_000):
                         yield pd.DataFrame(some, columns=names, dtype=object)
 

@@ -189,10 +189,10 @@ def test_sqlite_tables(spark, tmp_path):
     with sqlite3.connect(path) as c:
         c.execute("CREATE TABLE papers (paper_id TEXT, n INTEGER)")
         c.executemany("INSERT INTO papers VALUES (?, ?)", [(f"p{k}", k if k % 3 else None) for k in range(1000)])
-        c.execute("CREATE TABLE nothing (paper_id TEXT)")
+        c.execute("CREATE TABLE empty_table (paper_id TEXT)")
     got = files.sqlite_rows(spark, path, "papers", "paper_id string, n bigint", parts=3)
     assert {(r.paper_id, r.n) for r in got.collect()} == {(f"p{k}", k if k % 3 else None) for k in range(1000)}
-    assert files.sqlite_rows(spark, path, "nothing", "paper_id string").count() == 0
+    assert files.sqlite_rows(spark, path, "empty_table", "paper_id string").count() == 0
     with pytest.raises(ValueError):
         files.sqlite_rows(spark, path, "papers; DROP", "paper_id string")
 
