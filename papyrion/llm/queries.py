@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrion.llm.bpe import bpe_round_trip
+from papyrion.llm.conversations import repaired_conversations
 from papyrion.llm.embedding_dedup import embedding_dedup
 from papyrion.llm.exact_dedup import exact_dedup
 from papyrion.llm.language_id import identify_pages, language_id
 from papyrion.llm.license_scan import scan_licenses
 from papyrion.llm.mixing import mix_sources
 from papyrion.llm.pii import find_pii
+from papyrion.llm.quality import document_quality
 from papyrion.llm.simhash import simhash_dedup
 from papyrion.llm.token_counts import quantiles, token_counts, totals_at
 from papyrion.llm.token_output import token_output
+from papyrion.llm.whitening import whitened_vectors
 from papyrion.sources.tables import table
 from papyrion.workspace import materialize
 
@@ -84,6 +87,18 @@ def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(table(spark, folder, "documents"))
 
 
+def op11_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return document_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitened_vectors(table(spark, folder, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repaired_conversations(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -97,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op11_quality": op11_quality,
+    "op12_whitening": op12_whitening,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
