@@ -137,6 +137,39 @@ def ams_blocks(spark, folder):
     return latex.link_proofs(latex.environments(rows)).select(F.col("paper").alias("k"), "kind", "content", "proof")
 
 
+@query(r"""
+    WITH c AS (SELECT l_orderkey AS paper, l_linenumber AS k, CAST(l_partkey AS VARCHAR) AS n, (l_linenumber + l_partkey) % 5 AS t FROM lineitem),
+    m AS (SELECT *, CASE t WHEN 0 THEN '\begin{thm}[part ' || n || ']\label{t:' || n || '} é ' || n || ' \end{thm}' WHEN 1 THEN '\begin{lem}a\begin{lem}' || n || '\end{lem}c\end{lem}'
+            WHEN 2 THEN '\begin{claim}p' || n || '\begin{proof}q\end{claim}r\begin{remark}s' || n || '\end{remark}t\end{proof}' WHEN 3 THEN '\begin{Def}x \begin{cor*} y' || chr(10) || n || '\end{cor*}'
+            ELSE '\end{fact}' || chr(10) || '\begin{figure}\begin{example} 5\% ' || n || '\end{example}\end{figure}' END || chr(10) AS cell FROM c),
+    a AS (SELECT *, row_number() OVER w AS place, sum(length(cell)) OVER w - length(cell) AS base FROM m WINDOW w AS (PARTITION BY paper ORDER BY k, n ROWS UNBOUNDED PRECEDING)),
+    d AS (SELECT paper, string_agg(cell, '' ORDER BY place) AS doc FROM a GROUP BY paper),
+    b AS (SELECT paper, place, base, cell, 'theorem' AS kind, 'part ' || n AS option, 't:' || n AS label, rtrim(cell, chr(10)) AS block, '\label{t:' || n || '} é ' || n AS content FROM a WHERE t = 0
+      UNION ALL SELECT paper, place, base, cell, 'lemma', NULL, NULL, rtrim(cell, chr(10)), 'a\begin{lem}' || n || '\end{lem}c' FROM a WHERE t = 1
+      UNION ALL SELECT paper, place, base, cell, 'claim', NULL, NULL, '\begin{claim}p' || n || '\begin{proof}q\end{claim}', 'p' || n || '\begin{proof}q' FROM a WHERE t = 2
+      UNION ALL SELECT paper, place, base, cell, 'remark', NULL, NULL, '\begin{remark}s' || n || '\end{remark}', 's' || n FROM a WHERE t = 2
+      UNION ALL SELECT paper, place, base, cell, 'corollary', NULL, NULL, '\begin{cor*} y' || chr(10) || n || '\end{cor*}', 'y' || chr(10) || n FROM a WHERE t = 3
+      UNION ALL SELECT paper, place, base, cell, 'example', NULL, NULL, '\begin{example} 5\% ' || n || '\end{example}', '5\% ' || n FROM a WHERE t = 4),
+    s AS (SELECT *, CAST(base + strpos(cell, block) - 1 AS BIGINT) AS start FROM b),
+    e AS (SELECT *, start + length(block) AS "end" FROM s),
+    f AS (SELECT e.*, string_split(left(doc, start), chr(10)) AS l0, string_split(left(doc, "end"), chr(10)) AS l1 FROM e JOIN d USING (paper))
+    SELECT paper, kind, label, option, content, start, "end", CAST(len(l0) AS INTEGER) AS line_start, CAST(length(l0[-1]) + 1 AS INTEGER) AS col_start, CAST(len(l1) AS INTEGER) AS line_end, CAST(length(l1[-1]) + 1 AS INTEGER) AS col_end,
+           CASE WHEN label IS NOT NULL THEN kind || ':' || label ELSE kind || '-' || row_number() OVER (PARTITION BY paper ORDER BY start) || '-' || left(sha1(kind || '|' || start || '|' || "end"), 8) END AS id FROM f""")
+def nested_environments(spark, folder):
+    """Documents whose blocks are nested, crossing, starred, never closed, commented out or inside other environments."""
+    n, t = F.col("l_partkey").cast("string"), (F.col("l_linenumber") + F.col("l_partkey")) % 5
+    cells = [
+        F.concat(F.lit("\\begin{thm}[part "), n, F.lit("]\\label{t:"), n, F.lit("} é "), n, F.lit(" \\end{thm}")),
+        F.concat(F.lit("\\begin{lem}a\\begin{lem}"), n, F.lit("\\end{lem}c\\end{lem}")),
+        F.concat(F.lit("\\begin{claim}p"), n, F.lit("\\begin{proof}q\\end{claim}r\\begin{remark}s"), n, F.lit("\\end{remark}t\\end{proof}")),
+        F.concat(F.lit("\\begin{Def}x \\begin{cor*} y\n"), n, F.lit("\\end{cor*}")),
+        F.concat(F.lit("\\end{fact}% \\begin{fact} "), n, F.lit("\n\\begin{figure}\\begin{example} 5\\% "), n, F.lit("\\end{example}\\end{figure}")),
+    ]
+    cell = F.concat(F.coalesce(*[F.when(t == k, c) for k, c in enumerate(cells)]), F.lit("\n"))
+    rows = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("paper")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", n.alias("n"), cell.alias("cell")))).alias("c"))
+    return latex.environments(rows.select("paper", F.array_join(F.transform("c", lambda x: x.cell), "").alias("text")))
+
+
 # Citations in prose
 
 
