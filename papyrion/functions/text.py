@@ -207,9 +207,21 @@ def refs_bucket(n: Column) -> Column:
     return F.when(n <= 0, "0").when(n == 1, "1").otherwise("2+")
 
 
+def without_tags(html: Column) -> Column:
+    """Tags as spaces.  What follows the last > can't hold a tag, so no open < is searched to the end of the text."""
+    rest = F.substring_index(html, ">", -1)
+    head = F.left(html, F.length(html) - F.length(rest))
+    return F.concat(F.regexp_replace(head, r"<[^>]+>", " "), rest)
+
+
 def html_text(html: Column) -> Column:
     """Tags as spaces, white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(without_tags(html), r"\s+", " "))
+
+
+def quoted(text: Column) -> Column:
+    r"""A pattern that matches a text as it is, whatever it holds (also \E)."""
+    return F.regexp_replace(text, r"([^\p{L}\p{N}\s_])", r"\\$1")
 
 
 def preview(content: Column, most: int = 250) -> Column:

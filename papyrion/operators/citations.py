@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrion.functions.text import REF_KINDS, numbered_refs, replaced, sentences
+from papyrion.functions.text import REF_KINDS, numbered_refs, quoted, replaced, sentences, without_tags
 
 # References by a statement's name, words that are no names, and names in lower case.
 NAMED_REF = r"(Theorem|Th\.?|Thm\.?|Definition|Def\.?|Proposition|Prop\.?|Lemma|Lem\.?|Corollary|Cor\.?)\s+([A-Z][A-Za-z\-\s]{1,60})"
@@ -78,7 +78,7 @@ def query_context(previous: Column, sentence: Column, following: Column, html: C
         return F.nullif(c, F.lit(""))
 
     stitched = F.trim(F.concat_ws(" ", some(previous), some(sentence), some(following)))
-    page = F.regexp_replace(F.coalesce(html, F.lit("")), r"<[^>]+>", " ")
+    page = without_tags(F.coalesce(html, F.lit("")))
     return sanitised(shortened(F.when(stitched != "", stitched).otherwise(F.trim(F.regexp_replace(page, r"\s+", " "))), most))
 
 
@@ -131,12 +131,9 @@ def label_pattern(label: Column) -> Column:
     plain = matching_form(label)
     year = F.nullif(F.regexp_extract(plain, r"\b((?:19|20)\d{2})\b", 1), F.lit(""))
 
-    def exact(c: Column) -> Column:
-        return F.concat(F.lit("\\Q"), c, F.lit("\\E"))
-
-    dated = F.concat(F.lit("\\b"), exact(F.regexp_extract(plain, r"^\s*(\S+)", 1)), F.lit("\\b\\W*"), year, F.lit("\\b"))
-    bracketed = F.concat(F.lit("(?:\\["), exact(plain), F.lit("\\]|\\("), exact(plain), F.lit("\\)"))
-    return F.when(year.isNotNull(), dated).when(plain.rlike(r"^\d+$"), F.concat(bracketed, F.lit(")"))).otherwise(F.concat(bracketed, F.lit("|\\b"), exact(plain), F.lit("\\b)")))
+    dated = F.concat(F.lit("\\b"), quoted(F.regexp_extract(plain, r"^\s*(\S+)", 1)), F.lit("\\b\\W*"), year, F.lit("\\b"))
+    bracketed = F.concat(F.lit("(?:\\["), quoted(plain), F.lit("\\]|\\("), quoted(plain), F.lit("\\)"))
+    return F.when(year.isNotNull(), dated).when(plain.rlike(r"^\d+$"), F.concat(bracketed, F.lit(")"))).otherwise(F.concat(bracketed, F.lit("|\\b"), quoted(plain), F.lit("\\b)")))
 
 
 def label_mentions(paragraphs: DataFrame, labels: DataFrame, key: str = "doc") -> DataFrame:

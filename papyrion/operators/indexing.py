@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrion.functions.text import math_to_tex
+from papyrion.functions.text import math_to_tex, quoted
 from papyrion.operators.graph import placeholders
 
 # Tags of statement types in index texts.
@@ -129,9 +129,9 @@ def context_paragraph(text: Column, term: Column) -> Column:
     """
     bare = F.when(term.rlike(r"(?s)^\$.+\$$"), F.regexp_replace(term, r"(?s)^\$(.+)\$$", "$1")).otherwise(term)
     ends = r"(?=[\s()\[\]{},.=+\-*/<>]|\$|$)"
-    quoted = F.concat(F.lit(r"\Q"), bare, F.lit(r"\E"))
-    strict = F.concat(F.lit(r"\$"), quoted, F.lit(ends))
-    plain = F.concat(F.when(bare.rlike("^[A-Za-z]+$"), "(?i)").otherwise(""), F.lit(r"(?:^|\s|[(\[{,=+\-*/<>]|\$)"), quoted, F.lit(ends))
+    exact = quoted(bare)
+    strict = F.concat(F.lit(r"\$"), exact, F.lit(ends))
+    plain = F.concat(F.when(bare.rlike("^[A-Za-z]+$"), "(?i)").otherwise(""), F.lit(r"(?:^|\s|[(\[{,=+\-*/<>]|\$)"), exact, F.lit(ends))
     parts = F.split(text, r"\n\n")
 
     def first(pattern: Column) -> Column:

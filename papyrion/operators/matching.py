@@ -49,6 +49,12 @@ def normalize_title(titles: pd.Series) -> pd.Series:
     return titles.map(title_form)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def author_forms(authors: pd.Series) -> pd.Series:
+    """Normal forms of an array of authors in order, without blank ones; null is empty."""
+    return authors.map(lambda names: [f for n in (names if names is not None else []) if (f := author_form(n))])
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def last_names(authors: pd.Series) -> pd.Series:
     """Distinct last names of an array of authors."""
@@ -334,8 +340,16 @@ def decide(reference_id: Column, title_score: Column, author_overlap: Column, n_
     return F.when(reference_id.isNotNull(), "direct_regex").when(F.coalesce(enough, F.lit(False)), "search").otherwise("none")
 
 
+def match_key(title: Column, authors: Column) -> Column:
+    """SHA-256 of the JSON of the normal title and the normal authors in their order, with sorted names and spaced separators.
+
+    Normal forms hold letters, digits and spaces only, so nothing has to be escaped.
+    """
+    names = F.array_join(F.transform(author_forms(authors), lambda a: F.concat(F.lit('"'), a, F.lit('"'))), ", ")
+    return F.sha2(F.concat(F.lit('{"authors": ['), names, F.lit('], "title": "'), normalize_title(title), F.lit('"}')), 256)
+
+
 def cached_matches(wanted: DataFrame, cache: DataFrame, cutoff: Column) -> DataFrame:
-    """wanted (title, authors) with cache_key and the fresh cached columns; misses have null ones."""
-    key = F.sha2(F.to_json(F.struct(F.array_sort("authors").alias("authors"), "title")), 256)
+    """wanted (title, authors) with cache_key and the fresh cached columns; misses have null ones.  Spellings of one work share a key."""
     fresh = cache.where(F.col("ts") >= cutoff).drop("ts")
-    return wanted.withColumn("cache_key", key).join(fresh, "cache_key", "left")
+    return wanted.withColumn("cache_key", match_key(F.col("title"), F.col("authors"))).join(fresh, "cache_key", "left")

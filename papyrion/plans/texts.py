@@ -303,13 +303,17 @@ def equal_titles(spark, folder):
 
 
 @query("""
-    SELECT p_name AS title, p_brand AS brand, sha256('{"authors":["' || p_brand || '","a"],"title":"' || p_name || '"}') AS cache_key, bool_or(p_size % 6 = 0) AS hit FROM part GROUP BY 1, 2""")
+    WITH w AS (SELECT *, sha256('{"authors": ["' || lower(replace(p_brand, '#', ' ')) || '", "jose a"], "title": "' || lower(p_name) || '"}') AS cache_key FROM part)
+    SELECT p_name AS title, p_brand AS brand, p_size % 5 AS spelling, cache_key, bool_or(p_size % 6 = 0) OVER (PARTITION BY cache_key) AS hit FROM w QUALIFY row_number() OVER (PARTITION BY p_name, p_brand, p_size % 5) = 1""")
 def match_cache(spark, folder):
-    wanted = _parts(spark, folder).select("k", "size", F.col("name").alias("title"), F.array(F.col("brand"), F.lit("a")).alias("authors"))
-    named = matching.cached_matches(wanted, wanted.limit(0).select(F.lit("").alias("cache_key"), F.lit(0).alias("ts"), F.lit("").alias("reply")), F.lit(1))
-    cache = named.where("size % 3 = 0").select("cache_key", F.when(F.col("size") % 2 == 0, 5).otherwise(0).alias("ts"), F.lit("stored").alias("reply")).distinct()
-    found = matching.cached_matches(wanted, cache, F.lit(1))
-    return found.groupBy("title", "authors", "cache_key").agg(F.count_if(F.col("reply").isNotNull()).alias("hits")).select("title", F.col("authors")[0].alias("brand"), "cache_key", (F.col("hits") > 0).alias("hit"))
+    """Works asked for in several spellings (braces, commands, accents, the order of names); replies are stored under another one."""
+    p = _parts(spark, folder).select("k", "size", "brand", "name", (F.col("size") % 5).alias("spelling"))
+    title = F.when(F.col("spelling") == 0, F.initcap("name")).when(F.col("spelling") == 1, F.concat(F.lit("{\\textit{"), "name", F.lit("}}"))).when(F.col("spelling") == 2, F.concat("name", F.lit(".  $x^2$"))).otherwise(F.col("name"))
+    second = F.when(F.col("spelling") == 0, "A, José").when(F.col("spelling") == 1, "José A.").otherwise("jose a")
+    wanted = p.select("*", title.alias("title"), F.array(F.col("brand"), second, F.when(F.col("spelling") == 3, " ").otherwise("")).alias("authors"))
+    cache = p.where("size % 3 = 0").select(matching.match_key(F.upper("name"), F.array("brand", F.lit("a, jose"))).alias("cache_key"), F.when(F.col("size") % 2 == 0, 5).otherwise(0).alias("ts"), F.lit("stored").alias("reply"))
+    found = matching.cached_matches(wanted, cache.where("ts = 5").distinct().unionByName(cache.where("ts = 0")), F.lit(1))
+    return found.groupBy(F.col("name").alias("title"), "brand", F.col("spelling"), "cache_key").agg((F.count_if(F.col("reply").isNotNull()) > 0).alias("hit"))
 
 
 @query("""
