@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.functions.text import length_bucket, refs_bucket, tokens, type_hint
+from papyrion.operators import vectors as vectors_
 from papyrion.operators.graph import expand_results
 from papyrion.workspace import materialize
 
@@ -66,50 +63,12 @@ def cosine(x: Column, y: Column) -> Column:
     return dot(x, y) / ((F.sqrt(dot(x, x)) + 1e-9) * (F.sqrt(dot(y, y)) + 1e-9))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows divided by their norm plus 1e-9, in double precision; all vectors have one length."""
-    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    rows = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
-    return rows / (np.linalg.norm(rows, axis=1, keepdims=True) + 1e-9)
-
-
-def _best_of(ids: np.ndarray, matrix: np.ndarray, k: int):
-    """mapInArrow function: the k best rows of a task for each query of a block, by matrix products."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, score = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                here = np.broadcast_to(part.column(0).to_numpy(), (len(ids), part.num_rows))
-                best, score = np.concatenate([best, here], axis=1), np.concatenate([score, matrix @ _matrix(part.column(1)).T], axis=1)
-                order = np.lexsort((best, -score.round(9)), axis=1)[:, :k]
-                best, score = np.take_along_axis(best, order, 1), np.take_along_axis(score, order, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(best.ravel()), pa.array(score.ravel())], names=["query_id", "id", "score"])
-
-    return run
-
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = vectors_.ASKED) -> DataFrame:
+    """(query_id, id, score, rank): vectors (id, v) against a stated query set (query_id, q), exactly, in blocks of ``block`` queries.
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
-    """(query_id, id, score, rank): vectors (id, v) against a stated query set (query_id, q), ids long.
-
-    The queries go out in blocks of about ``block`` rows, so whatever their number a task holds
-    one block and k rows for each of its queries; the vectors never move.
+    Both sides meet in blocks, so neither passes the driver; ``vectors.CellIndex`` serves large query sets.
     """
-    named = materialize(queries.select("query_id", "q", F.xxhash64("query_id").alias("h")), "queries")
-    blocks = max(1, -(-named.count() // block))
-    size = named.agg(F.max(F.size("q"))).first()[0]
-    rows = vectors.select(F.col("id").cast("long"), "v").where(F.size("v") == F.lit(size or 0))  # others have no cosine with the queries
-    scored = None
-    for j in range(blocks):
-        part = named.where(F.pmod("h", F.lit(blocks)) == j).select(F.col("query_id").cast("long"), "q").toArrow()
-        if part.num_rows:
-            found = rows.mapInArrow(_best_of(part.column(0).to_numpy(), _matrix(part.column(1)), k), "query_id long, id long, score double")
-            scored = found if scored is None else scored.unionByName(found)
-    if scored is None:
-        scored = rows.sparkSession.createDataFrame([], "query_id long, id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return vectors_.exact_topk(vectors, queries, k, asked=block)
 
 
 def rrf(results: DataFrame, k: int = 10, constant: int = RRF_K) -> DataFrame:
@@ -187,14 +146,8 @@ def strata(metrics: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def late_interaction(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """MaxSim over token vectors: docs (id, vs), queries (query_id, qs), both array<array>.
-
-    The stated query set is written, so it is broadcast while it is small and streamed by the nested loop beyond.
-    """
-    best = F.aggregate("qs", F.lit(0.0), lambda s, q: s + F.coalesce(F.array_max(F.transform("vs", lambda v: cosine(v, q))), F.lit(0.0)))
-    scored = docs.join(materialize(queries, "queries")).select("query_id", "id", best.alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """MaxSim over token vectors: docs (id, vs), queries (query_id, qs), both array<array>, exactly; ``vectors.LateIndex`` prunes."""
+    return vectors_.late_topk(docs, queries, k)
 
 
 def expanded_search(results: DataFrame, edges: DataFrame, types: DataFrame, allowed: list[str], k: int = 10) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.operators import bank, classify, commands, definitions, dependencies, graph, indexing, queue, replies, retrieval, store
+from papyrion.operators import bank, classify, commands, definitions, dependencies, graph, indexing, queue, replies, retrieval, store, vectors
 from papyrion.operators.components import connected_components
 from papyrion.plans.catalog import EDGES, REACH, _bm25, _bm25_sql, _nation_edges, query
 from papyrion.sources import files, sinks
@@ -500,15 +500,58 @@ def expanded_search(spark, folder):
     return out.select("query_id", "rank", F.col("id").cast("long").alias("id"), "expanded")
 
 
-@query("""
-    WITH v AS (SELECT vec_id AS id, CAST(embedding[1:8] AS DOUBLE[]) AS a, CAST(embedding[9:16] AS DOUBLE[]) AS b FROM embeddings), q AS (SELECT * FROM v WHERE id % 100 = 0),
+LATE = """v AS (SELECT vec_id AS id, CAST(embedding[1:8] AS DOUBLE[]) AS a, CAST(embedding[9:16] AS DOUBLE[]) AS b FROM embeddings), q AS (SELECT * FROM v WHERE id % 100 = 0),
     c AS (SELECT q.id AS query_id, v.id, list_dot_product(x, y) / ((sqrt(list_dot_product(x, x)) + 1e-9) * (sqrt(list_dot_product(y, y)) + 1e-9)) AS s, t FROM v, q, LATERAL (SELECT unnest([q.a, q.b]) AS x, unnest([1, 2]) AS t) e, LATERAL (SELECT unnest([v.a, v.b]) AS y) f),
-    m AS (SELECT query_id, id, sum(s) AS score FROM (SELECT query_id, id, t, max(s) AS s FROM c GROUP BY ALL) GROUP BY ALL)
-    SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank, round(score, 6) AS score FROM m QUALIFY rank <= 10""")
-def late_interaction(spark, folder):
+    m AS (SELECT query_id, id, sum(s) AS score FROM (SELECT query_id, id, t, max(s) AS s FROM c GROUP BY ALL) GROUP BY ALL)"""
+LATE_TOP = "SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank, round(score, 6) AS score FROM m QUALIFY rank <= 10"
+
+
+def _late_parts(spark, folder):
     parts = F.array(F.slice("embedding", 1, 8), F.slice("embedding", 9, 8))
     v = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), parts.alias("vs"))
-    return retrieval.late_interaction(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vs").alias("qs"))).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vs").alias("qs"))
+
+
+@query(f"WITH {LATE} {LATE_TOP}")
+def late_interaction(spark, folder):
+    return retrieval.late_interaction(*_late_parts(spark, folder)).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {LATE} {LATE_TOP}")
+def late_index_topk(spark, folder):
+    """The pruned index with all cells probed, so its bounds must leave the exact result."""
+    docs, asked = _late_parts(spark, folder)
+    return vectors.LateIndex(docs).search(asked).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"""
+    WITH {LATE}, r AS ({LATE_TOP}), t AS (SELECT query_id, id, rank FROM r WHERE rank <= 4),
+    e AS (SELECT query_id, min((rank, o)) AS spot, x FROM (SELECT query_id, rank, o, (id * 7 + o * o) % 400 AS x FROM t, (VALUES (1), (2), (9)) v(o)) WHERE x % 4 IN (0, 1) GROUP BY query_id, x),
+    n AS (SELECT * FROM e WHERE (query_id, x) NOT IN (SELECT (query_id, id) FROM t)), z AS (SELECT query_id, max(rank) AS last FROM t GROUP BY 1)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, id, false AS expanded FROM t
+    UNION ALL SELECT query_id, CAST(last + row_number() OVER (PARTITION BY query_id ORDER BY spot, CAST(x AS VARCHAR)) AS INTEGER), x, true FROM n JOIN z USING (query_id)""")
+def expanded_late_search(spark, folder):
+    """The first four results of late interaction from the index, then their direct successors of two types."""
+    docs, asked = _late_parts(spark, folder)
+    found = vectors.LateIndex(docs).search(asked, 4).select("query_id", "rank", F.col("id").cast("string").alias("id"))
+    steps = F.inline(F.array(*[F.struct(((F.col("id") * 7 + o * o) % 400).cast("string").alias("target"), F.lit(o).alias("ord")) for o in (1, 2, 9)]))
+    edges = docs.select(F.col("id").cast("string").alias("source"), steps)
+    kinds = F.element_at(F.array(*map(F.lit, ("lemma", "theorem", "remark", "example"))), (F.col("id") % 4 + 1).cast("int"))
+    types = edges.select(F.col("target").cast("long").alias("id")).distinct().select(F.col("id").cast("string").alias("id"), kinds.alias("type"))
+    out = retrieval.expanded_search(found, edges, types, ["lemma", "theorem"], 4)
+    return out.select("query_id", "rank", F.col("id").cast("long").alias("id"), "expanded")
+
+
+@query("""
+    WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 100 = 0),
+    s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_dot_product(v.e, q.e) / ((sqrt(list_dot_product(v.e, v.e)) + 1e-9) * (sqrt(list_dot_product(q.e, q.e)) + 1e-9)) AS score FROM v, q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s QUALIFY rank <= 10)
+    SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r""")
+def dense_index_topk(spark, folder):
+    """The inverted file with all cells probed."""
+    v = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    found = vectors.CellIndex(v).search(v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")))
+    return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("""

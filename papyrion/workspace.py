@@ -49,10 +49,10 @@ def remove(spark: SparkSession, path: str) -> None:
 class Table:
     """A written intermediate table: ``df`` reads it, ``drop()`` deletes it."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, partition_by: list[str] | None = None):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.partitionBy(*(partition_by or [])).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
