@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -274,7 +275,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.cumsum([0, *pa.compute.binary_length(batch.column(1)).fill_null(0).to_pylist()])
+            sizes = np.cumsum([0, *pc.binary_length(batch.column(1)).fill_null(0).to_pylist()])
             k = 0
             while k < batch.num_rows:  # a few texts at a time, so a batch needs little memory
                 to = max(k + 1, int(np.searchsorted(sizes, sizes[k] + SLICE, side="right")) - 1)
