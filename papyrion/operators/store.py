@@ -49,11 +49,14 @@ def put_definitions(old: dict[str, DataFrame], new: dict[str, DataFrame], papers
 def commit(results: DataFrame, mode: str) -> DataFrame:
     """(paper, stage, reason): what a paper's write leaves behind; one that fails leaves only its failure.
 
-    results (paper, n_nodes, n_definitions, error).  A graph without statements is a failure, and
-    so is a mode with definitions (defs, full) without any bank.
+    results (paper, n_nodes, n_definitions, error), and n_terms where term maps are known of.  A
+    graph without statements is a failure, and so is a mode with definitions (defs, full) without
+    any bank or term map.  ``snapshots.persist_results`` writes by it.
     """
     needs = F.lit(mode in ("defs", "full"))
     reason = F.when(F.col("error").isNotNull(), F.col("error")).when(F.coalesce("n_nodes", F.lit(0)) == 0, "empty graph").when(needs & F.col("n_definitions").isNull(), "no definition bank")
+    if "n_terms" in results.columns:
+        reason = reason.when(needs & F.col("n_terms").isNull(), "no term map")
     return results.select("paper", F.when(reason.isNull(), "complete").otherwise("failed").alias("stage"), reason.alias("reason"))
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.operators import bank, classify, commands, definitions, dependencies, graph, indexing, queue, replies, retrieval, store, vectors
+from papyrion.operators import bank, classify, commands, definitions, dependencies, graph, indexing, queue, replies, retrieval, snapshots, store, vectors
 from papyrion.operators.components import connected_components
 from papyrion.plans.catalog import EDGES, REACH, _bm25, _bm25_sql, _nation_edges, query
 from papyrion.sources import files, sinks
 from papyrion.sources.tables import table
+from papyrion.workspace import shared_folder
 
 
 def _lines(spark, folder) -> DataFrame:
@@ -66,6 +69,39 @@ def extraction_results(spark, folder):
     return store.commit(o.join(n, "paper", "left"), "defs")
 
 
+@query("""
+    WITH a AS (SELECT l_orderkey AS paper, l_linenumber AS id, min(l_returnflag) AS content FROM lineitem WHERE l_linestatus = 'F' AND l_orderkey % 3 <> 0 GROUP BY 1, 2),
+    b AS (SELECT l_orderkey AS paper, l_linenumber AS id, l_partkey AS term, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 10 AND l_orderkey % 2 = 0),
+    g AS (SELECT * FROM b WHERE o_custkey % 3 <> 0 AND o_custkey % 5 <> 0),
+    x AS (SELECT DISTINCT paper, id, 'new' AS content FROM g UNION ALL SELECT * FROM a WHERE (paper, id) NOT IN (SELECT (paper, id) FROM g)),
+    s AS (SELECT o_orderkey AS paper, o_orderkey % 3 <> 0 AS first, o_orderkey % 2 = 0 AS second, o_orderkey IN (SELECT paper FROM a) AS fine, o_orderkey IN (SELECT paper FROM b) AS lines, o_custkey FROM orders)
+    SELECT 'artifacts' AS name, CAST(paper AS VARCHAR) AS paper, CAST(id AS VARCHAR) AS id, content AS value FROM x
+    UNION ALL SELECT DISTINCT 'definitions', CAST(paper AS VARCHAR), CAST(term AS VARCHAR), 'text' FROM g
+    UNION ALL SELECT 'states', CAST(paper AS VARCHAR), CASE WHEN second THEN 'full' ELSE 'graph' END || '/' || (CAST(first AS INT) + CAST(second AS INT)),
+      CASE WHEN second THEN CASE WHEN NOT lines THEN 'empty graph' WHEN o_custkey % 3 = 0 THEN 'no definition bank' WHEN o_custkey % 5 = 0 THEN 'no term map' ELSE 'complete' END WHEN fine THEN 'complete' ELSE 'empty graph' END FROM s WHERE first OR second""")
+def committed_papers(spark, folder):
+    """Two batches of papers, of which some fail, and a third that is staged and never committed; then what readers see."""
+    li = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("paper"), F.col("l_linenumber").cast("string").alias("id"), "l_returnflag", "l_linestatus", "l_quantity", F.col("l_partkey").cast("string").alias("term"))
+    o = table(spark, folder, "orders").select(F.col("o_orderkey").alias("paper"), "o_custkey")
+    kept = snapshots.Snapshots(spark, f"{shared_folder(spark)}/papers-{uuid.uuid4().hex}")
+
+    def rows(lines: DataFrame, content) -> dict[str, DataFrame]:
+        artifacts = lines.select("paper", "id", F.lit("theorem").alias("kind"), content.alias("content"), F.struct(F.ascii(content) * -1).alias("ord"))
+        return {"artifacts": artifacts, "edges": lines.select("paper", F.lit("reference").alias("edge_kind"), F.col("id").alias("source"), F.col("id").alias("target"), F.struct("id").alias("ord"))}
+
+    first = o.where("paper % 3 <> 0").select("paper", F.lit(None).cast("string").alias("error"), F.lit(None).cast("int").alias("n_definitions"), F.lit(None).cast("int").alias("n_terms"))
+    snapshots.persist_results(kept, first, rows(li.where("l_linestatus = 'F'"), F.col("l_returnflag")), "graph")
+    second = o.where("paper % 2 = 0").select("paper", F.lit(None).cast("string").alias("error"), F.when(F.col("o_custkey") % 3 != 0, 1).alias("n_definitions"), F.when(F.col("o_custkey") % 5 != 0, 1).alias("n_terms"))
+    lines = li.where("l_quantity > 10")
+    bank = {"definitions": lines.select("paper", "term", F.lit("text").alias("text")), "terms": lines.select("paper", F.col("id").alias("artifact"), "term")}
+    snapshots.persist_results(kept, second, rows(lines, F.lit("new")) | bank, "full")
+    kept.stage(o, {"artifacts": rows(li, F.lit("lost"))["artifacts"]})
+    artifacts = kept.read("artifacts").select(F.lit("artifacts").alias("name"), "paper", "id", F.col("content").alias("value"))
+    definitions = kept.read("definitions").select(F.lit("definitions"), "paper", "term", "text")
+    states = kept.read("states").select(F.lit("states"), "paper", F.concat_ws("/", "mode", "attempts"), F.coalesce("error", "stage"))
+    return artifacts.union(definitions).union(states)
+
+
 @query("SELECT count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def missing_parents(spark, folder):
     parents = table(spark, folder, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("paper"))
