@@ -3,8 +3,9 @@
 import hashlib
 import re
 
+from test_near_copies import brute
+
 import corpus_pipeline
-from papyrion.llm.simhash import fingerprint
 
 DATA = "/root/testdata/sf0.001"
 
@@ -27,17 +28,8 @@ def test_stages(spark, tmp_path):
         key = re.sub(r"[\x20\x09-\x0D]+", " ", r.text)
         best[key] = min(best.get(key, r.doc_id), r.doc_id)
     assert sorted(r.doc_id for r in exact) == sorted(best.values())
-    marks = {r.doc_id: fingerprint(r.text) for r in exact}
-    label = {i: i for i in marks}
-    for _ in range(len(marks)):
-        old = dict(label)
-        for a in marks:
-            for b in marks:
-                if (marks[a] ^ marks[b]).bit_count() <= 3:
-                    label[a] = min(label[a], label[b])
-        if old == label:
-            break
-    assert sorted(r.doc_id for r in near) == sorted(set(label.values()))
+    want = brute([(r.doc_id, r.text) for r in exact])  # five words, similarity 0.8
+    assert sorted(r.doc_id for r in near) == sorted(set(want.values()))
     assert {r.doc_id for r in mixed} == {r.doc_id for r in near} and len(mixed) >= len(near)
     text = {r.doc_id: r.text for r in near}
     assert len(last) == len(mixed)
