@@ -14,8 +14,8 @@ from papyrion.llm.bpe import bpe_round_trip
 from papyrion.llm.exact_dedup import drop_copies
 from papyrion.llm.language_id import accepted_documents
 from papyrion.llm.mixing import mixed_corpus
+from papyrion.llm.near_copies import drop_near_copies
 from papyrion.llm.queries import BYTE_BPE, MAX_REPEATS
-from papyrion.llm.simhash import drop_near_copies
 from papyrion.sources.tables import table
 from papyrion.workspace import materialize
 
@@ -41,9 +41,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of close fingerprints: the smallest id.
+    """One document of each component of near copies (five words, similarity 0.8): the smallest id.
 
-    Null and empty texts share one fingerprint; rows without an id link with nothing and stay, repeated ones once.
+    Null and empty texts are equal; rows without an id link with nothing and stay, repeated ones once.
     """
     return drop_near_copies(docs)
 
