@@ -12,6 +12,8 @@ from papyrion.operators.components import connected_components
 from papyrion.plans.catalog import EDGES, REACH, _bm25, _bm25_sql, _nation_edges, query
 from papyrion.sources import files, sinks
 from papyrion.sources.tables import table
+from papyrion.streaming import events as streams
+from papyrion.streaming import keyed
 from papyrion.workspace import shared_folder
 
 
@@ -102,6 +104,20 @@ def committed_papers(spark, folder):
     return artifacts.union(definitions).union(states)
 
 
+@query("""
+    SELECT CAST(user_id AS VARCHAR) AS paper, arg_max(stage, (ts, event_id)) AS stage, count(*) FILTER (stage = 'processing') AS attempts, epoch_us(max(ts)) AS updated_at, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n_events
+    FROM (SELECT *, CASE WHEN event_type = 'purchase' THEN 'complete' WHEN event_type = 'click' THEN 'failed' ELSE 'processing' END AS stage FROM events) GROUP BY user_id""")
+def streamed_states(spark, folder):
+    """The event log as files that come one by one, in two runs of a stream with keyed state; the second goes on from the checkpoint."""
+    stage = F.when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "click", "failed").otherwise("processing")
+    rows = table(spark, folder, "events").select(F.col("user_id").alias("paper"), stage.alias("stage"), "ts", "event_id")
+    at = f"{shared_folder(spark)}/states-{uuid.uuid4().hex}"
+    for turn in range(2):
+        rows.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == turn).repartition(2).write.mode("append").parquet(f"{at}/log")
+        keyed.run_to_end(keyed.stages(streams.file_stream(spark, f"{at}/log", rows.schema)), f"{at}/out", f"{at}/checkpoint")
+    return keyed.present(spark, f"{at}/out", keyed.STAGES, "paper", "n_events").drop("reason")
+
+
 @query("SELECT count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def missing_parents(spark, folder):
     parents = table(spark, folder, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("paper"))
