@@ -42,19 +42,28 @@ PROMPTS = {
     "query": ("Write one question of at most 30 words that a reader would ask to find the result. Answer with JSON: {\"query_text\": ...}.", "Style: %s\nContext:\n%s"),
     "structured": ("List the terms, expressions and domain of the query. Answer with JSON: terms, expressions, domain.", "Query:\n%s"),
 }
-#: Models by prefix of their name, and the provider that serves them.
-PROVIDERS = [("gpt-", "openai"), ("o1", "openai"), ("o3", "openai"), ("claude", "anthropic"), ("gemini", "google"), ("deepseek", "together"), ("meta-llama", "together"), ("qwen", "together")]
+# The models and their providers.
+PROVIDERS = {
+    "gpt-4o-2024-08-06": "openai",
+    "gpt-4.1-mini-2025-04-14": "openai",
+    "gpt-4.1-2025-04-14": "openai",
+    "gpt-5-mini-2025-08-07": "openai",
+    "gpt-5-nano-2025-08-07": "openai",
+    "gpt-5-2025-08-07": "openai",
+    "deepseek-ai/DeepSeek-R1-Distill-Qwen-14B": "together",
+    "deepseek-ai/DeepSeek-R1-Distill-Llama-70B": "together",
+    "deepseek-ai/DeepSeek-V3.1": "together",
+    "openai/gpt-oss-120b": "together",
+}
 #: Longest text that is tagged, and most items of a structured list.
 TAG_CHARS, MOST_ITEMS = 2000, 30
 
 
-def provider_of(model: Column) -> Column:
-    """The provider of a model by its name's prefix; unknown models have none."""
-    low = F.lower(model)
-    out = F.lit(None).cast("string")
-    for prefix, name in reversed(PROVIDERS):
-        out = F.when(F.startswith(low, F.lit(prefix)), name).otherwise(out)
-    return out
+def provider_of(model: Column, models: dict[str, str] | None = None, strict: bool = True) -> Column:
+    """The provider of a listed model, by its whole name; another name is an error, or null if not ``strict``."""
+    listed = F.create_map(*[F.lit(x) for pair in (models or PROVIDERS).items() for x in pair])
+    found = F.try_element_at(listed, model)
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("unknown model "), F.coalesce(model, F.lit("null"))))) if strict else found
 
 
 def prompt(kind: str, *fields: Column) -> tuple[Column, Column]:

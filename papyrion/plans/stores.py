@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.operators import bank, classify, commands, definitions, dependencies, graph, indexing, queue, replies, retrieval, snapshots, store, vectors
+from papyrion.operators import bank, classify, commands, definitions, dependencies, graph, indexing, queue, replies, reply_table, retrieval, snapshots, store, vectors
 from papyrion.operators.components import connected_components
 from papyrion.plans.catalog import EDGES, REACH, _bm25, _bm25_sql, _nation_edges, query
 from papyrion.sources import files, sinks
@@ -118,6 +118,24 @@ def streamed_states(spark, folder):
     return keyed.present(spark, f"{at}/out", keyed.STAGES, "paper", "n_events").drop("reason")
 
 
+@query("""
+    WITH r AS (SELECT CAST(user_id AS VARCHAR) || '/' || event_type AS key, CAST(event_id AS VARCHAR) AS reply, ts FROM events),
+    n AS (SELECT key, arg_max(reply, (ts, reply)) AS reply FROM r WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY key),
+    w AS (SELECT DISTINCT c_custkey, CAST(c_custkey AS VARCHAR) || '/' || t AS key FROM customer, (VALUES ('view'), ('click'), ('none')) v(t))
+    SELECT c_custkey, w.key, reply, CASE WHEN n.key IS NULL THEN 'missing' ELSE 'cached' END AS status FROM w LEFT JOIN n ON w.key = n.key""")
+def stored_replies(spark, folder):
+    """Replies of three runs, looked up by key with an expiry, before which they were compacted once."""
+    e = table(spark, folder, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"), F.col("event_id").cast("string").alias("reply"), "ts", F.pmod(F.xxhash64("event_id"), F.lit(3)).alias("run"))
+    kept = reply_table.ReplyTable(spark)
+    for run in range(3):
+        kept.append(e.where(F.col("run") == run))
+        if run == 1:
+            kept.compact()
+    kinds = F.explode(F.array(*map(F.lit, ("view", "click", "none"))))
+    wanted = table(spark, folder, "customer").select("c_custkey", kinds.alias("kind")).distinct().select("c_custkey", F.concat_ws("/", F.col("c_custkey").cast("string"), "kind").alias("key"))
+    return kept.lookup(wanted, F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
+
+
 @query("SELECT count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def missing_parents(spark, folder):
     parents = table(spark, folder, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("paper"))
@@ -484,7 +502,7 @@ def generated_queries(spark, folder):
 
 @query("""
     SELECT p_partkey AS k, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_type END AS semantic_tag, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size % 2 = 0 END AS is_trivial,
-           CASE WHEN p_size % 3 = 0 THEN '' ELSE p_name || '|x' END AS terms, 'openai' AS provider, p_size % 3 = 0 AS was_repaired FROM part""")
+           CASE WHEN p_size % 3 = 0 THEN '' ELSE p_name || '|x' END AS terms, CASE WHEN p_partkey % 12 < 6 THEN 'openai' WHEN p_partkey % 12 < 10 THEN 'together' END AS provider, p_size % 3 = 0 AS was_repaired FROM part""")
 def judged_statements(spark, folder):
     good = F.col("p_size") % 3 != 0
     p = table(spark, folder, "part").withColumn("k", F.col("p_partkey"))
@@ -498,7 +516,8 @@ def judged_statements(spark, folder):
     keyed = p.select(F.col("k").cast("string").alias("prompt_key"), said(F.struct(F.lit("t").alias("semantic_tag"))).alias("reply"))
     fixed = replies.repaired(keyed, "tag", p.select(F.col("k").cast("string").alias("prompt_key"), F.lit('{"semantic_tag": "u"}').alias("repaired")))
     out = tag.join(lemma, "k").join(lists.select("k", F.array_join("terms", "|").alias("terms")), "k").join(fixed.select(F.col("prompt_key").cast("long").alias("k"), "was_repaired"), "k")
-    return out.select("k", "semantic_tag", "is_trivial", "terms", replies.provider_of(F.lit("GPT-4o")).alias("provider"), "was_repaired")
+    model = F.element_at(F.array(*map(F.lit, [*replies.PROVIDERS, "GPT-4o-2024-08-06", "gpt-5"])), (F.col("k") % 12 + 1).cast("int"))
+    return out.select("k", "semantic_tag", "is_trivial", "terms", replies.provider_of(model, strict=False).alias("provider"), "was_repaired")
 
 
 @query("""
