@@ -13,6 +13,11 @@ Documents with a partner in a unit, usually few, are read again: their sets meet
 pairs of a unit's candidates are tested exactly, except where they are already joined.  Units
 return spanning forests, never all pairs; the components are those of all links.
 
+A key with more than ``block`` documents is first cut into blocks that are compared in themselves;
+then one document of each component so far stands for it; and only where a key still holds
+several components its blocks meet in pairs, for the pairs of different components.  So a large group of copies
+costs about as many comparisons as it has documents, and no pair is left out.
+
 Equal sets are one class before anything is compared.  Fewer words than a shingle: the whole
 sequence is the only shingle; no words (null, empty or blank texts): the empty set, equal to other empty ones and
 similar to nothing else.  Rows without an id link with nothing.  Repeated rows each have a row.
@@ -96,19 +101,25 @@ def _proposed(least: float):
     """Unit -> (t, key, __i, __j, label, rep) of rows that have a partner: label is the least row of the candidates that hang together."""
 
     def work(table: pa.Table, low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
-        codes, rep, n, t = (table.column(c).to_numpy() for c in ("fp", "rep", "n", "t"))
+        codes, rep, n, t, comp = (table.column(c).to_numpy() for c in ("fp", "rep", "n", "t", "comp"))
         keys = np.array(table.column("keys").to_pylist(), np.int64).reshape(len(rep), -1)
         before = np.arange(keys.shape[1])[None, :] < t[:, None]
         labels, linked = np.arange(len(rep)), np.zeros(len(rep), bool)
         for i, j in near(codes.view(np.uint64), low, high, RADIUS, tile=1 << 14):
             for at in range(0, len(i), 1 << 18):
                 a, b = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
+                other = comp[a] != comp[b]
+                a, b = a[other], b[other]
                 good = ~((keys[a] == keys[b]) & before[a]).any(axis=1) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]))
                 union(labels, a[good], b[good])
                 linked[a[good]] = linked[b[good]] = True
         some = np.flatnonzero(linked)
         if len(some):
-            yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks().take(pa.array(some)) for c in ("t", "key", "__i", "__j")), pa.array(rep[labels[some]]), pa.array(rep[some])], names=["t", "key", "i", "j", "label", "rep"])
+            i, j = table.column("__i").to_numpy(), table.column("__j").to_numpy()
+            if "c" in table.column_names:  # a block of its own
+                i = j = -1 - table.column("c").to_numpy()
+            found = [t, table.column("key").to_numpy(), i, j, rep[labels], rep]
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in found], names=["t", "key", "i", "j", "label", "rep"])
 
     return work
 
@@ -182,15 +193,38 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = marks.where("id is not null").groupBy("s1", "s2").agg(F.min(F.struct("id", "k2")).alias("x"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"))
     classes = materialize(classes.select("s1", "s2", F.col("x.id").alias("rep"), F.col("x.k2").alias("k2"), "n", "fp", "keys"), "classes")
     filed = classes.where("n > 0").select("rep", "n", "fp", "keys", F.posexplode("keys").alias("t", "key"))
-    compared = units(filed, ["t", "key"], "rep", block).select("t", "key", "__i", "__j", "__side", "rep", "n", "fp", "keys")
-    proposed = materialize(compared.mapInArrow(each_unit(["t", "key"], _proposed(least), least=1 << 12), "t int, key long, i int, j int, label long, rep long"), "proposed")
-    wanted = materialize(proposed.select("rep").distinct().join(classes.select("rep", "k2"), "rep"), "wanted")
-    texts = named.join(wanted.withColumnsRenamed({"rep": "id"}), ["id", "k2"], "left_semi").dropDuplicates(["id", "k2"]).select("id", "text")
-    sets = materialize(texts.mapInArrow(_sets, "rep long, s binary"), "sets")
-    order = ["t", "key", "i", "j", "label"]
-    met = proposed.join(sets, "rep").select(*order, "rep", "s").repartition(*order).sortWithinPartitions(*order)
-    forest = materialize(met.mapInArrow(_verified(least), "src long, dst long"), "forest")
-    joined = connected_components(forest)
+    hot = materialize(filed.groupBy("t", "key").agg(F.count("*").alias("many")).where(F.col("many") > block), "hot")
+
+    def forest(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+        """Links of the units of ``rows`` (t, key, ..., rep, n, fp, keys, comp), between different components."""
+        compared = units(rows, keys, "rep", most).select(*keys, "__i", "__j", "__side", "rep", "n", "fp", "keys", "comp")
+        proposed = materialize(compared.mapInArrow(each_unit(keys, _proposed(least), least=1 << 12), "t int, key long, i int, j int, label long, rep long"), "proposed")
+        wanted = materialize(proposed.select("rep").distinct().join(classes.select("rep", "k2"), "rep"), "wanted")
+        texts = named.join(wanted.withColumnsRenamed({"rep": "id"}), ["id", "k2"], "left_semi").dropDuplicates(["id", "k2"]).select("id", "text")
+        sets = materialize(texts.mapInArrow(_sets, "rep long, s binary"), "sets")
+        order = ["t", "key", "i", "j", "label"]
+        met = proposed.join(sets, "rep").select(*order, "rep", "s").repartition(*order).sortWithinPartitions(*order)
+        return materialize(met.mapInArrow(_verified(least), "src long, dst long"), "forest")
+
+    def grown(rows: DataFrame, joined: DataFrame) -> DataFrame:
+        """``rows`` with the component that each is in so far."""
+        found = rows.join(joined, rows.rep == joined.vertex, "left").withColumn("comp", F.coalesce("component", "rep"))
+        return found.select(*rows.columns, "comp")
+
+    cut = F.pmod(F.xxhash64("rep", F.lit(3)), F.ceil(F.coalesce("many", F.lit(1)) / block)).cast("int")
+    blocks = filed.join(hot, ["t", "key"], "left").withColumns({"c": cut, "comp": F.col("rep")}).drop("many")
+    links = forest(blocks, ["t", "key", "c"], 8 * block)
+    joined = connected_components(links)
+    if not hot.isEmpty():
+        large = filed.join(hot.select("t", "key"), ["t", "key"], "left_semi")
+        joined = materialize(joined, "joined")
+        heads = grown(large, joined).groupBy("t", "key", "comp").agg(F.min_by(F.struct("rep", "n", "fp", "keys"), "rep").alias("x")).select("t", "key", "comp", "x.*")
+        links = links.unionByName(forest(heads, ["t", "key"], block))
+        joined = materialize(connected_components(links), "joined")
+        rest = materialize(grown(large, joined), "rest")
+        mixed_ = materialize(rest.groupBy("t", "key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("t", "key"), "mixed")
+        links = links.unionByName(forest(rest.join(mixed_, ["t", "key"], "left_semi"), ["t", "key"], block))
+        joined = connected_components(links)
     named = classes.join(joined, classes.rep == joined.vertex, "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     named = materialize(named, "named")
     return marks.join(named, ["s1", "s2"], "left").select("id", "k2", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
