@@ -13,14 +13,15 @@ from papyrion.functions.ids import base_id
 from papyrion.operators.queue import upsert
 
 
-def put_artifacts(old: DataFrame, new: DataFrame, order: str, remove_stale: bool = False) -> DataFrame:
+def put_artifacts(old: DataFrame, new: DataFrame, order: str, remove_stale: bool = False, papers: DataFrame | None = None) -> DataFrame:
     """Artifacts (paper, id, ...) after a write: the last new row of a key wins; others stay.
 
-    With ``remove_stale`` artifacts of a written paper that it no longer has go.
+    With ``remove_stale`` artifacts of a written paper that it no longer has go; ``papers`` (paper)
+    names the written papers, so that one without any statement loses all (else those of the new rows).
     """
     kept = old
     if remove_stale:
-        kept = old.join(new.select("paper").distinct(), "paper", "left_anti")
+        kept = old.join((new if papers is None else papers).select("paper").distinct(), "paper", "left_anti")
     blank = kept.withColumn(order, F.lit(None).cast(new.schema[order].dataType))
     return upsert(blank.select(*new.columns), new, ["paper", "id"], F.col(order)).drop(order)
 

@@ -81,3 +81,13 @@ def test_results_and_failures(spark, tmp_path):
     assert states["p"][:2] == ("failed", 2) and "broken off" in states["p"][2]
     persist_results(store, results.where("paper = 'q'"), new, "graph")
     assert seen(store) == [("p", "1", "lemma", "b"), ("q", "1", "lemma", "c")] and seen(store, "definitions") == [("p", "t", "x")]
+
+
+def test_paper_that_lost_all_statements(spark):
+    from papyrion.operators.store import put_artifacts
+
+    old = spark.createDataFrame([("p", "1"), ("q", "1"), ("r", "1")], "paper string, id string")
+    new = spark.createDataFrame([("q", "2", 1)], "paper string, id string, ord int")
+    written = spark.createDataFrame([("p",), ("q",)], "paper string")
+    assert sorted(map(tuple, put_artifacts(old, new, "ord", True, written).collect())) == [("q", "2"), ("r", "1")]
+    assert sorted(map(tuple, put_artifacts(old, new, "ord", True).collect())) == [("p", "1"), ("q", "2"), ("r", "1")]
