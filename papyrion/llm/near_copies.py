@@ -13,9 +13,9 @@ Documents with a partner in a unit, usually few, are read again: their sets meet
 pairs of a unit's candidates are tested exactly, except where they are already joined.  Units
 return spanning forests, never all pairs; the components are those of all links.
 
-A key with more than ``block`` documents is first cut into blocks that are compared in themselves;
+A key with more than ``CUT`` blocks of documents is first cut into parts that are compared in themselves;
 then one document of each component so far stands for it; and only where a key still holds
-several components its blocks meet in pairs, for the pairs of different components.  So a large group of copies
+several components its blocks all meet in pairs, for the pairs of different components.  So a large group of copies
 costs about as many comparisons as it has documents, and no pair is left out.
 
 Equal sets are one class before anything is compared.  Fewer words than a shingle: the whole
@@ -45,6 +45,8 @@ from papyrion.workspace import materialize
 WORDS, LEAST = 5, 0.8
 #: Hash functions whose least shingles are keys, and bits that fingerprints of a unit may differ in.
 KEYS, RADIUS = 5, 24
+#: Blocks of a key that meet in pairs; a key with more documents is cut into parts of so many blocks first.
+CUT = 8
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, 64, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -116,8 +118,8 @@ def _proposed(least: float):
         some = np.flatnonzero(linked)
         if len(some):
             i, j = table.column("__i").to_numpy(), table.column("__j").to_numpy()
-            if "c" in table.column_names:  # a block of its own
-                i = j = -1 - table.column("c").to_numpy()
+            if "c" in table.column_names:  # blocks of one cut
+                i, j = (x + 1024 * table.column("c").to_numpy() for x in (i, j))
             found = [t, table.column("key").to_numpy(), i, j, rep[labels], rep]
             yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in found], names=["t", "key", "i", "j", "label", "rep"])
 
@@ -193,7 +195,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = marks.where("id is not null").groupBy("s1", "s2").agg(F.min(F.struct("id", "k2")).alias("x"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"))
     classes = materialize(classes.select("s1", "s2", F.col("x.id").alias("rep"), F.col("x.k2").alias("k2"), "n", "fp", "keys"), "classes")
     filed = classes.where("n > 0").select("rep", "n", "fp", "keys", F.posexplode("keys").alias("t", "key"))
-    hot = materialize(filed.groupBy("t", "key").agg(F.count("*").alias("many")).where(F.col("many") > block), "hot")
+    hot = materialize(filed.groupBy("t", "key").agg(F.count("*").alias("many")).where(F.col("many") > CUT * block), "hot")
 
     def forest(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
         """Links of the units of ``rows`` (t, key, ..., rep, n, fp, keys, comp), between different components."""
@@ -211,9 +213,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = rows.join(joined, rows.rep == joined.vertex, "left").withColumn("comp", F.coalesce("component", "rep"))
         return found.select(*rows.columns, "comp")
 
-    cut = F.pmod(F.xxhash64("rep", F.lit(3)), F.ceil(F.coalesce("many", F.lit(1)) / block)).cast("int")
+    cut = F.pmod(F.xxhash64("rep", F.lit(3)), F.ceil(F.coalesce("many", F.lit(1)) / (CUT * block))).cast("int")
     blocks = filed.join(hot, ["t", "key"], "left").withColumns({"c": cut, "comp": F.col("rep")}).drop("many")
-    links = forest(blocks, ["t", "key", "c"], 8 * block)
+    links = forest(blocks, ["t", "key", "c"], block)
     joined = connected_components(links)
     if not hot.isEmpty():
         large = filed.join(hot.select("t", "key"), ["t", "key"], "left_semi")

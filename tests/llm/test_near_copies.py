@@ -55,7 +55,7 @@ def made(seed=3):
     return [*rows, (3000, None), (3001, ""), (3002, " \n"), (3003, "two words"), (3004, "TWO  words"), (3005, "a b c d e"), (None, "a b c d e"), (3006, "q " * 100_000), (0, rows[0][1])]
 
 
-@pytest.mark.parametrize("block", [64, 512])
+@pytest.mark.parametrize("block", [16, 64, 512])
 def test_components_equal_all_pairs(spark, block):
     rows = made()
     got = {}
