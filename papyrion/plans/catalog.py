@@ -560,10 +560,7 @@ def page_texts(spark, folder):
 @query()
 def title_similarity_best(spark, folder):
     p = table(spark, folder, "part").select("p_partkey", "p_brand", "p_size", matching.normalize_title("p_name").alias("form"))
-    other = p.select(F.col("p_partkey").alias("candidate"), "p_brand", "p_size", F.col("form").alias("other"))
-    pairs = p.join(other, ["p_brand", "p_size"]).where((F.col("p_partkey") != F.col("candidate")) & matching.may_reach(F.col("form"), F.col("other"), 0.6))
-    scored = pairs.withColumns({"title_score": matching.similarity("form", "other"), "author_overlap": F.lit(0.0), "cited": F.col("p_size"), "ord": F.col("candidate")})
-    return matching.best_matches(scored, "p_partkey", "candidate", 0.6)
+    return matching.best_similar(p, "p_partkey", ["p_brand", "p_size"], "form", "p_size", 0.6)
 
 
 @query()
