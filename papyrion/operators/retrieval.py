@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from papyrion.workspace import materialize
 RRF_K = 60
 #: Members of a class in a row, and tasks that classes are dealt to.
 BLOCK, SPREAD = 1_000, 256
+#: Products of a query's weight and a document's that a task of the lexical search sums.
+SUMS = 4_000_000
 
 
 def document_frequencies(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -36,7 +40,8 @@ def bm25(docs: DataFrame, queries: DataFrame, parameters: list[tuple[float, floa
 
     docs (id, text), queries (query_id, text).  Each occurrence of a query token counts; ties by
     id.  The queries' vocabulary is a written table, so it is broadcast only while it is small.
-    All settings are summed in one pass over the postings and ranked apart.
+    All settings are summed in one pass over the postings and ranked apart.  Postings are dealt by
+    document to tasks of about ``SUMS`` sums, so sums aren't shuffled and a task's memory doesn't grow with the corpus.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     asked = materialize(asked, "asked")
@@ -50,7 +55,9 @@ def bm25(docs: DataFrame, queries: DataFrame, parameters: list[tuple[float, floa
     def part(k1: float, b: float) -> Column:
         return F.sum(F.col("weight") * F.col("tf") / (F.col("tf") + F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("dl") / F.col("avgdl"))))
 
-    scores = found.join(weighed, "token").groupBy("query_id", "id").agg(*[part(k1, b).alias(f"s{j}") for j, (k1, b) in enumerate(parameters)])
+    met = found.groupBy("token").count().join(asked.groupBy("token").agg(F.count("*").alias("m")), "token").agg(F.sum(F.col("count") * F.col("m"))).first()[0]
+    dealt = found.repartition(max(1, math.ceil((met or 0) / SUMS)), "id")
+    scores = dealt.join(weighed, "token").groupBy("query_id", "id").agg(*[part(k1, b).alias(f"s{j}") for j, (k1, b) in enumerate(parameters)])
     settings = F.array(*[F.struct(F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"), F.col(f"s{j}").alias("score")) for j, (k1, b) in enumerate(parameters)])
     scored = scores.select("query_id", "id", F.inline(settings)).select("k1", "b", "query_id", "id", "score")
     order = Window.partitionBy("k1", "b", "query_id").orderBy(F.desc(F.round("score", 9)), "id")
