@@ -7,7 +7,10 @@ so close fingerprints are searched within ``RADIUS`` bits, too far for a table o
 Instead the sets are filed under their ``KEYS`` least shingles by as many hash functions: at 0.8
 all of them differ in 0.2 ** KEYS (0.0003) of the pairs, and no other pair is lost before the
 radius.  Within a key's unit the fingerprints are compared bit-sliced (``bitslice``), large keys in
-pairs of blocks; a pair counts under the first key that it shares.
+pairs of blocks; a pair counts under the first key that it shares.  Of the close fingerprints only
+pairs that agree in ``AGREE`` of ``SKETCH`` further least shingles (one byte of each) are followed up: at 0.8 one
+in a million agrees in fewer, while most pairs that share no more than a passage do, so
+their sets, as large as the texts, needn't move.
 
 Documents with a partner in a unit, usually few, are read again: their sets meet by unit, and the
 pairs of a unit's candidates are tested exactly, except where they are already joined.  Units
@@ -45,6 +48,8 @@ from papyrion.workspace import materialize
 WORDS, LEAST = 5, 0.8
 #: Hash functions whose least shingles are keys, and bits that fingerprints of a unit may differ in.
 KEYS, RADIUS = 5, 24
+#: Further hash functions of which a byte is kept, and how many of these bytes a pair must share.
+SKETCH, AGREE = 32, 15
 #: Blocks of a key that meet in pairs; a key with more documents is cut into parts of so many blocks first.
 CUT = 8
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, 64, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,11 +86,19 @@ def signature(found: np.ndarray, keys: int = KEYS) -> tuple[int, np.ndarray]:
     return code, np.array([(found * f).min() for f in _FACTORS[:keys]])
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """A byte of each of ``SKETCH`` least shingles of a set, by hash functions that the keys don't use."""
+    if not len(found):
+        return bytes(SKETCH)
+    least = np.array([(found * f).min() for f in _FACTORS[-SKETCH:]])
+    return (mixed(least) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, k2, text) -> (id, k2, s1, s2, n, fp, keys): s1 and s2 name the set."""
+    """(id, k2, text) -> (id, k2, s1, s2, n, fp, keys, sketch): s1 and s2 name the set."""
     forget()
     for batch in batches:
-        names, sizes, codes, keys = [], [], [], []
+        names, sizes, codes, keys, bytes_ = [], [], [], [], []
         for x in batch.column(2):
             found = shingles(x.as_py())
             code, least = signature(found)
@@ -94,9 +107,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(found))
             codes.append(code)
             keys.append(least.view(np.int64))
+            bytes_.append(sketch(found))
         s = np.array(names, np.uint64).reshape(-1, 2).view(np.int64)
-        made = [pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(sizes, pa.int32()), pa.array(np.array(codes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["id", "k2", "s1", "s2", "n", "fp", "keys"])
+        made = [pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(sizes, pa.int32()), pa.array(np.array(codes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["id", "k2", "s1", "s2", "n", "fp", "keys", "sketch"])
 
 
 def _proposed(least: float):
@@ -105,6 +119,7 @@ def _proposed(least: float):
     def work(table: pa.Table, low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
         codes, rep, n, t, comp = (table.column(c).to_numpy() for c in ("fp", "rep", "n", "t", "comp"))
         keys = np.array(table.column("keys").to_pylist(), np.int64).reshape(len(rep), -1)
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(rep), SKETCH)
         before = np.arange(keys.shape[1])[None, :] < t[:, None]
         labels, linked = np.arange(len(rep)), np.zeros(len(rep), bool)
         for i, j in near(codes.view(np.uint64), low, high, RADIUS, tile=1 << 14):
@@ -113,8 +128,10 @@ def _proposed(least: float):
                 other = comp[a] != comp[b]
                 a, b = a[other], b[other]
                 good = ~((keys[a] == keys[b]) & before[a]).any(axis=1) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]))
-                union(labels, a[good], b[good])
-                linked[a[good]] = linked[b[good]] = True
+                a, b = a[good], b[good]
+                alike = (sketches[a] == sketches[b]).sum(axis=1) >= AGREE
+                union(labels, a[alike], b[alike])
+                linked[a[alike]] = linked[b[alike]] = True
         some = np.flatnonzero(linked)
         if len(some):
             i, j = table.column("__i").to_numpy(), table.column("__j").to_numpy()
@@ -191,15 +208,15 @@ def _verified(least: float):
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, block: int = 512) -> DataFrame:
     """(id, k2, component) of every row: component is the smallest id that near copies lead to."""
     named = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("k2"), F.col(text_col).cast("string").alias("text"))
-    marks = materialize(named.mapInArrow(_signatures, "id long, k2 long, s1 long, s2 long, n int, fp long, keys array<long>"), "marks")
-    classes = marks.where("id is not null").groupBy("s1", "s2").agg(F.min(F.struct("id", "k2")).alias("x"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"))
-    classes = materialize(classes.select("s1", "s2", F.col("x.id").alias("rep"), F.col("x.k2").alias("k2"), "n", "fp", "keys"), "classes")
-    filed = classes.where("n > 0").select("rep", "n", "fp", "keys", F.posexplode("keys").alias("t", "key"))
+    marks = materialize(named.mapInArrow(_signatures, "id long, k2 long, s1 long, s2 long, n int, fp long, keys array<long>, sketch binary"), "marks")
+    classes = marks.where("id is not null").groupBy("s1", "s2").agg(F.min(F.struct("id", "k2")).alias("x"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"))
+    classes = materialize(classes.select("s1", "s2", F.col("x.id").alias("rep"), F.col("x.k2").alias("k2"), "n", "fp", "keys", "sketch"), "classes")
+    filed = classes.where("n > 0").select("rep", "n", "fp", "keys", "sketch", F.posexplode("keys").alias("t", "key"))
     hot = materialize(filed.groupBy("t", "key").agg(F.count("*").alias("many")).where(F.col("many") > CUT * block), "hot")
 
     def forest(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
-        """Links of the units of ``rows`` (t, key, ..., rep, n, fp, keys, comp), between different components."""
-        compared = units(rows, keys, "rep", most).select(*keys, "__i", "__j", "__side", "rep", "n", "fp", "keys", "comp")
+        """Links of the units of ``rows`` (t, key, ..., rep, n, fp, keys, sketch, comp), between different components."""
+        compared = units(rows, keys, "rep", most).select(*keys, "__i", "__j", "__side", "rep", "n", "fp", "keys", "sketch", "comp")
         proposed = materialize(compared.mapInArrow(each_unit(keys, _proposed(least), least=1 << 12), "t int, key long, i int, j int, label long, rep long"), "proposed")
         wanted = materialize(proposed.select("rep").distinct().join(classes.select("rep", "k2"), "rep"), "wanted")
         texts = named.join(wanted.withColumnsRenamed({"rep": "id"}), ["id", "k2"], "left_semi").dropDuplicates(["id", "k2"]).select("id", "text")
@@ -220,7 +237,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not hot.isEmpty():
         large = filed.join(hot.select("t", "key"), ["t", "key"], "left_semi")
         joined = materialize(joined, "joined")
-        heads = grown(large, joined).groupBy("t", "key", "comp").agg(F.min_by(F.struct("rep", "n", "fp", "keys"), "rep").alias("x")).select("t", "key", "comp", "x.*")
+        heads = grown(large, joined).groupBy("t", "key", "comp").agg(F.min_by(F.struct("rep", "n", "fp", "keys", "sketch"), "rep").alias("x")).select("t", "key", "comp", "x.*")
         links = links.unionByName(forest(heads, ["t", "key"], block))
         joined = materialize(connected_components(links), "joined")
         rest = materialize(grown(large, joined), "rest")

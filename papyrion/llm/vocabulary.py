@@ -9,6 +9,7 @@ bounded whatever the texts are.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import json
 import os
@@ -180,6 +181,9 @@ def forget() -> None:
         _KEPT.clear()
         gc.collect()  # an encoder's cache refers back to it
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed pieces of a cache otherwise
+    if trim:
+        trim(0)
 
 
 def word_encoder(path: str) -> WordEncoder:

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from papyrion.llm import near_copies
 from papyrion.llm.near_copies import RADIUS, drop_near_copies, near_components, shingles, signature, similar_forest
 
 DATA = "/root/testdata/sf0.01"
@@ -103,3 +104,18 @@ def test_radius_is_wide_enough():
             far += (signature(a)[0] ^ signature(b)[0]).bit_count() > RADIUS
         assert far <= 1
     assert len(shingles("a b c d e f")) == 2 and len(shingles("A b")) == 1 and len(shingles(None)) == 0
+
+
+def test_sketches_tell_copies_from_shared_passages():
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(30)]
+    for _ in range(100):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        one, two = shingles(" ".join(words)), shingles(" ".join(words[:150] + ["new"] * 3 + words[150:-20]))
+        other = shingles(" ".join(common + [f"z{rng.randrange(10**6)}" for _ in range(200)]))
+        passage = shingles(" ".join(common + words))
+
+        def agree(a, b):
+            return sum(x == y for x, y in zip(near_copies.sketch(a), near_copies.sketch(b), strict=True))
+
+        assert agree(one, two) >= near_copies.AGREE > agree(other, passage)
