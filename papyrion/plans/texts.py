@@ -15,6 +15,10 @@ def _parts(spark, folder) -> DataFrame:
     return table(spark, folder, "part").withColumnsRenamed({"p_partkey": "k", "p_name": "name", "p_brand": "brand", "p_type": "type", "p_size": "size"})
 
 
+#: Tasks of queries that work long on each row of a small file.
+PARTS = 64
+
+
 def _joined(*parts) -> F.Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p[0].cast("string") for p in parts])
 
@@ -64,8 +68,10 @@ def tex_macros(spark, folder):
     late = F.when(F.col("size") % 2 == 0, "").otherwise("\\def\\three{late}")
     doc = F.concat(_joined("\\newcommand{\\one}{", _c("name"), "}\n\\newcommand{\\two}{old}\\renewcommand{\\two}{x {", _c("size"), "} y}\\newcommand{\\arg}[1]{#1}\\def\\bad{a #1}\n\\DeclareMathOperator{\\op}{lim}"), late, F.lit("\n\\begin{document}\\newcommand{\\body}{no}"))
     pairs = F.array_sort(F.transform(F.map_entries(text.macros(doc)), lambda e: F.concat_ws("=", e["key"], e["value"])))
-    order = F.filter(F.transform(F.array(*[F.lit(x) for x in ("one", "two", "op", "three", "arg", "bad", "body")]), lambda n: F.get(F.filter(pairs, lambda p: F.startswith(p, F.concat(n, F.lit("=")))), F.lit(0))), lambda x: x.isNotNull())
-    return _parts(spark, folder).select("k", F.array_join(order, ";").alias("macros"))
+    names = F.array(*[F.lit(x) for x in ("one", "two", "op", "three", "arg", "bad", "body")])
+    # the pairs are bound to a variable, so the macros are read once and not for each name
+    order = F.flatten(F.transform(F.array(pairs), lambda found: F.transform(names, lambda n: F.get(F.filter(found, lambda p: F.startswith(p, F.concat(n, F.lit("=")))), F.lit(0)))))
+    return _parts(spark, folder).repartition(PARTS).select("k", F.array_join(F.filter(order, lambda x: x.isNotNull()), ";").alias("macros"))
 
 
 @query(r"""
