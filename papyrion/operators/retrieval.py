@@ -17,6 +17,8 @@ RRF_K = 60
 BLOCK, SPREAD = 1_000, 256
 #: Products of a query's weight and a document's that a task of the lexical search sums.
 SUMS = 4_000_000
+#: The same of a task that sums overlaps of structured fields, whose pairs nearly all differ.
+OVERLAPS = 1_000_000
 
 
 def document_frequencies(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -104,6 +106,18 @@ def structured_idf(fields: DataFrame) -> DataFrame:
     return df.join(F.broadcast(n)).select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def structured_overlap(fields: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, id, overlap): idf summed over the structured tokens in common; fields (id, tokens), asked (query_id, token).
+
+    Artifacts are dealt to tasks of about ``OVERLAPS`` sums, so sums aren't shuffled and a task's memory doesn't grow with them.
+    """
+    each = fields.select("id", F.explode("tokens").alias("token"))
+    weights = materialize(asked.join(structured_idf(fields), "token"), "weights")
+    met = each.groupBy("token").agg(F.count("*").alias("n")).join(weights.groupBy("token").agg(F.count("*").alias("m")), "token").agg(F.sum(F.col("n") * F.col("m"))).first()[0]
+    dealt = each.repartition(max(1, math.ceil((met or 0) / OVERLAPS)), "id")
+    return dealt.join(weights, "token").groupBy("query_id", "id").agg(F.sum("idf").alias("overlap"))
+
+
 def filter_boost(results: DataFrame, overlap: DataFrame, minimum: float, boost: float) -> DataFrame:
     """results (query_id, id, score) with boosted scores; rows under the minimum go unless all would.
 

@@ -265,9 +265,7 @@ def structured_idf(spark, folder):
 def structured_overlap(spark, folder):
     fields = _structured(spark, folder)
     asked = table(spark, folder, "part").groupBy(F.col("p_brand").alias("query_id")).agg(F.min("p_name").alias("q")).select("query_id", F.explode(text.structured_tokens(F.split("q", " "))).alias("token"))
-    each = fields.select("id", F.explode("tokens").alias("token"))
-    weighed = asked.join(each, "token").join(retrieval.structured_idf(fields), "token")
-    return weighed.groupBy("query_id", "id").agg(F.round(F.sum("idf"), 5).alias("overlap"))
+    return retrieval.structured_overlap(fields, asked).withColumn("overlap", F.round("overlap", 5))
 
 
 @query(r"""

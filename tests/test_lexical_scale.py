@@ -13,3 +13,11 @@ def test_sums_are_made_where_the_document_is(spark, monkeypatch):
     plan = cut._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(query_id#" in line and ", id#" in line]  # before, all sums were shuffled
+
+
+def test_structured_sums_are_dealt_by_size(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "OVERLAPS", 100)
+    fields = spark.createDataFrame([(k, ["ring", "field"]) for k in range(500)], "id long, tokens array<string>").coalesce(1)
+    asked = spark.createDataFrame([("q", "ring"), ("q", "field"), ("r", "ring")], "query_id string, token string")
+    got = retrieval.structured_overlap(fields, asked)
+    assert got.rdd.getNumPartitions() == 15 and got.count() == 1000
