@@ -140,12 +140,13 @@ def label_mentions(paragraphs: DataFrame, labels: DataFrame, key: str = "doc") -
     """(doc, par, label, context_prev, context_sentence, context_next, explicit_refs, reference_precision): the first sentence of a paragraph with each label of its document.
 
     paragraphs (doc, par, text), labels (doc, label).  A document's labels are few (those of one
-    target's entries), so its sentences meet them by the document.
+    target's entries), so its sentences meet them by the document.  Labels grow with the documents,
+    so both are dealt by the document and labels don't pass through the driver.
     """
-    cut = paragraphs.select(key, "par", F.posexplode(sentences(F.col("text"))).alias("pos", "s"))
+    cut = paragraphs.repartition(key).select(key, "par", F.posexplode(sentences(F.col("text"))).alias("pos", "s"))
     order = Window.partitionBy(key, "par").orderBy("pos")
     rows = cut.withColumns({"context_prev": F.lag("s").over(order), "context_next": F.lead("s").over(order)})
-    met = rows.join(labels.select(key, "label").distinct(), key).where(F.regexp_like(matching_form(F.col("s")), label_pattern(F.col("label"))))
+    met = rows.join(labels.select(key, "label").distinct().hint("merge"), key).where(F.regexp_like(matching_form(F.col("s")), label_pattern(F.col("label"))))
     first = met.groupBy(key, "par", "label").agg(F.min_by(F.struct("s", "context_prev", "context_next"), "pos").alias("x"))
     refs = numbered_refs(F.col("x.s"))
     return first.select(key, "par", "label", "x.context_prev", F.col("x.s").alias("context_sentence"), "x.context_next", refs.alias("explicit_refs"), F.when(F.size(refs) > 0, "explicit").otherwise("implicit").alias("reference_precision"))

@@ -33,3 +33,8 @@ def test_macros_are_read_once_in_many_tasks(spark):
     tree = plan._jdf.queryExecution().optimizedPlan().toString()
     body = tree[tree.index("array_join") :]
     assert body.index("regexp_extract_all") < body.index("[one,two,op,three,arg,bad,body]")  # read outside of the loop over names
+
+
+def test_labels_do_not_pass_through_the_driver(spark):
+    plan = texts.sentence_mentions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
