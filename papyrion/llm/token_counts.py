@@ -27,7 +27,7 @@ def counter(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = token_counter(path, limit)
         for batch in batches:
-            counts = [n for group in small_groups(batch.column(batch.num_columns - 1).to_pylist()) for n in tokens.count(group)]
+            counts = [n for group in small_groups(x.as_py() for x in batch.column(batch.num_columns - 1)) for n in tokens.count(group)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens"])
 
     return run

@@ -140,18 +140,38 @@ class TokenCounter:
 
     def __init__(self, path: str, limit: int = 500_000):
         self.tokenizer = load(path)
+        vocabulary = self.tokenizer.get_vocab(True)
+        #: Whether each token begins with a space, which the vocabulary writes as this letter.
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.inner = Cache(lambda piece: self._count(" " + piece), limit)
         self.other = Cache(self._count, min(limit, 10_000))
 
     def _count(self, piece: str) -> int:
         return len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
+    def _counts(self, pieces: list[str], step: int = 4096) -> Iterator[int]:
+        """The number of ids of a space and each piece.
+
+        Pieces are encoded as one text, which takes the library half the time, and cut at the tokens
+        that begin with a space.  Added tokens may cut a text elsewhere, so with one all go apart.
+        """
+        for at in range(0, len(pieces), step):
+            text = " " + " ".join(pieces[at : at + step])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+            begins = np.flatnonzero(self.spaced[ids])
+            if len(begins) == len(pieces[at : at + step]) and not any(a in text for a in self.added):
+                yield from np.diff(begins, append=len(ids)).tolist()
+            else:
+                yield from (self._count(" " + piece) for piece in pieces[at : at + step])
+
     def count(self, texts: list[str]) -> list[int]:
         split = [None if ODD.search(t) else spaced_pieces(t) for t in texts]
         cache, old = self.inner, self.inner.old
         new = [p for p in set().union(*(s[1] for s in split if s)) if p not in cache and p not in old and len(p) <= LONGEST]
-        for piece, ids in zip(new, encoded(self.tokenizer, [" " + p for p in new]), strict=True):
-            cache.put(piece, len(ids))
+        for piece, n in zip(new, self._counts(new), strict=True):
+            cache.put(piece, n)
         out = []
         for text, parts in zip(texts, split, strict=True):
             if parts:
@@ -194,7 +214,7 @@ def token_counter(path: str, limit: int) -> TokenCounter:
     return kept(TokenCounter, path, limit)
 
 
-def small_groups(texts: list[str | None], most: int = 1 << 20):
+def small_groups(texts: Iterable[str | None], most: int = 1 << 20):
     """The texts (null as empty) in lists of about ``most`` characters at most, longer texts alone."""
     held: list[str] = []
     size = 0

@@ -50,6 +50,25 @@ def test_counts_match_the_library():
     assert TokenCounter(BYTE, limit=50).count(texts()) == [len(whole.encode(t, add_special_tokens=False).ids) for t in texts()]
 
 
+def test_new_pieces_are_counted_from_one_text():
+    whole, counter, asked = Tokenizer.from_file(BYTE), TokenCounter(BYTE), []
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(counter_tokenizer, name)
+
+        def encode_batch_fast(self, given, **options):
+            asked.extend(given)
+            return counter_tokenizer.encode_batch_fast(given, **options)
+
+    counter_tokenizer, counter.tokenizer = counter.tokenizer, Watched()
+    some = [f"first\n w{k} the{k}x\t é{k} '{k}'s ...{k}" for k in range(50)]
+    assert counter.count(some) == [len(whole.encode(t, add_special_tokens=False).ids) for t in some]
+    assert len(asked) == 1  # before, a text for each of the 250 pieces
+    marked = ["a b<|endoftext|>c d", "a\u2028 <|endoftext|> e"]
+    assert counter.count(marked) == [len(whole.encode(t, add_special_tokens=False).ids) for t in marked]
+
+
 def test_transducer_gives_the_library_ids_and_text():
     whole, own = Tokenizer.from_file(BYTE), Transducer(BYTE, limit=50, step=37)
     for t in texts():
