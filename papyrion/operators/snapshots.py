@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from papyrion.operators.store import commit as decided
 from papyrion.operators.store import put_artifacts, put_edges
+from papyrion.workspace import materialize
 
 #: Tables of a store: what one paper's extraction leaves.
 TABLES = {
@@ -155,6 +156,7 @@ def persist_results(store: Snapshots, results: DataFrame, new: dict[str, DataFra
     n_nodes = new["artifacts"].groupBy(F.col("paper").cast("string").alias("paper")).agg(F.count("*").alias("n_nodes"))
     verdicts = decided(asked.join(n_nodes, "paper", "left"), mode).join(old_states, "paper", "left")
     states = verdicts.select("paper", F.lit(mode).alias("mode"), "stage", (F.coalesce("before", F.lit(0)) + 1).alias("attempts"), F.col("reason").alias("error"))
+    states = materialize(states, "verdicts")  # every table of the write, and its papers, read them
 
     def part(rows: DataFrame, papers: DataFrame) -> DataFrame:
         return rows.withColumn("paper", F.col("paper").cast("string")).join(papers, "paper", "left_semi")

@@ -91,3 +91,18 @@ def test_paper_that_lost_all_statements(spark):
     written = spark.createDataFrame([("p",), ("q",)], "paper string")
     assert sorted(map(tuple, put_artifacts(old, new, "ord", True, written).collect())) == [("q", "2"), ("r", "1")]
     assert sorted(map(tuple, put_artifacts(old, new, "ord", True).collect())) == [("p", "1"), ("q", "2"), ("r", "1")]
+
+
+def test_results_of_a_batch_are_computed_once(spark, tmp_path):
+    store, count = Snapshots(spark, str(tmp_path / "papers")), spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        count.add(1)
+        return row
+
+    plain = spark.createDataFrame([("p", None, 1, 1), ("q", "broken", 1, 1)], "paper string, error string, n_definitions int, n_terms int")
+    lines = spark.createDataFrame([("p", "1", "theorem", "text", 1)], "paper string, id string, kind string, content string, ord int")
+    edges = lines.selectExpr("paper", "'reference' AS edge_kind", "id AS source", "id AS target", "ord")
+    assert persist_results(store, spark.createDataFrame(plain.rdd.map(counted), plain.schema), {"artifacts": lines, "edges": edges}, "graph") == (0, 1)
+    assert seen(store) == [("p", "1", "theorem", "text")] and {r.paper: r.stage for r in store.read("states").collect()} == {"p": "complete", "q": "failed"}
+    assert count.value == 2  # before, every table that was written computed them anew
