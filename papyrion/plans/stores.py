@@ -14,7 +14,7 @@ from papyrion.sources import files, sinks
 from papyrion.sources.tables import table
 from papyrion.streaming import events as streams
 from papyrion.streaming import keyed
-from papyrion.workspace import shared_folder
+from papyrion.workspace import materialize, shared_folder
 
 
 def _lines(spark, folder) -> DataFrame:
@@ -552,7 +552,7 @@ def prepared_queries(spark, folder):
     w AS (SELECT *, max(CAST(keep AS INT)) OVER (PARTITION BY query_id) AS anyone FROM o)
     SELECT query_id, id, round(CASE WHEN anyone = 1 THEN s ELSE s - CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END END, 4) AS score FROM w WHERE keep OR anyone = 0""")
 def boosted_results(spark, folder):
-    found = _bm25(spark, folder).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    found = materialize(_bm25(spark, folder).select("query_id", "id", "rank", F.round("score", 6).alias("score")), "found")  # read twice
     over = found.where("id % 3 = 0").select("query_id", "id", F.when(F.col("query_id") % 4 < 3, 2.0).otherwise(0.25).alias("overlap"))
     return retrieval.filter_boost(found, over, 1.0, 0.5).select("query_id", "id", F.round("score", 4).alias("score"))
 
