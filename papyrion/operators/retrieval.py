@@ -15,6 +15,8 @@ from papyrion.workspace import materialize
 RRF_K = 60
 #: Members of a class in a row, and tasks that classes are dealt to.
 BLOCK, SPREAD = 1_000, 256
+#: Characters of the texts that a task counts tokens of.
+TEXTS = 16_000_000
 #: Products of a query's weight and a document's that a task of the lexical search sums.
 SUMS = 4_000_000
 #: The same of a task that sums overlaps of structured fields, whose pairs nearly all differ.
@@ -29,9 +31,12 @@ def document_frequencies(docs: DataFrame, id_col: str = "id", text_col: str = "t
 def postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Written table (id, dl, token, tf): the wanted tokens of each document, and one row (token null) for all others.
 
-    Each text is tokenised once; tokens that nobody asks for fall together before the shuffle.
+    Each text is tokenised once.  Texts are dealt by document to tasks of about ``TEXTS`` characters first, so
+    counts aren't shuffled and a task's hash table doesn't grow with the corpus.
     """
-    each = docs.select("id", F.explode(tokens(F.col("text"))).alias("token"))
+    length = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"]
+    dealt = docs.select("id", "text").repartition(max(1, math.ceil((length or 0) / TEXTS)), "id")
+    each = dealt.select("id", F.explode(tokens(F.col("text"))).alias("token"))
     marked = each.join(wanted.withColumnRenamed("token", "w"), F.col("token") == F.col("w"), "left")
     counted = marked.groupBy("id", F.col("w").alias("token")).agg(F.count("*").alias("tf"))
     return materialize(counted.withColumn("dl", F.sum("tf").over(Window.partitionBy("id"))), "postings")

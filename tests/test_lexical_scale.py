@@ -21,3 +21,16 @@ def test_structured_sums_are_dealt_by_size(spark, monkeypatch):
     asked = spark.createDataFrame([("q", "ring"), ("q", "field"), ("r", "ring")], "query_id string, token string")
     got = retrieval.structured_overlap(fields, asked)
     assert got.rdd.getNumPartitions() == 15 and got.count() == 1000
+
+
+def test_tokens_are_counted_where_the_text_is(spark, monkeypatch):
+    docs = spark.range(300).selectExpr("id", "concat_ws(' ', 'a', if(id % 2 = 0, 'b', 'c'), 'a', concat('w', id % 7)) AS text")
+    wanted = spark.createDataFrame([("a",), ("b",), ("w3",)], "token string")
+    plans = []
+    written = retrieval.materialize
+    monkeypatch.setattr(retrieval, "TEXTS", 400, raising=False)
+    monkeypatch.setattr(retrieval, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, name))
+    got = {(r.id, r.token): (r.tf, r.dl) for r in retrieval.postings(docs, wanted).collect()}
+    assert got[0, "a"] == (2, 4) and got[0, "b"] == (1, 4) and got[1, None] == (2, 4) and len(got) == 300 + 150 + 43 + 300 - 21
+    assert "REPARTITION_BY_NUM" in plans[0]
+    assert not [line for line in plans[0].splitlines() if "Exchange hashpartitioning(id#" in line and "token" in line]  # before, counts of (id, token) were shuffled
