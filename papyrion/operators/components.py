@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.workspace import Table
+from papyrion.workspace import Table, tasks_of
+
+#: Edges of a shuffle's task, which holds a hash table of both their ends.
+ROWS = 500_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -39,18 +42,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     (a vertex that only has such edges isn't returned).  An empty table gives an empty result.
     """
     clean = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
-    now = Table(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    with tasks_of(edges.sparkSession, clean.count(), ROWS):
+        now = Table(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(now.df)
     for _ in range(max_rounds):
         if not state[0]:
             break
-        large, least1 = _large_star(now.df)
-        large = Table(large, "edges")
-        small, least2 = _small_star(large.df)
-        new = Table(small, "edges")
-        for table in (now, least1, large, least2):
-            table.drop()
-        now, before, state = new, state, _state(new.df)
+        with tasks_of(edges.sparkSession, state[0], ROWS):
+            large, least1 = _large_star(now.df)
+            large = Table(large, "edges")
+            small, least2 = _small_star(large.df)
+            new = Table(small, "edges")
+            for table in (now, least1, large, least2):
+                table.drop()
+            now, before, state = new, state, _state(new.df)
         if state == before:
             break
     else:

@@ -9,6 +9,8 @@ only when the table is below ``spark.sql.autoBroadcastJoinThreshold``.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import math
 import re
 import tempfile
 import uuid
@@ -59,6 +61,28 @@ class Table:
         remove(self.spark, self.path)
 
 
+@contextlib.contextmanager
+def tasks_of(spark: SparkSession, rows: int, most: int, size: str = "16m"):
+    """Tables written meanwhile are shuffled to one task for each ``most`` of ``rows`` at least, and tasks read about ``size`` bytes.
+
+    Else a task's hash tables grow with the data: the number of partitions is fixed, and 64 MB of
+    shuffled, or 128 MB of written keys are tens of millions of them.  Map-side combination and AQE's skew joins stay.
+    """
+    wanted = {
+        "spark.sql.shuffle.partitions": str(max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / most))),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.files.maxPartitionBytes": size,
+    }
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of it."""
     return Table(df, name).df
