@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.llm.vocabulary import CUT, LONGEST, ODD, Cache, kept
+from papyrion.llm.vocabulary import CUT, LONGEST, ODD, Cache, byte_letters, kept
 
 # How byte-level BPE cuts words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -46,13 +46,6 @@ PREFIX = 16
 CACHE = 300_000
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in a byte-level vocabulary, inverted."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
 class Transducer:
     """Encoder and decoder for the byte-level BPE of a tokenizers file."""
 

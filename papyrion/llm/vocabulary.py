@@ -69,6 +69,13 @@ def encoded(tokenizer: Tokenizer, pieces: list[str], step: int = 4096) -> Iterat
             yield found.ids
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary, inverted."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
 def packed(ids: Iterable[int], kind: str) -> bytes:
     return np.array(ids, kind).tobytes()
 
@@ -86,6 +93,8 @@ def spaced_pieces(text: str) -> tuple[str, list[str]]:
 FOLDING = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 WORD_CUT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: Small Latin-1 letters, which folding leaves as they are, and ASCII marks after them, which are a piece of their own.
+PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordEncoder:
@@ -101,6 +110,8 @@ class WordEncoder:
             raise ValueError("only a tokenizer that folds case and drops white space is supported")
         self.tokenizer = load(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4"
+        #: How the byte-level vocabulary writes bytes that aren't ASCII letters.
+        self.shown = {byte: letter for letter, byte in byte_letters().items()}
         self.cache = Cache(self._one, limit)
 
     def pack(self, ids: list[int]) -> bytes:
@@ -109,6 +120,13 @@ class WordEncoder:
         return packed(ids, self.kind)
 
     def _one(self, word: bytes) -> bytes:
+        """The packed ids of a word; letters go to the library's merges directly, which takes it less than half the time."""
+        if found := PLAIN.fullmatch(word):
+            letters, marks = found.groups()
+            if marks:
+                return self.cache[letters] + self.cache[marks]
+            shown = word.decode() if word.isascii() else word.decode("latin-1").translate(self.shown)
+            return self.pack([token.id for token in self.tokenizer.model.tokenize(shown)])
         return self.pack(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -117,7 +135,7 @@ class WordEncoder:
         old, get = self.cache.old, self.cache.get
         codes = [list(map(get, words)) for words in cut]
         gaps = [(k, i) for k, known in enumerate(codes) if None in known for i, code in enumerate(known) if code is None]
-        new = [w for w in {cut[k][i] for k, i in gaps} if w not in old and len(w) <= LONGEST]
+        new = [w for w in {cut[k][i] for k, i in gaps} if w not in old and len(w) <= LONGEST and not PLAIN.fullmatch(w)]
         fresh = {w: self.pack(ids) for w, ids in zip(new, encoded(self.tokenizer, [w.decode("utf-8", "replace") for w in new]), strict=True)}
         for k, i in gaps:
             word = cut[k][i]
