@@ -12,9 +12,9 @@ pairs that agree in ``AGREE`` of ``SKETCH`` further least shingles (one byte of
 in a million agrees in fewer, while most pairs that share no more than a passage do, so
 their sets, as large as the texts, needn't move.
 
-Documents with a partner in a unit, usually few, are read again: their sets meet by unit, and the
-pairs of a unit's candidates are tested exactly, except where they are already joined.  Units
-return spanning forests, never all pairs; the components are those of all links.
+Documents with a partner in a unit, usually few, are read again; a filter of bounded size tells
+them from the others, whose texts stay where they lie.  Their sets meet by unit, and the pairs
+of a unit's candidates are tested exactly, except where they are already joined.  Units return spanning forests, never all pairs; the components are those of all links.
 
 A key with more than ``CUT`` blocks of documents is first cut into parts that are compared in themselves;
 then one document of each component so far stands for it; and only where a key still holds
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from papyrion.llm.bitslice import near, union
 from papyrion.llm.buckets import each_unit, units
-from papyrion.llm.rows import keep_rows, text_key
+from papyrion.llm.rows import keep_rows, sieved, text_key
 from papyrion.llm.simhash import _first_of_each
 from papyrion.llm.vocabulary import forget
 from papyrion.operators.components import connected_components
@@ -218,8 +218,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Links of the units of ``rows`` (t, key, ..., rep, n, fp, keys, sketch, comp), between different components."""
         compared = units(rows, keys, "rep", most).select(*keys, "__i", "__j", "__side", "rep", "n", "fp", "keys", "sketch", "comp")
         proposed = materialize(compared.mapInArrow(each_unit(keys, _proposed(least), least=1 << 12), "t int, key long, i int, j int, label long, rep long"), "proposed")
-        wanted = materialize(proposed.select("rep").distinct().join(classes.select("rep", "k2"), "rep"), "wanted")
-        texts = named.join(wanted.withColumnsRenamed({"rep": "id"}), ["id", "k2"], "left_semi").dropDuplicates(["id", "k2"]).select("id", "text")
+        wanted = materialize(proposed.select(F.col("rep").alias("id")).distinct().join(classes.select(F.col("rep").alias("id"), "k2"), "id"), "wanted")
+        texts = sieved(named, wanted, ["id", "k2"])[0].join(wanted, ["id", "k2"], "left_semi").dropDuplicates(["id", "k2"]).select("id", "text")
         sets = materialize(texts.mapInArrow(_sets, "rep long, s binary"), "sets")
         order = ["t", "key", "i", "j", "label"]
         met = proposed.join(sets, "rep").select(*order, "rep", "s").repartition(*order).sortWithinPartitions(*order)
@@ -235,7 +235,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = forest(blocks, ["t", "key", "c"], block)
     joined = connected_components(links)
     if not hot.isEmpty():
-        large = filed.join(hot.select("t", "key"), ["t", "key"], "left_semi")
+        large = materialize(filed.join(hot.select("t", "key"), ["t", "key"], "left_semi"), "large")
         joined = materialize(joined, "joined")
         heads = grown(large, joined).groupBy("t", "key", "comp").agg(F.min_by(F.struct("rep", "n", "fp", "keys", "sketch"), "rep").alias("x")).select("t", "key", "comp", "x.*")
         links = links.unionByName(forest(heads, ["t", "key"], block))

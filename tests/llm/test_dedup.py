@@ -8,6 +8,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+from papyrion.llm import rows as kept_rows
 from papyrion.llm.bitslice import near, union
 from papyrion.llm.exact_dedup import drop_copies, exact_dedup
 from papyrion.llm.simhash import drop_near_copies, fingerprint, simhash_dedup
@@ -176,3 +177,19 @@ def test_carry_save_adders_count():
             assert (int(over[0]) >> lane & 1) == (real >= 1 << digits)
             if real < 1 << digits:
                 assert sum((int(c[0]) >> lane & 1) << k for k, c in enumerate(count)) == real
+
+
+def test_rows_that_stay_are_told_apart_before_the_join(spark, monkeypatch):
+    data = [(k, f"text {k}", k * k) for k in range(3000)] + [(5, "text 5", 1), (9, "text 9", 2), (9, "text 9", 3)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, bits long")
+    keys = docs.groupBy(F.col("doc_id").alias("k1"), F.xxhash64("text").alias("k2")).agg(F.count("*").alias("n"))
+    for most in (1 << 18, 1):  # and with a filter that is nearly full
+        monkeypatch.setattr(kept_rows, "MOST_WORDS", most)
+        gone = keys.where("k1 % 50 = 3")
+        some, stay = kept_rows.sieved(docs.withColumns({"k1": F.col("doc_id"), "k2": F.xxhash64("text")}), gone, ["k1", "k2"])
+        some, stay = [r.doc_id for r in some.collect()], [r.doc_id for r in stay.collect()]
+        assert sorted(some + stay) == sorted(k for k, *_ in data) and all(k % 50 != 3 for k in stay)
+        assert most == 1 or len(some) < 150
+        got = kept_rows.keep_rows(docs, keys, keys.where("k1 % 50 <> 3"), "doc_id", "text")
+        assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [k for k in range(3000) if k % 50 != 3]
+    assert kept_rows.keep_rows(docs.limit(0), keys.limit(0), keys.limit(0), "doc_id", "text").count() == 0
