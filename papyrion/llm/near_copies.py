@@ -144,9 +144,10 @@ def _proposed(least: float):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, groups, text) -> (rep, groups, s)."""
     forget()
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], names=["rep", "s"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingles(x.as_py()).tobytes() for x in batch.column(2)], pa.binary())], names=["rep", "groups", "s"])
 
 
 def similar_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -218,11 +219,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Links of the units of ``rows`` (t, key, ..., rep, n, fp, keys, sketch, comp), between different components."""
         compared = units(rows, keys, "rep", most).select(*keys, "__i", "__j", "__side", "rep", "n", "fp", "keys", "sketch", "comp")
         proposed = materialize(compared.mapInArrow(each_unit(keys, _proposed(least), least=1 << 12), "t int, key long, i int, j int, label long, rep long"), "proposed")
-        wanted = materialize(proposed.select(F.col("rep").alias("id")).distinct().join(classes.select(F.col("rep").alias("id"), "k2"), "id"), "wanted")
-        texts = sieved(named, wanted, ["id", "k2"])[0].join(wanted, ["id", "k2"], "left_semi").dropDuplicates(["id", "k2"]).select("id", "text")
-        sets = materialize(texts.mapInArrow(_sets, "rep long, s binary"), "sets")
         order = ["t", "key", "i", "j", "label"]
-        met = proposed.join(sets, "rep").select(*order, "rep", "s").repartition(*order).sortWithinPartitions(*order)
+        groups = proposed.groupBy(F.col("rep").alias("id")).agg(F.collect_list(F.struct(*order)).alias("groups"))
+        wanted = materialize(groups.join(classes.select(F.col("rep").alias("id"), "k2"), "id"), "wanted")
+        texts = sieved(named, wanted, ["id", "k2"])[0].join(wanted, ["id", "k2"]).dropDuplicates(["id", "k2"]).select(F.col("id").alias("rep"), "groups", "text")
+        sets = texts.mapInArrow(_sets, f"rep long, groups {wanted.schema['groups'].dataType.simpleString()}, s binary")
+        met = sets.select("rep", "s", F.inline("groups")).select(*order, "rep", "s").repartition(*order).sortWithinPartitions(*order)
         return materialize(met.mapInArrow(_verified(least), "src long, dst long"), "forest")
 
     def grown(rows: DataFrame, joined: DataFrame) -> DataFrame:
