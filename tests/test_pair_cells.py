@@ -40,3 +40,15 @@ def test_subword_pairs_of_cells(spark):
 def test_pairs_are_not_shuffled(spark, pairs):
     plan = pairs(spark.createDataFrame(made(), "paper string, artifact long, term string"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" in plan and "Aggregate" not in plan[: plan.index("Generate")] and "Join" not in plan[: plan.index("Generate")]
+
+
+def known_pairs(terms):
+    return dependencies.new_overlap_pairs(terms, terms.selectExpr("artifact AS source", "artifact + 1 AS target"))
+
+
+@pytest.mark.parametrize("pairs", [known_pairs])
+def test_a_task_holds_the_pairs_of_one_artifact_with_a_cell(spark, pairs):
+    """Generators in one loop would hold a cell's members times another's."""
+    plan = pairs(spark.createDataFrame(made(), "paper string, artifact long, term string"))._jdf.queryExecution().executedPlan().toString()
+    inner, outer = plan.index("Generate explode(right"), plan.index("Generate explode(left")
+    assert "Coalesce" in plan[inner:outer]
