@@ -46,3 +46,12 @@ def test_weighted_overlap_is_made_by_classes(spark, monkeypatch):
     assert all(abs(found[k] - brute[k]) < 1e-9 for k in brute)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" in plan and "Aggregate" not in plan[: plan.index("Generate")]  # before, all pairs were aggregated
+
+
+def test_overlaps_are_rounded_by_classes(spark):
+    """Neither is a pair rounded, nor do the pairs of a block of queries with a block of documents meet in one loop."""
+    from papyrion.plans import stores
+
+    plan = stores.weighted_overlaps(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    inner, outer = plan.index("Generate explode(ids"), plan.index("Generate explode(queries")
+    assert "round(" in plan and "round(" not in plan[:outer] and "Repartition" in plan[inner:outer]
