@@ -57,10 +57,13 @@ def in_order(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 def source_lines(wanted: DataFrame, files: DataFrame, probe: int = 5) -> DataFrame:
     """(paper, line, file, local): the file of a combined line, or of one of the next lines within ``probe``.
 
-    files (paper, file, first, last) are ranges of combined lines.
+    files (paper, file, first, last) are ranges of combined lines.  A range's first line that may answer is reckoned, not
+    looked for.  Papers are dealt to tasks: files grow with the papers, and as a plan's estimate of them may be far too
+    low, a broadcast would pass them all through the driver.
     """
-    steps = wanted.select("paper", "line", F.explode(F.sequence(F.col("line"), F.col("line") + probe)).alias("at"))
-    met = steps.join(files, "paper").where(F.col("at").between(F.col("first"), F.col("last")))
+    at = F.greatest("line", "first")
+    met = wanted.select("paper", "line").hint("merge").join(files, "paper").withColumn("at", at)
+    met = met.where((F.col("at") <= F.col("line") + probe) & F.col("at").between(F.col("first"), F.col("last")))
     return met.groupBy("paper", "line").agg(F.min_by(F.struct("file", (F.col("at") - F.col("first") + 1).alias("local")), "at").alias("x")).select("paper", "line", "x.*")
 
 

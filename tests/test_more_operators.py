@@ -209,3 +209,23 @@ def test_pages_until_the_target():
 
     assert commands.until_target(["m3", "m2", "m1"], pages, 10) == (10, ["m3"]) and seen == ["m3", "m3", "m2"]
     assert commands.until_target([], pages, 5) == (0, [])
+
+
+def test_source_lines_are_dealt_by_paper(spark):
+    """Small as the tables look, files aren't sent to the driver and lines aren't multiplied; results equal those of every step."""
+    ranges = [("p", "a.tex", 1, 9), ("p", "b.tex", 12, 20), ("p", "c.tex", 30, 30), ("q", "d.tex", 4, 6), ("q", None, 8, 9), ("p", "e.tex", None, 50), ("p", "f.tex", 60, None), (None, "g.tex", 1, 9)]
+    asked = [(p, n) for p in "pqr" for n in (-9, -4, -3, 0, 1, 5, 9, 10, 11, 12, 20, 21, 24, 25, 30, 31, 58)] + [("p", None), (None, 3), ("p", 5)]
+    good = [r for r in ranges if None not in (r[0], r[2], r[3])]
+    brute = {}
+    for p, n in asked:
+        steps = [(k, f, k - a + 1) for k in range(n, n + 6) for q, f, a, z in good if q == p and a <= k <= z] if n is not None else []
+        if steps:
+            brute[p, n] = min(steps, key=lambda s: s[0])[1:]
+    out = layout.source_lines(spark.createDataFrame(asked, "paper string, line int"), spark.createDataFrame(ranges, "paper string, file string, first int, last int"))
+    found = [(r.paper, r.line, r.file, r.local) for r in out.collect()]
+    assert len(found) == len(brute) and {x[:2]: x[2:] for x in found} == brute
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "Generate" not in plan
+    from papyrion.plans import texts
+
+    assert "Broadcast" not in texts.combined_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
