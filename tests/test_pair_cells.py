@@ -46,7 +46,7 @@ def known_pairs(terms):
     return dependencies.new_overlap_pairs(terms, terms.selectExpr("artifact AS source", "artifact + 1 AS target"))
 
 
-@pytest.mark.parametrize("pairs", [known_pairs])
+@pytest.mark.parametrize("pairs", [dependencies.overlap_pairs, dependencies.subword_pairs, known_pairs])
 def test_a_task_holds_the_pairs_of_one_artifact_with_a_cell(spark, pairs):
     """Generators in one loop would hold a cell's members times another's."""
     plan = pairs(spark.createDataFrame(made(), "paper string, artifact long, term string"))._jdf.queryExecution().executedPlan().toString()
